@@ -1,9 +1,9 @@
 """Line-first cleaning with DataFrame functions only.
 
-Every line is judged on its own: punctuation (a line of MIN_WORDS words or more
-without any sentence mark, or one in which most words shout or carry signs),
-navigation (separators between short labels) and boilerplate (a short line with
-a stock phrase). Failing lines are removed; a document that loses more than
+Every line is judged on its own: punctuation (a line of more than MIN_BLANKS
+words without any sentence mark, or one with as many signs as words), navigation
+(separators between short labels) and boilerplate (a short line with a stock
+phrase); words are counted here as blanks + 1. Failing lines are removed; a document that loses more than
 MAX_LOSS percent of its word characters that way is rejected.
 
 Repeated three-word windows are counted inside the row: each window becomes one
@@ -13,43 +13,49 @@ nothing is shuffled, so long or frequent texts cost what their length costs.
 
 Defined cases: a null text has no words and no lines with a word, fails the base
 rules and is not kept; a text shorter than three words has no window; lines
-without a word are neither judged nor counted; ties and repeated rows give equal
+without a word hold nothing to lose and are no repeats; ties and repeated rows give equal
 rows; further columns are ignored by the query and carried by ``clean``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import table, text_or_empty, words
 
-MIN_WORDS, MAX_LOSS, BOILERPLATE_WORDS = 4, 50, 30
-WORD = "[^\\x20\\x09-\\x0D]+"
-SENTENCE_MARK = "[.!?\\u2026\\u3002\\u061F]"
-SIGNED_WORD = "[^\\x20\\x09-\\x0D]*(?:[#*$%&|<>~^=_{}]{2,}|!!)[^\\x20\\x09-\\x0D]*"
-SEPARATOR = "(?:^|[\\x20\\x09])[|\\u00BB\\u203A\\u2022\\u00B7>](?:[\\x20\\x09]|$)"
+MIN_BLANKS, MAX_LOSS, STOCK_BLANKS = 3, 50, 30
+WORD = "[^\\x20\\x09-\\x0D]"
+SENTENCE_MARK = "[.!?\u2026\u3002\u061F]"
+SEPARATORS = "|\u00BB\u00B7"
+SIGNS = "#*$%&<>~^=_{}!" + SEPARATORS
 #: Stock phrases of pages, not of their content.
 PHRASES = ["all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "sign in", "log in", "skip to content", "share this", "licensed under", "copyright"]
+STOCK = "(?i)" + "|".join(PHRASES)
 
 
-def _line_fails() -> str:
-    """SQL of one line's verdict, for a lambda variable l with at least one word."""
-    n = f"regexp_count(l, '{WORD}')"
-    stock = " OR ".join(f"contains(lower(l), '{p}')" for p in PHRASES)
-    return f"""(
-        ({n} >= {MIN_WORDS} AND NOT l RLIKE '{SENTENCE_MARK}')
-        OR 2 * regexp_count(l, '{SIGNED_WORD}') > {n}
-        OR (regexp_count(l, '{SEPARATOR}') >= 2 AND 5 * regexp_count(l, '{SEPARATOR}') >= {n})
-        OR ({n} <= {BOILERPLATE_WORDS} AND ({stock})))""".replace("\\", "\\\\")
+def _line_fails(line: str = "l") -> str:
+    """SQL (of Spark) for one line's verdict; blanks + 1 stands for the words of the line."""
+    n = f"(length({line}) - length(replace({line}, ' ', '')) + 1)"
+    signs = f"regexp_replace({line}, '[^{SIGNS}]+', '')"
+    separators = f"length(regexp_replace({line}, '[^{SEPARATORS}]+', ''))"
+    return f"""({n} > {MIN_BLANKS} AND NOT {line} RLIKE '{SENTENCE_MARK}')
+        OR (length({signs}) >= {n} AND length({signs}) > 2)
+        OR ({separators} >= 2 AND 3 * {separators} >= {n})
+        OR ({n} <= {STOCK_BLANKS} AND {line} RLIKE '{STOCK}')"""
 
 
-def with_line_verdicts(docs: DataFrame) -> DataFrame:
-    """docs with __lines (all), __good (lines kept) and __lost (word characters of the lines removed)."""
+def with_bad_lines(docs: DataFrame) -> DataFrame:
+    """docs with __lines (all) and __bad (those that fail a rule)."""
     lined = docs.withColumn("__lines", F.split(text_or_empty("text"), "\n", -1))
-    judged = lined.withColumn("__good", F.expr(f"filter(__lines, l -> NOT (l RLIKE '{WORD}' AND {_line_fails()}))".replace(WORD, WORD.replace("\\", "\\\\"), 1)))
-    count = lambda c: F.length(F.translate(F.array_join(c, ""), " \t\n\x0b\x0c\r", ""))
-    return judged.withColumns({"__lost": (count("__lines") - count("__good")).cast("long")})
+    return lined.withColumn("__bad", F.expr(f"filter(__lines, l -> {_line_fails()})"))
+
+
+def word_chars(c: Column) -> Column:
+    """Characters of c that are no white space."""
+    for blank in " \t\n\x0b\x0c\r":
+        c = F.replace(c, F.lit(blank), F.lit(""))
+    return F.length(c).cast("long")
 
 
 def repeat_words(array: str = "__words") -> list[tuple[str, str]]:
@@ -74,48 +80,46 @@ def _same(other: str, array: str) -> str:
 def measure(docs: DataFrame) -> DataFrame:
     """docs with the base figures, base_failed and kept."""
     text = text_or_empty("text")
-    out = with_line_verdicts(docs).withColumn("__words", words(text))
+    out = with_bad_lines(docs).withColumn("__words", words(text))
     for name, sql in repeat_words():
         out = out.withColumn(name, F.expr(sql))
     worded = F.filter("__lines", lambda line: line.rlike(WORD))
     out = out.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": word_chars(text),
+            "lost_chars": word_chars(F.array_join("__bad", "")),
+            "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size(worded) - F.size(F.array_distinct(worded))).cast("long"),
         }
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("__lost") <= MAX_LOSS * F.col("word_chars")))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOSS * F.col("word_chars")))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents, with the failing lines taken out of their texts."""
-    return measure(docs).where("kept").withColumn("text", F.array_join("__good", "\n")).select(*docs.columns)
+    return measure(docs).where("kept").withColumn("text", F.expr(f"array_join(filter(__lines, l -> NOT ({_line_fails()})), '\\n')")).select(*docs.columns)
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("__lost").alias("lost_chars"))
+    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
 def _oracle() -> str:
     r = "'[^\\x20\\x09-\\x0D]+'"
-    n = f"len(regexp_extract_all(l, {r}))"
-    count = lambda pattern: f"len(regexp_extract_all(l, '{pattern}'))"
-    mark = "[.!?…。؟]"
-    separator = "(?:^|[\\x20\\x09])[|»›•·>](?:[\\x20\\x09]|$)"
-    stock = " OR ".join(f"contains(lower(l), '{p}')" for p in PHRASES)
-    fails = f"""({n} >= {MIN_WORDS} AND NOT regexp_matches(l, '{mark}')) OR 2 * {count(SIGNED_WORD)} > {n}
-      OR ({count(separator)} >= 2 AND 5 * {count(separator)} >= {n}) OR ({n} <= {BOILERPLATE_WORDS} AND ({stock}))"""
+    n = "(length(l) - length(replace(l, ' ', '')) + 1)"
+    count = lambda of: f"length(regexp_replace(l, '[^{of}]+', '', 'g'))"
+    fails = f"""({n} > {MIN_BLANKS} AND NOT regexp_matches(l, '{SENTENCE_MARK}')) OR ({count(SIGNS)} >= {n} AND {count(SIGNS)} > 2)
+      OR ({count(SEPARATORS)} >= 2 AND 3 * {count(SEPARATORS)} >= {n}) OR ({n} <= {STOCK_BLANKS} AND regexp_matches(l, '{STOCK}'))"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, {r}) AS w, string_split(t, chr(10)) AS ls FROM d),
 l1 AS (SELECT row_number() OVER () AS rid, * FROM b),
 ln AS (SELECT rid, unnest(ls) AS l FROM l1),
 lv AS (SELECT rid, l, length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c, regexp_matches(l, {r}) AS worded, {fails} AS fails FROM ln),
-lr AS (SELECT rid, sum(CASE WHEN worded AND fails THEN c ELSE 0 END) AS lost, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dup FROM lv GROUP BY rid),
+lr AS (SELECT rid, sum(CASE WHEN fails THEN c ELSE 0 END) AS lost, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dup FROM lv GROUP BY rid),
 g AS (SELECT rid, unnest(range(len(w) - 2)) AS i, w FROM l1 WHERE len(w) >= 3),
 g2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i + 1], w[i + 2], w[i + 3]) AS k FROM g),
 cov AS (SELECT rid, count(DISTINCT p) AS rw FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE k >= 2) GROUP BY rid),
