@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import toxicity
+from docspark.llm import bag_minhash, decontaminate, mixing, shard, toxicity
 from docspark.plans.staging import stage
 
 STAGES = [
     ("toxicity", toxicity.reject_toxic),
+    ("near-dedup", bag_minhash.drop_near_duplicates),
+    ("decontamination", decontaminate.drop_leaks),
+    ("mixing", mixing.curriculum),
+    ("sharding", shard.write_order),
 ]
 
 #: Model training and signatures have no SQL form; tests/llm hold the stages against brute force.

@@ -153,7 +153,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield _frame(part)
 
     def _frame(part: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(part, columns=names)
+        out = pd.DataFrame(part, columns=names, dtype=object)
         return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
