@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from docspark.plans import relational_queries, relational_sql, text_queries
+
+QUERIES = text_queries.QUERIES | relational_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | relational_sql.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Hybrid retrieval with guaranteed places."""
+    return relational_queries.hybrid_guaranteed_slots(spark, sf_dir)
