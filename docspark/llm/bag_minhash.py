@@ -16,11 +16,14 @@ are filled is never opened, so work is about one draw a shingle.
 
 Candidates. Equal texts are one node. BANDS hashes of ROWS components make a
 node's buckets. In a bucket every member is compared with one hub, which links
-groups of copies without all their pairs; components of the links found so are
-then compared across: every pair of members that a bucket brings together and
-that still lies in different components is verified too. So no pair that shares
-a bucket is lost, and pairs inside a component are not expanded. At similarity
-0.8 a pair misses all buckets with probability 3e-5.
+groups of copies without all their pairs. Then every pair of members that a
+bucket brings together and that still lies in different components is looked at
+by its sketch, a byte for each of the SIZE components, in blocks of bounded
+size; pairs whose sketches agree in less than SKETCH_NEAR are dropped, the others
+are verified on the texts, the likeliest first, and those that have come
+to lie in one component meanwhile are not. So pairs inside a component are not
+expanded, and a pair at similarity 0.8 is lost with probability 3e-5 by the bands
+and 5e-5 by the sketch, less above.
 
 Spark groups, joins and shuffles nodes, buckets and links; Python only draws
 signatures and compares two texts. Hot keys are aggregated before the shuffle
@@ -47,7 +50,11 @@ from docspark.plans.staging import stage, unstage
 
 SHINGLE, NEAR = 5, 0.8
 BANDS, ROWS = 20, 4
-SIZE = BANDS * ROWS
+SIZE = 240
+#: 3.9 standard deviations below NEAR for SIZE components, and where pairs are verified first.
+SKETCH_NEAR, SKETCH_LIKELY = 0.7, 0.77
+#: Members of a bucket that one task compares with as many others.
+MEMBERS = 512
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
 
@@ -195,9 +202,9 @@ def signatures(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts:
     return out.reshape(n_texts, m)
 
 
-def bucket_names(texts: list[str]) -> np.ndarray:
-    """(texts, BANDS) names of the buckets, with 0 in rows of texts without words."""
-    out = np.zeros((len(texts), BANDS), np.int64)
+def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the buckets (texts, BANDS), sketches (texts, SIZE bytes), and which texts have words."""
+    names, sketch, worded = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), SIZE), np.uint8), np.zeros(len(texts), bool)
     at = 0
     while at < len(texts):
         end, held = at, 0
@@ -205,23 +212,60 @@ def bucket_names(texts: list[str]) -> np.ndarray:
             held += len(texts[end])
             end += 1
         ids, hashes, counts = shingles(texts[at:end])
-        sig = signatures(ids, hashes, counts, end - at).reshape(end - at, BANDS, ROWS)
-        name = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), sig.shape[:2])
+        sig = signatures(ids, hashes, counts, end - at)
+        bands = sig[:, : BANDS * ROWS].reshape(end - at, BANDS, ROWS)
+        name = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), bands.shape[:2])
         for r in range(ROWS):
-            name = _mix(name * _U(_ODD) + sig[:, :, r])
-        some = np.isin(np.arange(end - at), ids)
-        out[at:end][some] = name[some].view(np.int64)
+            name = _mix(name * _U(_ODD) + bands[:, :, r])
+        names[at:end], sketch[at:end] = name.view(np.int64), (sig >> _U(40)).astype(np.uint8)
+        worded[at:end][ids] = True
         at = end
-    return out
+    return names, sketch, worded
 
 
-def buckets(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def named(texts: pd.Series) -> pd.Series:
-        names = bucket_names(texts.tolist())
-        return pd.Series([list(r) if r.any() else [] for r in names])
+def described(text: Column) -> Column:
+    """struct(buckets, sketch); no buckets for a text without words."""
 
-    return named(text)
+    @F.pandas_udf("buckets array<long>, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        names, sketch, worded = describe(texts.tolist())
+        return pd.DataFrame({"buckets": [list(n) if w else [] for n, w in zip(names, worded)], "sketch": [k.tobytes() for k in sketch]})
+
+    return of(text)
+
+
+def sketched_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, likeness) of members of one bucket (bucket, node, component, buckets, sketch) in different components whose sketches are near.
+
+    A pair comes from the first bucket that both share. A bucket is cut into
+    blocks of about MEMBERS; each two blocks are one group, so no group grows
+    with the bucket.
+    """
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SIZE)
+        names = np.stack(pdf["buckets"].to_numpy())
+        component, _ = pd.factorize(pdf["component"])
+        block, node = pdf["block"].to_numpy(), pdf["node"].to_numpy()
+        bucket, low, high = pdf["bucket"].iloc[0], pdf["low"].iloc[0], pdf["high"].iloc[0]
+        band = int(np.flatnonzero(names[0] == bucket)[0])
+        right, out = np.flatnonzero(block == high), []
+        for i in np.flatnonzero(block == low):
+            js = right[right > i] if low == high else right
+            js = js[component[js] != component[i]]
+            if band:
+                js = js[~(names[js, :band] == names[i, :band]).any(axis=1)]
+            if len(js):
+                like = (sketch[js] == sketch[i]).mean(axis=1)
+                out += [(max(node[i], node[j]), min(node[i], node[j]), x) for j, x in zip(js[like >= SKETCH_NEAR], like[like >= SKETCH_NEAR])]
+        return pd.DataFrame(out, columns=["a", "b", "likeness"])
+
+    blocks = F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("__blocks")
+    counted = members.groupBy("bucket").agg(blocks)
+    dealt = salted(members, counted, ["bucket"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    dealt = dealt.withColumns({"low": F.least("block", "__other"), "high": F.greatest("block", "__other")}).drop("__other")
+    return dealt.groupBy("bucket", "low", "high").applyInPandas(compared, "a binary, b binary, likeness double")
 
 
 @lru_cache(maxsize=8)
@@ -285,9 +329,9 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id) of every row of ``docs``."""
     text = text_or_empty("text")
-    own = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), buckets(text).alias("buckets"))
-    rows = stage(own, "signatures")
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("buckets").alias("buckets")), "nodes")
+    own = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), described(text).alias("d"))
+    rows = stage(own.select("doc_id", "node", "d.*"), "signatures")
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("buckets").alias("buckets"), F.max("sketch").alias("sketch")), "nodes")
 
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
@@ -305,15 +349,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
     placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo <> __hi").select("bucket")
-    placed = stage(placed.join(mixed, "bucket"), "mixed")
-    groups = placed.select("bucket", "component").distinct()
-    across = groups.withColumnRenamed("component", "ca").join(groups.withColumnRenamed("component", "cb"), "bucket").where("ca < cb")
-    a, b = (placed.withColumnsRenamed({"node": x, "component": f"c{x}"}) for x in "ab")
-    pairs = across.join(a, ["bucket", "ca"]).join(b, ["bucket", "cb"]).selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct()
+    placed = salted(placed, mixed, ["bucket"]).join(nodes.select("node", "buckets", "sketch"), "node")
     tested = stars.selectExpr("greatest(a, b) as a", "least(a, b) as b")
-    more = stage(verified(pairs.join(tested, ["a", "b"], "left_anti"), texts), "links-across")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    left = stage(sketched_pairs(placed).join(tested, ["a", "b"], "left_anti"), "pairs")
+    for near in (F.col("likeness") >= SKETCH_LIKELY, F.col("likeness") < SKETCH_LIKELY):
+        a, b = (found.withColumnsRenamed({"node": x, "component": f"c{x}"}) for x in "ab")
+        apart = left.where(near).join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b")))
+        more = stage(verified(apart.select("a", "b"), texts), "links-across")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
 
     linked = nodes.join(found, "node", "left").select("node", "n", "first_id", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("__linked"))
     linked = stage(linked.where("n > 1 or __linked"), "linked")
