@@ -9,7 +9,7 @@ from docspark.llm import shard
 
 
 def brute(rows, shards=shard.SHARDS):
-    keyed = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), shard.NO_ID if i is None else i, len((t or "").encode()) + 1, i) for i, t in rows)
+    keyed = sorted(((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), shard.NO_ID if i is None else i, len((t or "").encode()) + 1, i) for i, t in rows), key=lambda x: x[:2])
     total, below, out, k = sum(x[2] for x in keyed), 0, [], 0
     while k < len(keyed):
         same = [x for x in keyed[k:] if x[:2] == keyed[k][:2]]
