@@ -17,8 +17,8 @@ table reads a character, whatever its length, and the same table gives the
 same value as summing over the landmarks.
 
 Training takes a bounded sample: of the labelled rows outside the held-out
-fold, at most ``per_class`` of each label, in the order of md5(doc_id), those of
-at most ``max_chars`` characters. Scoring covers every whole text.
+fold, at most ``toxic_rows`` and ``clean_rows`` in the order of md5(doc_id), of
+these the texts of at most ``max_chars`` characters. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no window and get the score of the
 bias alone; without labelled texts of both classes the score is the share of
@@ -138,7 +138,7 @@ def worst(texts: Iterable[str], values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, where
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 5.0) -> np.ndarray:
     """Squared-hinge linear SVM in the primal by Newton steps; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
@@ -267,11 +267,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 4500, max_chars: int = 12_000) -> Model:
     """Train on a bounded sample of the labelled rows outside fold 2; fold 3 calibrates."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("__toxic")).where(fold(F.col("doc_id")) != 2)
-    pick = lambda y: usable.where(F.col("__toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(per_class)
-    sample = pick(1).unionByName(pick(0))  # 2 * per_class ids at most, which is what bounds the broadcast
+    pick = lambda y, n: usable.where(F.col("__toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
+    sample = pick(1, toxic_rows).unionByName(pick(0, clean_rows))  # this many ids at most, which is what bounds the broadcast
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
