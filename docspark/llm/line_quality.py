@@ -99,7 +99,10 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents, with the failing lines taken out of their texts."""
-    return measure(docs).where("kept").withColumn("text", F.expr(f"array_join(filter(__lines, l -> NOT ({_line_fails()})), '\\n')")).select(*docs.columns)
+    # The document travels as one column, so that its own names clash with none of the measures.
+    judged = measure(docs.select(F.struct("*").alias("__row"), "text")).where("kept")
+    good = F.expr(f"array_join(filter(__lines, l -> NOT ({_line_fails()})), '\\n')")
+    return judged.select(F.col("__row").withField("text", good).alias("__row")).select("__row.*")
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

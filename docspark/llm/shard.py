@@ -16,7 +16,7 @@ keys, never the texts. A splitter is a pair of longs, whatever the input.
 Defined cases: a null text has size 1 (nothing plus 1); a null doc_id sorts
 first; rows equal in text and doc_id cannot be told apart and stay in one shard,
 with slots dealt among them; an empty table gives no rows; further columns are
-carried by the stage and ignored by the query.
+carried by the stage (a column named shard is replaced) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their shard, range-dealt and sorted by shard and key."""
     placed = assign(docs)
-    return placed.repartitionByRange("shard", "__h", "__d").sortWithinPartitions("shard", "__h", "__d").select(*docs.columns, "shard")
+    return placed.repartitionByRange("shard", "__h", "__d").sortWithinPartitions("shard", "__h", "__d").select(*[c for c in docs.columns if c != "shard"], "shard")
 
 
 ORACLE = f"""

@@ -306,5 +306,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored THRESHOLD or more go."""
-    scored = score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    return docs.where(score(F.col("text"), fit(docs, table(spark, sf_dir, "labels")), spark) < THRESHOLD)

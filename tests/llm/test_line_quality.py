@@ -25,6 +25,7 @@ def test_base_figures(spark, odd_docs, no_docs):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep), r["text"]
         assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
     assert lq.measure(no_docs).count() == 0
+    assert lq.clean(odd_docs).columns == odd_docs.columns and {r["n_words"] for r in lq.clean(odd_docs).collect()} <= {0}
 
 
 def test_line_rules(spark):
