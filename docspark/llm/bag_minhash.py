@@ -57,6 +57,8 @@ SKETCH_NEAR, SKETCH_LIKELY = 0.7, 0.77
 MEMBERS = 512
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
+#: Points of a unit part that are drawn at once where many are expected, and parts that do so at a time.
+AHEAD, SLICE = 32, 1 << 14
 
 _U = np.uint64
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -92,7 +94,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, shingle hash, times it occurs) over all texts, ordered by text."""
+    """(number of the text, shingle hash, times it occurs) over all texts, in no order."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(raw), np.uint8)
     begins = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
@@ -115,9 +117,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.concatenate([[True], keyed[1:] != keyed[:-1]]) if len(keyed) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     counts = np.diff(np.concatenate([at, [len(keyed)]]))
-    ids, hashes = ids[order][at], hashes[order][at]
-    back = np.argsort(ids, kind="stable")
-    return ids[back], hashes[back], counts[back]
+    first = order[at]
+    return ids[first], hashes[first], counts
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -140,9 +141,25 @@ def signatures(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts:
     far: list[tuple] = []
 
     def drawn(seed: np.ndarray, start, width) -> tuple[np.ndarray, np.ndarray]:
-        """Next seed and time of a process of m * width points a unit of time."""
-        seed = _mix(seed + _U(_ODD))
-        return seed, start - np.log(_uniform(seed)) / (m * width)
+        """Next seed and time of a process of m * width points a unit of time. Seeds are a counter, so many points can be drawn at once."""
+        seed = seed + _U(_ODD)
+        return seed, start - np.log(_uniform(_mix(seed))) / (m * width)
+
+    def go_on(owner: np.ndarray, limit: np.ndarray, low: np.ndarray, seed: np.ndarray, time: np.ndarray) -> None:
+        """Draw AHEAD points of each unit part; those within the horizon but the last are found, the next one waits."""
+        for k in range(0, len(owner), SLICE):
+            o, li, lo, s, t = (x[k : k + SLICE] for x in (owner, limit, low, seed, time))
+            seeds = s[:, None] + _U(_ODD) * np.arange(1, AHEAD + 1, dtype=_U)
+            times = t[:, None] + np.cumsum(-np.log(_uniform(_mix(seeds))) / m, axis=1)
+            waits = np.minimum((times <= horizon[o][:, None]).sum(axis=1), AHEAD - 1)
+            row, column = np.nonzero(np.arange(AHEAD) < waits[:, None])
+            name = seeds[row, column]
+            found.append((o[row] * m + component_of(name), times[row, column], name))
+            every = np.arange(len(o))
+            grown.append((o, li, lo, np.ones(len(o), np.int64), seeds[every, waits], times[every, waits]))
+
+    def component_of(seed: np.ndarray) -> np.ndarray:
+        return (_mix(seed ^ _U(0x5851F42D4C957F2D)) % _U(m)).astype(np.int64)
 
     def timed(root: tuple[np.ndarray, ...], pick: np.ndarray) -> tuple[np.ndarray, ...]:
         *process, u = (x[pick] for x in root)
@@ -170,11 +187,13 @@ def signatures(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts:
                 later.append(tuple(x[~reached] for x in now))
                 owner, limit, low, width, seed, time = (x[reached] for x in now)
             whole = low + width <= limit
-            component = (_mix(seed ^ _U(0x5851F42D4C957F2D)) % _U(m)).astype(np.int64)
-            found.append((owner[whole] * m + component[whole], time[whole], seed[whole]))
+            found.append((owner[whole] * m + component_of(seed[whole]), time[whole], seed[whole]))
             unit = width == 1
-            s, t = drawn(seed[unit], time[unit], 1)
-            grown = [(owner[unit], limit[unit], low[unit], width[unit], s, t)]
+            many = unit & (m * (horizon[owner] - time) > AHEAD / 2)  # so many points are still expected within the horizon
+            one = unit & ~many
+            s, t = drawn(seed[one], time[one], 1)
+            grown = [(owner[one], limit[one], low[one], width[one], s, t)]
+            go_on(*(x[many] for x in (owner, limit, low, seed, time)))
             if not unit.all():
                 o, li, lo, w, sd, tm = (x[~unit] for x in (owner, limit, low, width, seed, time))
                 part = sd ^ _mix(lo.astype(_U) * _U(_ODD) + w.astype(_U))  # a point keeps its seed on the way down; each part draws anew
@@ -197,8 +216,10 @@ def signatures(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts:
     out = np.zeros(n_texts * m, _U)
     if len(slots):
         time, name = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
-        order = np.argsort(-time, kind="stable")  # the earliest is written last
-        out[slots[order]] = name[order]
+        earliest = np.full(n_texts * m, np.inf)
+        np.minimum.at(earliest, slots, time)
+        first = time == earliest[slots]
+        out[slots[first]] = name[first]
     return out.reshape(n_texts, m)
 
 
@@ -234,38 +255,44 @@ def described(text: Column) -> Column:
     return of(text)
 
 
-def sketched_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, likeness) of members of one bucket (bucket, node, component, buckets, sketch) in different components whose sketches are near.
+def sketched_pairs(members: DataFrame, rows: int) -> DataFrame:
+    """(a, b, likeness) of members of one bucket (``rows`` rows bucket, node, component, buckets, sketch) in different components whose sketches are near.
 
     A pair comes from the first bucket that both share. A bucket is cut into
     blocks of about MEMBERS; each two blocks are one group, so no group grows
-    with the bucket.
+    with the bucket. Buckets of one block share groups of about 8 * MEMBERS rows,
+    as a group costs more than a small bucket.
     """
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SIZE)
         names = np.stack(pdf["buckets"].to_numpy())
         component, _ = pd.factorize(pdf["component"])
-        block, node = pdf["block"].to_numpy(), pdf["node"].to_numpy()
-        bucket, low, high = pdf["bucket"].iloc[0], pdf["low"].iloc[0], pdf["high"].iloc[0]
-        band = int(np.flatnonzero(names[0] == bucket)[0])
-        right, out = np.flatnonzero(block == high), []
-        for i in np.flatnonzero(block == low):
-            js = right[right > i] if low == high else right
-            js = js[component[js] != component[i]]
-            if band:
-                js = js[~(names[js, :band] == names[i, :band]).any(axis=1)]
-            if len(js):
-                like = (sketch[js] == sketch[i]).mean(axis=1)
-                out += [(max(node[i], node[j]), min(node[i], node[j]), x) for j, x in zip(js[like >= SKETCH_NEAR], like[like >= SKETCH_NEAR])]
+        block, node, bucket = pdf["block"].to_numpy(), pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
+        low, high, out = pdf["low"].iloc[0], pdf["high"].iloc[0], []
+        order = np.argsort(bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            band = int(np.flatnonzero(names[own[0]] == bucket[own[0]])[0])
+            left, right = own[block[own] == low], own[block[own] == high]
+            for k, i in enumerate(left):
+                js = right[k + 1 :] if low == high else right
+                js = js[component[js] != component[i]]
+                if band and len(js):
+                    js = js[~(names[js, :band] == names[i, :band]).any(axis=1)]
+                if len(js):
+                    like = (sketch[js] == sketch[i]).mean(axis=1)
+                    out += [(max(node[i], node[j]), min(node[i], node[j]), x) for j, x in zip(js[like >= SKETCH_NEAR], like[like >= SKETCH_NEAR])]
         return pd.DataFrame(out, columns=["a", "b", "likeness"])
 
     blocks = F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("__blocks")
     counted = members.groupBy("bucket").agg(blocks)
     dealt = salted(members, counted, ["bucket"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__blocks")).cast("int"))
-    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "__other"), "high": F.greatest("block", "__other")}).drop("__other")
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compared, "a binary, b binary, likeness double")
+    bins = 1 + rows // (8 * MEMBERS)
+    group = F.when(F.col("__blocks") == 1, F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(bins))).otherwise(F.col("bucket"))
+    dealt = dealt.withColumns({"group": group, "alone": F.col("__blocks") > 1}).drop("__blocks")
+    return dealt.groupBy("alone", "group", "low", "high").applyInPandas(compared, "a binary, b binary, likeness double")
 
 
 @lru_cache(maxsize=8)
@@ -349,9 +376,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
     placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo <> __hi").select("bucket")
-    placed = salted(placed, mixed, ["bucket"]).join(nodes.select("node", "buckets", "sketch"), "node")
+    placed = stage(salted(placed, mixed, ["bucket"]), "placed")
+    n_placed = placed.count()
+    placed = placed.join(nodes.select("node", "buckets", "sketch"), "node")
     tested = stars.selectExpr("greatest(a, b) as a", "least(a, b) as b")
-    left = stage(sketched_pairs(placed).join(tested, ["a", "b"], "left_anti"), "pairs")
+    left = stage(sketched_pairs(placed, n_placed).join(tested, ["a", "b"], "left_anti"), "pairs")
     for near in (F.col("likeness") >= SKETCH_LIKELY, F.col("likeness") < SKETCH_LIKELY):
         a, b = (found.withColumnsRenamed({"node": x, "component": f"c{x}"}) for x in "ab")
         apart = left.where(near).join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b")))
