@@ -100,7 +100,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents, with the failing lines taken out of their texts."""
     # The document travels as one column, so that its own names clash with none of the measures.
-    judged = measure(docs.select(F.struct("*").alias("__row"), "text")).where("kept")
+    # The row number keeps the filter above the measures: pushed below them it would put whole arrays into each other's lambdas.
+    judged = measure(docs.select(F.struct("*").alias("__row"), "text")).withColumn("__at", F.monotonically_increasing_id()).where("kept and __at >= 0")
     good = F.expr(f"array_join(filter(__lines, l -> NOT ({_line_fails()})), '\\n')")
     return judged.select(F.col("__row").withField("text", good).alias("__row")).select("__row.*")
 
