@@ -14,7 +14,7 @@ Time. A source's share of the demand changes over training: its weight goes
 linearly from (1 + slope) to (1 - slope) of its mean. The integral of the
 schedule is the source's cumulative demand, a quadratic that is inverted in
 closed form to turn a document's place in its source's stream into a training
-position between 0 and 1; the mix is range-sorted by position.
+position between 0 and 1, one for each pass; the mix is range-sorted by position.
 
 Prefix sums inside a source run in two levels: the hash order is cut into
 BUCKETS parts, small sums a part are accumulated a source, and rows only meet the
@@ -28,7 +28,7 @@ are dealt one after the other; further columns are carried by the stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import table, text_or_empty
@@ -76,7 +76,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(rows: DataFrame) -> DataFrame:
-    """Sized rows with source_size, target, taken and position (of the first pass taken, null if none is)."""
+    """Sized rows with source_size, target, slope, taken, __start (words before the row in a pass) and position (of the first pass, null if none is taken)."""
     rows = rows.withColumn("__part", F.substring("__h", 1, BUCKET_DIGITS))
     parts = rows.groupBy("source", "__part").agg(F.sum("__size").alias("__size"))
     parts = stage(parts, "mix-parts")
@@ -90,10 +90,10 @@ def mix(rows: DataFrame) -> DataFrame:
     goal = F.floor(F.col("target") + 0.5).cast("long")
     taken = lambda p: F.greatest(F.lit(0), F.least(F.col("__size"), goal - p * F.col("source_size") - F.col("__start")))
     met = met.withColumn("taken", sum((taken(p) for p in range(1, MOST)), taken(0)).cast("long"))
-    return met.withColumn("position", position(0)).drop("__start", "__before")
+    return met.withColumn("position", position(0)).drop("__before")
 
 
-def position(pass_: int):
+def position(pass_: int | Column):
     """Training position of a document's middle word in the given pass: the inverse of its source's integrated schedule.
 
     With weight(t) = mean * (1 + slope * (1 - 2 t)) the demand until t is mean * ((1 + slope) t - slope t^2).
@@ -111,11 +111,11 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as it is taken (a part of a pass counts as a whole one), in the order of its positions."""
+    """Pipeline stage: each document as often as it is taken (a part of a pass counts as a whole one), each pass at its own position."""
     # The document travels as one column, so that its own names clash with none of the mix; its text travels once.
     mixed = mix(sized(docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")).drop("text"))
     passes = F.ceil(F.col("taken") / F.nullif(F.col("__size"), F.lit(0))).cast("int")
-    repeated = mixed.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    repeated = mixed.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("position", position(F.col("__pass")))
     return repeated.repartitionByRange("position", "__pass").sortWithinPartitions("position", "__pass").select("__row.*")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
@@ -81,3 +82,37 @@ def test_stage_and_empty(spark, odd_docs, no_docs, tables):
 def test_only_empty_texts(spark, tables):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r["target"], r["taken"]) for r in mixing.op8_curriculum(spark, tables(documents=docs)).collect()} == {(0.0, 0)}
+
+
+def test_stage_orders_every_pass_by_its_own_position(spark):
+    """The stage's order of documents and their repeats against brute force."""
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "abc"[i % 3] if i % 2 else "c") for i in range(120)]
+    n = {i: 1 + i % 7 for i, _, _ in rows}
+    sizes = {s: sum(n[i] for i, _, x in rows if x == s) for s in "abc"}
+    target, want = brute_targets(sizes), []
+    for k, s in enumerate("abc"):
+        slope, before = mixing.SLOPES[k], 0
+        own = sorted((i for i, _, x in rows if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        for pass_ in (0, 1):
+            for i in own:
+                if before < int(target[s] + 0.5):
+                    low, high, share = 0.0, 1.0, min(1.0, (before + n[i] / 2) / target[s])
+                    for _ in range(60):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if (1 + slope) * mid - slope * mid**2 < share else (low, mid)
+                    want.append((low, s, i, pass_))
+                before += n[i]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["source"], r["doc_id"]) for r in mixing.curriculum(spark, docs, "").collect()]
+    assert any(target[s] == 2 * sizes[s] for s in "abc") and any(p for *_, p in want)
+    for s in "abc":
+        assert [i for x, i in got if x == s] == [i for _, x, i, _ in sorted(want) if x == s]
+    places = {}
+    for t, s, i, _ in want:
+        places.setdefault((s, i), []).append(t)
+    seen = dict.fromkeys(places, 0)
+    order = []
+    for key in got:
+        order.append(places[key][seen[key]])
+        seen[key] += 1
+    assert len(got) == len(want) and all(b > a - 1e-6 for a, b in zip(order, order[1:]))
