@@ -1,10 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-An item may occur with at most k edits: k is RATE of its length, less where the
-pieces would fall under MIN_PIECE characters. Cut into k + 1 pieces, any such
-occurrence holds one piece unchanged. All pieces of a block of items go into one
-Aho-Corasick automaton; each hit gives a window of the text, and Myers' bit-parallel
-distance decides. Items and texts are compared in lower case with everything but
+An item may occur with at most k edits: k is RATE of its length, rounded down. Cut
+into k + 1 pieces (of 5 to 10 characters if k > 0), any such occurrence holds one
+piece unchanged. All pieces of a block of items go into one Aho-Corasick automaton.
+Short pieces hit often, so a hit must hold in ever longer runs of pieces first: of
+the halves of a run of j + 1 pieces with at most j edits, one has no more edits than
+pieces less one. A hit that passes gives a window of the text, and Myers'
+bit-parallel distance decides. Items and texts are compared in lower case with everything but
 letters and digits as single blanks.
 
 Texts are scanned where they lie, nothing of them is shuffled. Items come in
@@ -13,7 +15,7 @@ what is sent to the executors; further blocks are further passes over the
 texts, so the benchmark may be of any size.
 
 Defined cases: null and empty texts match nothing; an item without letters and
-digits matches nothing; an item shorter than two pieces must occur exactly;
+digits matches nothing; an item of fewer than 1 / RATE characters must occur exactly;
 equal items are each reported; repeated documents are reported as often as they
 occur; a null item_id or doc_id is carried as null; further columns are ignored.
 """
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import table, text_or_empty
 
-RATE, MIN_PIECE = 0.1, 12
+#: A larger MIN_PIECE would lower the budget below RATE.
+RATE, MIN_PIECE = 0.1, 1
 BLOCK_CHARS = 4_000_000
 MATCHES = "array<struct<item:int,distance:int,start:int,end:int>>"
 
@@ -72,6 +75,23 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def masks_of(item: str) -> dict[str, int]:
+    mask: dict[str, int] = defaultdict(int)
+    for j, c in enumerate(item):
+        mask[c] |= 1 << j
+    return dict(mask)
+
+
+def runs(j: int, n: int) -> list[tuple[int, int]]:
+    """Runs (from, to) of n pieces that hold piece j, each a half of the next; without the piece itself and the whole."""
+    out, low, high = [], 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if j < mid else (mid, high)
+        out.append((low, high))
+    return out[-2::-1]
+
+
 class Matcher:
     """The items of one block: automaton of all pieces, and per item its budget and bit masks."""
 
@@ -81,14 +101,11 @@ class Matcher:
         self.items = items
         self.k = [budget(len(t), rate, min_piece) for t in items]
         self.masks: list[dict[str, int]] = []
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[str, list[tuple[int, int]]] = defaultdict(list)  # piece: items and numbers
         for i, t in enumerate(items):
-            mask: dict[str, int] = defaultdict(int)
-            for j, c in enumerate(t):
-                mask[c] |= 1 << j
-            self.masks.append(dict(mask))
-            for offset, piece in pieces(t, self.k[i]) if t else []:
-                found[piece].append((i, offset))
+            self.masks.append(masks_of(t))
+            for j, (_, piece) in enumerate(pieces(t, self.k[i]) if t else []):
+                found[piece].append((i, j))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -96,14 +113,31 @@ class Matcher:
             self.automaton.make_automaton()
         self.some = bool(found)
 
+    def holds(self, i: int, j: int, start: int, text: str) -> bool:
+        """Whether all runs around piece j of item i can occur with their edits, the item being laid at ``start``."""
+        item, n = self.items[i], self.k[i] + 1
+        for step, (low, high) in enumerate(runs(j, n)):
+            a, b, k = len(item) * low // n, len(item) * high // n, high - low - 1
+            if step == 0:
+                # The piece itself is unchanged, so all edits lie in what is left of the run: of its k + 1 parts one is unchanged.
+                c, d = (len(item) * (j + 1) // n, b) if j == low else (a, len(item) * j // n)
+                near = text[max(0, start + c - k) : max(0, start + d + k)]
+                if not any(item[c + (d - c) * x // (k + 1) : c + (d - c) * (x + 1) // (k + 1)] in near for x in range(k + 1)):
+                    return False
+            if myers(masks_of(item[a:b]), b - a, text[max(0, start + a - k) : max(0, start + b + k)])[0] > k:
+                return False
+        return True
+
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the best occurrence of each item within its budget."""
         if not self.some or not text:
             return []
         begins: dict[int, set[int]] = defaultdict(set)
         for end, (n, owners) in self.automaton.iter(text):
-            for i, offset in owners:
-                begins[i].add(end + 1 - n - offset)
+            for i, j in owners:
+                start = end + 1 - n - len(self.items[i]) * j // (self.k[i] + 1)
+                if start not in begins.get(i, ()) and self.holds(i, j, start, text):
+                    begins[i].add(start)
         out = []
         for i, starts in begins.items():
             item, k, m = self.items[i], self.k[i], len(self.items[i])

@@ -77,3 +77,36 @@ def test_stage_and_empty_tables(spark, tables):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), 103, 104] and kept.columns == docs.columns
     assert dc.find_leaks(docs.limit(0), bench).count() == 0 and dc.find_leaks(docs, bench.limit(0)).count() == 0
     assert dc.drop_leaks(spark, docs, tables(benchmark=bench.limit(0))).count() == docs.count()
+
+
+def test_items_edited_at_exactly_the_stated_rate():
+    """Ten per cent of the characters replaced, dropped or added, at the worst places for whole pieces, are found; one more edit is not."""
+    r = random.Random(8)
+    for length in (10, 19, 23, 35, 95, 233, 394, 1500):
+        item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        k = length // 10
+        assert dc.budget(length) == k
+        for kind in ("replace", "drop", "add", "over"):
+            edits = k + (kind == "over")
+            text = list(item)
+            for e in range(edits):
+                at = (2 * e + 1) * length // (2 * edits)
+                text[at] = {"drop": "", "add": text[at] + "7"}.get(kind, "7")
+            text = "".join(r.choice("0123456") for _ in range(300)) + "".join(text) + "89" * 40
+            got = dc.Matcher((item,), dc.RATE, dc.MIN_PIECE).search(text)
+            assert [x[:2] for x in got] == ([] if kind == "over" else [(0, k)])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_full_budget_equals_brute_force(r):
+    item = "".join(r.choice("abc ") for _ in range(r.randint(10, 90)))
+    edited = list(item)
+    for _ in range(r.randint(0, len(item) // 8)):
+        at = r.randrange(len(edited))
+        edited[at : at + r.randint(0, 1)] = r.choice(["", "d", "ab"])
+        edited = edited or ["a"]
+    text = "".join(r.choice("abc ") for _ in range(40)) + "".join(edited) + "".join(r.choice("abc ") for _ in range(40))
+    d = best_distance(item, text)
+    got = dc.Matcher((item,), dc.RATE, dc.MIN_PIECE).search(text)
+    assert [x[1] for x in got] == ([d] if d <= len(item) // 10 else [])
