@@ -15,15 +15,21 @@ similarity. A part whose first point lies beyond the time when all components
 are filled is never opened, so work is about one draw a shingle.
 
 Candidates. Equal texts are one node. BANDS hashes of ROWS components make a
-node's buckets. In a bucket every member is compared with one hub, which links
-groups of copies without all their pairs. Then every pair of members that a
-bucket brings together and that still lies in different components is looked at
-by its sketch, a byte for each of the SIZE components, in blocks of bounded
-size; pairs whose sketches agree in less than SKETCH_NEAR are dropped, the others
-are verified on the texts, the likeliest first, and those that have come
-to lie in one component meanwhile are not. So pairs inside a component are not
-expanded, and a pair at similarity 0.8 is lost with probability 3e-5 by the bands
-and 5e-5 by the sketch, less above.
+node's buckets. Members of a bucket are compared by their sketches, four bits for
+each of the SIZE components, in blocks of bounded size; what the sketches leave is
+verified on the texts. A link that is found early spares the pairs that it connects:
+
+* first a block proposes a spanning forest of its likeliest pairs, and in a bucket of
+  several blocks each member is also paired with the bucket's first node. Proposals
+  are at most members; verified, they make groups of copies one component;
+* then, in buckets that hold several components with likely pairs between them, the
+  members of such pairs meet with their texts, again in blocks, and every such pair
+  is verified in the first bucket that both share unless links of the block already
+  connect it. Only links leave the block, fewer than its members.
+
+So no pair is given up, but pairs inside a component are never expanded. A pair at
+similarity 0.8 is lost with probability 3e-5 by the bands and 5e-5 by the sketch,
+less above; ``sketch_near=0`` of ``classes`` verifies every pair of a bucket.
 
 Spark groups, joins and shuffles nodes, buckets and links; Python only draws
 signatures and compares two texts. Hot keys are aggregated before the shuffle
@@ -32,8 +38,9 @@ and met again dealt over salts.
 Defined cases: null and empty texts are equal texts and so copies of each other;
 texts without a word are near only to equal ones; a text of fewer than SHINGLE
 words is one shingle; the class of a document is the smallest doc_id among its
-near-duplicates, null only if all are null; repeated rows are copies; further
-columns are carried by the stage and ignored by the query.
+near-duplicates, null only if all are null; repeated rows are copies, and rows that
+share a doc_id but not the text are told apart; further columns are carried by the
+stage and ignored by the query.
 """
 
 from __future__ import annotations
@@ -51,10 +58,11 @@ from docspark.plans.staging import stage, unstage
 SHINGLE, NEAR = 5, 0.8
 BANDS, ROWS = 20, 4
 SIZE = 240
-#: 3.9 standard deviations below NEAR for SIZE components, and where pairs are verified first.
-SKETCH_NEAR, SKETCH_LIKELY = 0.7, 0.77
-#: Members of a bucket that one task compares with as many others.
-MEMBERS = 512
+#: Bits of a component that the sketch keeps, and the share of components that agree in a likely pair: 3.9 standard deviations below the
+#: 0.8125 that is expected at NEAR.
+BITS, SKETCH_NEAR = 4, 0.7125
+#: Members of a block, characters of text in it, and rows of small buckets that share a task's group.
+MEMBERS, CHARS, PACK = 4096, 1 << 24, 2048
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
 #: Points of a unit part that are drawn at once where many are expected, and parts that do so at a time.
@@ -224,8 +232,8 @@ def signatures(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts:
 
 
 def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the buckets (texts, BANDS), sketches (texts, SIZE bytes), and which texts have words."""
-    names, sketch, worded = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), SIZE), np.uint8), np.zeros(len(texts), bool)
+    """Names of the buckets (texts, BANDS), sketches (texts, BITS, 32 bytes), and which texts have words."""
+    names, sketch, worded = np.zeros((len(texts), BANDS), np.int64), np.zeros((len(texts), BITS, 32), np.uint8), np.zeros(len(texts), bool)
     at = 0
     while at < len(texts):
         end, held = at, 0
@@ -238,7 +246,9 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         name = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), bands.shape[:2])
         for r in range(ROWS):
             name = _mix(name * _U(_ODD) + bands[:, :, r])
-        names[at:end], sketch[at:end] = name.view(np.int64), (sig >> _U(40)).astype(np.uint8)
+        names[at:end] = name.view(np.int64)
+        for k in range(BITS):
+            sketch[at:end, k, : SIZE // 8] = np.packbits((sig >> _U(40 + k)).astype(np.uint8) & 1, axis=1)
         worded[at:end][ids] = True
         at = end
     return names, sketch, worded
@@ -255,44 +265,173 @@ def described(text: Column) -> Column:
     return of(text)
 
 
-def sketched_pairs(members: DataFrame, rows: int) -> DataFrame:
-    """(a, b, likeness) of members of one bucket (``rows`` rows bucket, node, component, buckets, sketch) in different components whose sketches are near.
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many components agree, for sketches as (n, BITS * 4) words that broadcast against each other."""
+    differ = left[..., :4] ^ right[..., :4]
+    for k in range(4, 4 * BITS, 4):
+        differ |= left[..., k : k + 4] ^ right[..., k : k + 4]
+    return (SIZE - np.bitwise_count(differ).sum(axis=-1)).astype(np.uint8)
 
-    A pair comes from the first bucket that both share. A bucket is cut into
-    blocks of about MEMBERS; each two blocks are one group, so no group grows
-    with the bucket. Buckets of one block share groups of about 8 * MEMBERS rows,
-    as a group costs more than a small bucket.
+
+def likeness(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, least: int) -> np.ndarray:
+    """(left, right) agreeing components plus one where ``least`` or more agree and the components ``of_*`` differ, else 0."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    step = max(1, (1 << 18) // max(1, len(right)))
+    for k in range(0, len(left), step):
+        n = agreeing(left[k : k + step, None], right[None])
+        out[k : k + step] = np.where((n >= least) & (of_left[k : k + step, None] != of_right[None]), n + 1, 0)
+    return out
+
+
+def spanning(like: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the components ``of``: in each phase every component takes its likeliest pair (i, j)."""
+    label = np.arange(int(of.max()) + 1)
+    edges: list[tuple[int, int]] = []
+    while True:
+        own = label[of]
+        free = np.where(own[:, None] != own[None], like, 0)
+        i, j = np.arange(len(free)), free.argmax(axis=1)
+        value = free[i, j].astype(int)
+        order = np.argsort(-value, kind="stable")
+        order = order[value[order] > 0]
+        if not len(order):
+            return edges
+        _, first = np.unique(own[order], return_index=True)
+        for i in order[np.sort(first)]:
+            a, b = label[of[i]], label[of[j[i]]]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+                edges.append((int(i), int(j[i])))
+
+
+def _least(sketch_near: float) -> int:
+    return int(np.ceil(sketch_near * SIZE))
+
+
+def _sketches(pdf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), 4 * BITS)
+
+
+def _buckets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    """Row numbers of each bucket in a group."""
+    order = np.argsort(pdf["bucket"].to_numpy(), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(pdf["bucket"].to_numpy()[order])) + 1) if len(pdf) else []
+
+
+def dealt(members: DataFrame, rows: int, across: bool) -> DataFrame:
+    """``members`` (``rows`` rows bucket, blocks, node, ...) with block, and alone, group, low, high to group by.
+
+    A block of a bucket is one group, and if ``across``, each two blocks are one,
+    so no group grows with the bucket. Buckets of one block share groups of about
+    PACK rows, as a group costs more than a small bucket.
     """
+    out = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    out = out.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("block"))
+    out = out.withColumns({"low": F.least("block", "__other"), "high": F.greatest("block", "__other")}).drop("__other")
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(1 + rows // PACK))).otherwise(F.col("bucket"))
+    return out.withColumns({"group": group, "alone": F.col("blocks") > 1}).drop("blocks")
+
+
+GROUP = ["alone", "group", "low", "high"]
+
+
+def proposed(members: DataFrame, rows: int, sketch_near: float) -> DataFrame:
+    """(a, b, bucket) of each block's spanning forest, and rows without a and b for buckets with likely pairs left; members have bucket, blocks, node, sketch."""
+    least = _least(sketch_near)
+
+    def forests(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch, node, bucket = _sketches(pdf), pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
+        own = _buckets_of(pdf)
+        two = [b for b in own if len(b) == 2]  # no forest needed
+        i, j = np.array(two, np.int64).reshape(-1, 2).T
+        near = agreeing(sketch[i], sketch[j]) >= least
+        out = [(max(node[a], node[b]), min(node[a], node[b]), bucket[a]) for a, b in zip(i[near], j[near])]
+        for b in (b for b in own if len(b) > 2):
+            of = np.arange(len(b))
+            like = likeness(sketch[b], sketch[b], of, of, least)
+            edges = spanning(like, of)
+            out += [(max(node[b[x]], node[b[y]]), min(node[b[x]], node[b[y]]), bucket[b[0]]) for x, y in edges]
+            if np.count_nonzero(like) > 2 * len(edges):
+                out.append((None, None, bucket[b[0]]))
+        return pd.DataFrame(out, columns=["a", "b", "bucket"])
+
+    return dealt(members, rows, False).groupBy(*GROUP).applyInPandas(forests, "a binary, b binary, bucket long")
+
+
+def _likely(i: int, js: np.ndarray, band: int, names: np.ndarray, sketch: np.ndarray, component: np.ndarray, least: int) -> np.ndarray:
+    """Of the members js those in another component than i whose sketch is near, if ``band`` is the first that both share."""
+    js = js[component[js] != component[i]]
+    js = js[agreeing(sketch[js], sketch[i]) >= least]
+    return js[~(names[js, :band] == names[i, :band]).any(axis=1)] if band else js
+
+
+def undecided(members: DataFrame, rows: int, sketch_near: float) -> DataFrame:
+    """(bucket, node) of the members with a likely partner in another component; members have bucket, blocks, node, component, buckets, sketch."""
+    least = _least(sketch_near)
+
+    def partnered(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch, block, bucket = _sketches(pdf), pdf["block"].to_numpy(), pdf["bucket"].to_numpy()
+        names, component = np.stack(pdf["buckets"].to_numpy()), pd.factorize(pdf["component"])[0]
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        some = np.zeros(len(pdf), bool)
+        for b in _buckets_of(pdf):
+            band = int(np.flatnonzero(names[b[0]] == bucket[b[0]])[0])
+            left, right = b[block[b] == low], b[block[b] == high]
+            for k, i in enumerate(left):
+                js = _likely(i, right[k + 1 :] if low == high else right, band, names, sketch, component, least)
+                some[js] = True
+                some[i] |= len(js) > 0
+        return pdf.loc[some, ["bucket", "node"]]
+
+    return dealt(members, rows, True).groupBy(*GROUP).applyInPandas(partnered, "bucket long, node binary").distinct()
 
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SIZE)
-        names = np.stack(pdf["buckets"].to_numpy())
-        component, _ = pd.factorize(pdf["component"])
-        block, node, bucket = pdf["block"].to_numpy(), pdf["node"].to_numpy(), pdf["bucket"].to_numpy()
+
+def settled(members: DataFrame, rows: int, sketch_near: float) -> DataFrame:
+    """(a, b) of near pairs that connect the components of each block; members have bucket, blocks, node, component, buckets, sketch, text."""
+    least = _least(sketch_near)
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketch, block, bucket, node = _sketches(pdf), pdf["block"].to_numpy(), pdf["bucket"].to_numpy(), pdf["node"].to_numpy()
+        names, component = np.stack(pdf["buckets"].to_numpy()), pd.factorize(pdf["component"])[0]
         low, high, out = pdf["low"].iloc[0], pdf["high"].iloc[0], []
-        order = np.argsort(bucket, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            band = int(np.flatnonzero(names[own[0]] == bucket[own[0]])[0])
-            left, right = own[block[own] == low], own[block[own] == high]
+        for b in _buckets_of(pdf):
+            band = int(np.flatnonzero(names[b[0]] == bucket[b[0]])[0])
+            left, right = b[block[b] == low], b[block[b] == high]
+            bags, place = Bags(pdf["text"].iloc[b].tolist()), {int(x): k for k, x in enumerate(b)}
             for k, i in enumerate(left):
-                js = right[k + 1 :] if low == high else right
-                js = js[component[js] != component[i]]
-                if band and len(js):
-                    js = js[~(names[js, :band] == names[i, :band]).any(axis=1)]
+                js = _likely(i, right[k + 1 :] if low == high else right, band, names, sketch, component, least)
                 if len(js):
-                    like = (sketch[js] == sketch[i]).mean(axis=1)
-                    out += [(max(node[i], node[j]), min(node[i], node[j]), x) for j, x in zip(js[like >= SKETCH_NEAR], like[like >= SKETCH_NEAR])]
-        return pd.DataFrame(out, columns=["a", "b", "likeness"])
-
-    blocks = F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("__blocks")
-    counted = members.groupBy("bucket").agg(blocks)
-    dealt = salted(members, counted, ["bucket"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("__blocks")).cast("int"))
-    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "__other"), "high": F.greatest("block", "__other")}).drop("__other")
-    bins = 1 + rows // (8 * MEMBERS)
-    group = F.when(F.col("__blocks") == 1, F.pmod(F.xxhash64("bucket", F.lit(5)), F.lit(bins))).otherwise(F.col("bucket"))
-    dealt = dealt.withColumns({"group": group, "alone": F.col("__blocks") > 1}).drop("__blocks")
-    return dealt.groupBy("alone", "group", "low", "high").applyInPandas(compared, "a binary, b binary, likeness double")
+                    for j in js[bags.overlaps(place[int(i)], np.array([place[int(j)] for j in js])) >= NEAR]:
+                        if component[i] != component[j]:
+                            out.append((max(node[i], node[j]), min(node[i], node[j])))
+                            component[component == component[j]] = component[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt(members, rows, True).groupBy(*GROUP).applyInPandas(links, "a binary, b binary").distinct()
+
+
+class Bags:
+    """The shingle multisets of a block's texts, numbered over all of them."""
+
+    def __init__(self, texts: list[str]):
+        ids, hashes, counts = shingles(texts)
+        order = np.argsort(ids, kind="stable")
+        ids, self.counts = ids[order], counts[order]
+        self.shingle = np.unique(hashes[order], return_inverse=True)[1]
+        self.begins = np.searchsorted(ids, np.arange(len(texts) + 1))
+        self.total = np.bincount(ids, self.counts, len(texts))
+        self.one = np.zeros(int(self.shingle.max(initial=-1)) + 1, np.int64)
+
+    def overlaps(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of text i and each of js."""
+        own = slice(self.begins[i], self.begins[i + 1])
+        self.one[self.shingle[own]] = self.counts[own]
+        sizes = self.begins[js + 1] - self.begins[js]
+        at = np.repeat(self.begins[js] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        both = np.bincount(np.repeat(np.arange(len(js)), sizes), np.minimum(self.one[self.shingle[at]], self.counts[at]), len(js))
+        self.one[self.shingle[own]] = 0
+        either = self.total[i] + self.total[js] - both
+        return np.divide(both, either, out=np.zeros(len(js)), where=either > 0)
 
 
 @lru_cache(maxsize=8)
@@ -353,48 +492,65 @@ def components(links: DataFrame) -> DataFrame:
             return stage(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) of every row of ``docs``."""
-    text = text_or_empty("text")
-    own = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), described(text).alias("d"))
-    rows = stage(own.select("doc_id", "node", "d.*"), "signatures")
-    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("buckets").alias("buckets"), F.max("sketch").alias("sketch")), "nodes")
-
+def connected(nodes: DataFrame, docs: DataFrame, sketch_near: float) -> DataFrame:
+    """(node, component) of the nodes that have a link."""
     held = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    members = stage(salted(held, stage(shared, "buckets"), ["bucket"]), "members")
-    stars = stage(members.where("node <> hub").selectExpr("node as a", "hub as b").distinct(), "stars")
-
-    # One text a node that takes part in a candidate pair, found by the node's first document.
-    wanted = stage(members.select("node").distinct().join(nodes.select("node", "first_id"), "node"), "wanted")
-    texts = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("__node"))
+    size = F.count(F.lit(1))
+    shared = held.groupBy("bucket").agg(F.min("node").alias("hub"), F.ceil(size / MEMBERS).cast("int").alias("blocks"), size.alias("__n"))
+    shared = stage(shared.where("__n > 1").drop("__n"), "buckets")
+    members = stage(salted(held, shared, ["bucket"]), "members")
+    described_ = nodes.select("node", "buckets", "sketch")
+
+    # First the forests, and the members of larger buckets with the hub that most of these share.
+    forests = stage(proposed(members.drop("hub").join(nodes.select("node", "sketch"), "node"), members.count(), sketch_near), "forests")
+    hubs = members.where("blocks > 1 and node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    pairs = forests.where("a is not null").select("a", "b").unionByName(hubs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")))
+    pairs = stage(pairs.distinct(), "pairs")
+
+    # One text a node that takes part, found by the node's first document. Whoever has a likely pair is in a forest or has a hub.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+    texts = docs.select("doc_id", text_or_empty("text").alias("text"), F.unhex(F.md5(text_or_empty("text").cast("binary"))).alias("__node"))
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]) & (texts["__node"] == wanted["node"])).select("node", "text")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
-
-    links = stage(verified(stars, texts), "links")
+    links = stage(verified(pairs, texts), "links")
     found = components(links)
 
-    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    # Then what lies between components.
+    open_ = forests.where("a is null").select("bucket").unionByName(members.where("blocks > 1").select("bucket")).distinct()
+    placed = salted(members.drop("hub"), open_, ["bucket"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stage(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo <> __hi").select("bucket")
-    placed = stage(salted(placed, mixed, ["bucket"]), "placed")
-    n_placed = placed.count()
-    placed = placed.join(nodes.select("node", "buckets", "sketch"), "node")
-    tested = stars.selectExpr("greatest(a, b) as a", "least(a, b) as b")
-    left = stage(sketched_pairs(placed, n_placed).join(tested, ["a", "b"], "left_anti"), "pairs")
-    for near in (F.col("likeness") >= SKETCH_LIKELY, F.col("likeness") < SKETCH_LIKELY):
-        a, b = (found.withColumnsRenamed({"node": x, "component": f"c{x}"}) for x in "ab")
-        apart = left.where(near).join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b")))
-        more = stage(verified(apart.select("a", "b"), texts), "links-across")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    apart = stage(salted(placed, mixed, ["bucket"]), "apart")
+    rest = stage(undecided(apart.join(described_, "node"), apart.count(), sketch_near), "undecided")
+    rest = rest.join(apart.select("bucket", "node", "component"), ["bucket", "node"]).join(texts, "node")
+    rest = stage(rest.join(described_, "node").withColumn("__chars", F.length("text")), "rest")
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.greatest(size / MEMBERS, F.sum("__chars") / CHARS)).cast("int").alias("blocks"))
+    across = stage(settled(salted(rest.drop("__chars"), blocks, ["bucket"], by=["node"]), rest.count(), sketch_near), "links")
+    if not across.isEmpty():
+        before, found = found, components(found.selectExpr("node as a", "component as b").unionByName(across))
+        unstage(before)
+    unstage(shared, members, forests, pairs, texts, links, placed, apart, rest, across)
+    return found
+
+
+def classes(docs: DataFrame, sketch_near: float = SKETCH_NEAR) -> DataFrame:
+    """(doc_id, node, class_id, first) of every row of ``docs``; ``first``: rows that stand for their class, equal to each other in doc_id and text."""
+    text = text_or_empty("text")
+    own = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("node"), described(text).alias("d"))
+    rows = stage(own.select("doc_id", "node", "d.*"), "signatures")
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("buckets").alias("buckets"), F.max("sketch").alias("sketch")), "nodes")
+    found = connected(nodes, docs, sketch_near)
 
     linked = nodes.join(found, "node", "left").select("node", "n", "first_id", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("__linked"))
     linked = stage(linked.where("n > 1 or __linked"), "linked")
-    firsts = linked.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = stage(salted(linked.select("node", "component"), firsts, ["component"]).select("node", "class_id"), "classes")
-    met = salted(rows.select("doc_id", "node"), named, ["node"], how="left")
-    return met.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    least = F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("__least")
+    firsts = linked.groupBy("component").agg(least).select("component", F.col("__least.first_id").alias("class_id"), F.col("__least.node").alias("first_node"))
+    named = stage(salted(linked.select("node", "component"), firsts, ["component"]).select("node", "class_id", "first_node"), "classes")
+    unstage(nodes, found, linked)
+    met = salted(rows.select("doc_id", "node"), named.withColumn("__met", F.lit(True)), ["node"], how="left")
+    alone = F.col("__met").isNull()
+    first = alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
+    return met.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), first.alias("first"))
 
 
 def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,9 +558,8 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest doc_id stays, one row of it."""
-    others = classes(docs).where("not (doc_id <=> class_id)").select("doc_id", "node").distinct()
-    others = stage(others.withColumnsRenamed({"doc_id": "__id", "node": "__node"}), "near-duplicates")
+    """Pipeline stage: of each class one row stays: the smallest doc_id, of these the smallest MD5 of a text, of equal rows one."""
+    others = stage(classes(docs).where("not first").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct(), "near-duplicates")
     node = F.unhex(F.md5(text_or_empty("text").cast("binary")))
     kept = docs.withColumn("__own", node).join(others, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_anti")
     return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)

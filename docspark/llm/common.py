@@ -22,14 +22,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
+def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner", by: list[str] | None = None) -> DataFrame:
     """Equi-join of many left rows with unique-key right rows, with every key dealt over ``salts`` tasks.
 
     The right side must hold one row a key; it is repeated ``salts`` times, so a
     key that a third of the left rows share is spread without copying those rows.
-    Null keys match each other.
+    ``by``: the left columns whose hash deals them, all by default. Null keys match each other.
     """
-    left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int"))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     names = {k: f"__r_{k}" for k in on}
     right = right.withColumnsRenamed(names)

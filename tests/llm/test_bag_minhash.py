@@ -79,14 +79,57 @@ def near_corpus():
     return rows
 
 
-def test_classes_equal_brute_force(spark, tables, monkeypatch):
+@pytest.mark.parametrize("members, chars, near", [(8, 2000, bm.SKETCH_NEAR), (4096, 1 << 24, bm.SKETCH_NEAR), (4096, 1 << 24, 0.0)])
+def test_classes_equal_brute_force(spark, tables, monkeypatch, members, chars, near):
     rows = near_corpus()
-    monkeypatch.setattr(bm, "MEMBERS", 8)
+    monkeypatch.setattr(bm, "MEMBERS", members)
+    monkeypatch.setattr(bm, "CHARS", chars)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as class_id", "2 as component")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in bm.classes(docs, near).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_query_and_stage(spark, tables):
+    rows = near_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as class_id", "2 as component", "true as first")
     got = sorted(((r["doc_id"], r["class_id"]) for r in bm.op10_bag_minhash(spark, tables(documents=docs)).collect()), key=repr)
     assert got == brute(rows)
-    kept = bm.drop_near_duplicates(spark, docs, "").collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in got})
+    kept = bm.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in got})
+
+
+def test_one_row_stays_where_ids_repeat(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(100)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 1, 99)]
+    docs = spark.createDataFrame([(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (2, "something else"), (3, "something else")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in bm.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 2 and sorted(k[0] for k in kept) == [1, 2] and (2, "something else") in kept
+
+
+def test_forest_and_overlaps():
+    r = np.random.default_rng(5)
+    for n in (2, 3, 17, 60):
+        like = np.triu(r.integers(0, 5, (n, n)).astype(np.uint8), 1)
+        like = like + like.T
+        edges = bm.spanning(like, np.arange(n))
+
+        def weight(pairs):
+            group, total = list(range(n)), 0
+            for i, j in pairs:
+                if group[i] != group[j]:
+                    total += int(like[i, j])
+                    group = [group[i] if g == group[j] else g for g in group]
+            return total
+
+        best = sorted(((i, j) for i in range(n) for j in range(i) if like[i, j]), key=lambda p: -int(like[p]))
+        assert weight(edges) == weight(best) == sum(int(like[e]) for e in edges)
+    texts = [t or "" for _, t in near_corpus()]
+    bags = bm.Bags(texts)
+    for i in (0, 40, 60, 99, len(texts) - 1):
+        got = bags.overlaps(i, np.arange(len(texts)))
+        assert got == pytest.approx([jaccard(bag(texts[i]), bag(t)) for t in texts])
 
 
 def test_empty_table(spark, no_docs, tables):
