@@ -17,8 +17,8 @@ table reads a character, whatever its length, and the same table gives the
 same value as summing over the landmarks.
 
 Training takes a bounded sample: of the labelled rows outside the held-out
-fold, at most ``toxic_rows`` and ``clean_rows`` in the order of md5(doc_id), of
-these the texts of at most ``max_chars`` characters. Scoring covers every whole text.
+fold, texts of at most ``max_chars`` characters in the order of md5(doc_id), at most
+``toxic_rows`` and ``clean_rows`` of them. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no window and get the score of the
 bias alone; without labelled texts of both classes the score is the share of
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import table
+from docspark.plans.staging import stage, unstage
 
 ORDER, REACH, WINDOW, DECAY = 4, 6, 12, 0.7
 PAD, OTHER, SIGN = 31, 30, 28
@@ -47,12 +49,12 @@ THRESHOLD = 0.3
 
 
 def _letter_classes() -> np.ndarray:
-    """Latin letters by their base letter, blanks, digits and signs as one class each."""
-    out = np.full(0x250, OTHER, np.int32)
-    for i in range(0x250):
+    """Latin letters by their base letter; letters of other scripts by code point, dealt over the same classes; blanks, digits and signs as one class each."""
+    out = np.full(0x10000, OTHER, np.int32)
+    for i in range(0x10000):
         c = unicodedata.normalize("NFKD", chr(i).lower())[:1]
-        out[i] = ord(c) - 96 if "a" <= c <= "z" else 0 if c.isspace() else 27 if c.isdigit() else SIGN
-    out[-1] = OTHER  # stands for every character beyond
+        out[i] = ord(c) - 96 if "a" <= c <= "z" else 0 if c.isspace() else 27 if c.isdigit() else 1 + ord(c) % 26 if c.isalpha() else SIGN
+    out[-1] = OTHER  # stands for every character beyond the first plane
     return out
 
 
@@ -62,7 +64,7 @@ CLASSES = _letter_classes()
 def classes(text: str) -> np.ndarray:
     """Class of each character; signs go, and so do blanks between single letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = CLASSES[np.minimum(points, 0x24F)]
+    codes = CLASSES[np.minimum(points, 0xFFFF)]
     codes = codes[codes != SIGN]
     if len(codes) > 4:
         blank = codes == 0
@@ -180,7 +182,7 @@ def _enriched(codes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, landmarks: int = 300, rounds: int = 3, seed: int = 7) -> Model:
     """Fit on the texts where ``calibrate`` is false, set the logistic scale on the others."""
     toxic = np.asarray(toxic).astype(bool)
-    fit = ~np.asarray(calibrate) & np.array([bool(t) for t in texts])
+    fit = ~np.asarray(calibrate, dtype=bool) & np.array([bool(t) for t in texts], dtype=bool)
     if not (toxic[fit].any() and (~toxic[fit]).any()):
         share = toxic.mean() if len(toxic) else 0.0
         return Model(shift=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
@@ -270,16 +272,16 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 4500, max_chars: int = 12_000) -> Model:
     """Train on a bounded sample of the labelled rows outside fold 2; fold 3 calibrates."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("__toxic")).where(fold(F.col("doc_id")) != 2)
-    pick = lambda y, n: usable.where(F.col("__toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
-    sample = pick(1, toxic_rows).unionByName(pick(0, clean_rows))  # this many ids at most, which is what bounds the broadcast
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .where(F.length("text") <= max_chars)
-        .select("text", "__toxic", (fold(F.col("doc_id")) == 3).alias("__calibrate"), F.md5(F.col("text")).alias("__order"))
-        .toPandas()
-        .sort_values(["__order", "__toxic"])
-    )
+    bounds = {1: toxic_rows, 0: clean_rows}
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    # Twice as many ids as texts, as long texts drop out; that bounds the broadcast. The second limit bounds what repeated ids bring to the driver.
+    sample = reduce(DataFrame.unionByName, (usable.where(F.col("__toxic") == y).orderBy(order, "doc_id").limit(2 * n) for y, n in bounds.items()))
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= max_chars)
+    found = found.select("text", "__toxic", (fold(F.col("doc_id")) == 3).alias("__calibrate"), order.alias("__id"), F.md5(F.col("text")).alias("__order"))
+    found = stage(found, "training")
+    rows = pd.concat([found.where(F.col("__toxic") == y).orderBy("__id", "__order").limit(n).toPandas() for y, n in bounds.items()])
+    unstage(found)
+    rows = rows.sort_values(["__order", "__toxic"])
     return train(rows["text"].tolist(), rows["__toxic"].to_numpy(), rows["__calibrate"].to_numpy(bool))
 
 

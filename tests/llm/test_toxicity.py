@@ -67,7 +67,23 @@ def test_chunks_of_a_long_text_agree(model, monkeypatch):
 
 def test_no_labels_of_a_class():
     assert tox.train(["a b"], np.array([0]), np.array([False])).scores(["x"])[0] < 0.01
-    assert tox.train([], np.array([]), np.array([], bool)).scores(["", "x"]).tolist() == pytest.approx([0.5, 0.5])
+    assert tox.train([], np.array([]), np.array([], bool)).scores(["", "x"]).tolist() == pytest.approx([0, 0], abs=1e-6)
+    assert tox.train(["", ""], np.array([1, 0]), np.array([False, False])).scores(["x"])[0] == pytest.approx(0.5)
+
+
+def test_other_scripts_and_bounded_sample(spark):
+    assert len(set(tox.classes("привет").tolist())) > 3 and tox.classes("a\u201db\u2019c").tolist() == tox.classes("abc").tolist()
+    docs = spark.createDataFrame([(1, "one text"), (1, "two texts"), (1, "three texts"), (2, "x" * 500), (3, "clean")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
+    seen = []
+    fit, train = tox.fit, tox.train
+    try:
+        tox.train = lambda texts, toxic, calibrate: seen.append((texts, list(toxic)))
+        fit(docs, labels, toxic_rows=2, clean_rows=5, max_chars=100)
+    finally:
+        tox.train = train
+    texts, toxic = seen[0]
+    assert sum(toxic) <= 2 and set(texts) <= {"one text", "two texts", "three texts", "clean"} and "x" * 500 not in texts
 
 
 def test_query_and_stage(spark, odd_docs, no_docs, tables):
