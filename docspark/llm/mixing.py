@@ -16,10 +16,12 @@ schedule is the source's cumulative demand, a quadratic that is inverted in
 closed form to turn a document's place in its source's stream into a training
 position between 0 and 1, one for each pass; the mix is range-sorted by position.
 
-Prefix sums inside a source run in two levels: the hash order is cut into
-BUCKETS parts, small sums a part are accumulated a source, and rows only meet the
-rows of their own part. So a source that holds a third of the rows is spread
-over many tasks. The table of sources is small, one row each.
+Prefix sums inside a source run in two levels: the hash order is cut into parts
+of about PART_ROWS rows were they all of one source, small sums a part are
+accumulated a source, and rows only meet the rows of their own part. So a source
+that holds a third of the rows is spread over many tasks, whatever the input's
+size; results do not depend on the parts. The table of sources, one short row
+each, is ranked in one task.
 
 Defined cases: a null text has size 0; empty documents take nothing; a null source
 is one of its own; without any word all targets are 0; rows equal in id and text
@@ -28,6 +30,8 @@ are dealt one after the other; further columns are carried by the stage.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,8 @@ from docspark.plans.staging import stage
 WEIGHTS = [3.0, 1.0, 2.0]
 SLOPES = [0.5, -0.5, 0.0]
 SHARE, MOST = 1.5, 2
-#: Hex digits of the hash that make a part of a source: 16 ** 2 parts.
-BUCKET_DIGITS = 2
+#: Rows that a part of a source holds at most on average, and the least number of hex digits of the hash that name a part.
+PART_ROWS, DIGITS = 1 << 14, 2
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -75,9 +79,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "weight", "slope", F.round(target, 6).alias("target"))
 
 
-def mix(rows: DataFrame) -> DataFrame:
+def digits(n_rows: int) -> int:
+    return max(DIGITS, math.ceil(math.log(max(1, n_rows) / PART_ROWS, 16)))
+
+
+def mix(rows: DataFrame, n_digits: int = DIGITS) -> DataFrame:
     """Sized rows with source_size, target, slope, taken, __start (words before the row in a pass) and position (of the first pass, null if none is taken)."""
-    rows = rows.withColumn("__part", F.substring("__h", 1, BUCKET_DIGITS))
+    rows = rows.withColumn("__part", F.substring("__h", 1, n_digits))
     parts = rows.groupBy("source", "__part").agg(F.sum("__size").alias("__size"))
     parts = stage(parts, "mix-parts")
     before = parts.selectExpr("source", "__part", "coalesce(sum(__size) over (partition by source order by __part rows between unbounded preceding and 1 preceding), 0) as __before")
@@ -106,19 +114,24 @@ def position(pass_: int | Column):
 
 
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix(sized(docs).drop("text"), digits(docs.count()))
+    second = F.when(F.col("taken") > F.col("__size"), position(1))
+    placed = mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round(second, 6).alias("second_position"))
+    # Staged, so that the sample behind the range exchange does not mix twice.
+    return stage(placed, "mixed").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as it is taken (a part of a pass counts as a whole one), each pass at its own position."""
     # The document travels as one column, so that its own names clash with none of the mix; its text travels once.
-    mixed = mix(sized(docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")).drop("text"))
+    mixed = mix(sized(docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")).drop("text"), digits(docs.count()))
     passes = F.ceil(F.col("taken") / F.nullif(F.col("__size"), F.lit(0))).cast("int")
     repeated = mixed.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("position", position(F.col("__pass")))
     return repeated.repartitionByRange("position", "__pass").sortWithinPartitions("position", "__pass").select("__row.*")
 
 
+_INVERSE = "CASE WHEN slope = 0 THEN {share} ELSE ((1 + slope) - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * {share}))) / (2 * slope) END"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, md5(coalesce(text, '')) AS t FROM documents),
@@ -131,7 +144,8 @@ a AS (SELECT *, max(CASE WHEN level * weight <= 2 * source_size THEN level END)
 r AS (SELECT source, source_size, slope, round(least(2.0 * source_size, coalesce(water, 1e300) * weight), 6) AS target FROM a),
 s AS (SELECT d.*, source_size, slope, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - source_size - start)) AS taken, least(1.0, (start + size / 2) / nullif(target, 0)) AS share FROM s)
+k AS (SELECT *, greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - source_size - start)) AS taken,
+  least(1.0, (start + size / 2) / nullif(target, 0)) AS share, least(1.0, (start + source_size + size / 2) / nullif(target, 0)) AS share2 FROM s)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-  round(CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN share ELSE ((1 + slope) - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * share))) / (2 * slope) END END, 6) AS position FROM k
+  round(CASE WHEN taken > 0 THEN {_INVERSE.format(share="share")} END, 6) AS position, round(CASE WHEN taken > size THEN {_INVERSE.format(share="share2")} END, 6) AS second_position FROM k
 """

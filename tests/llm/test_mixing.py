@@ -26,6 +26,19 @@ def brute_targets(sizes: dict, share=1.5, most=2):
     return target
 
 
+def check_odd(spark, d, rows):
+    """As check, where rows share an id: figures of an id's sources."""
+    got = mixing.op8_curriculum(spark, d).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    want = brute_targets(sizes)
+    figures = sorted((i is not None, i or 0, sizes[s], round(want[s], 4)) for i, _, s in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["source_size"], round(r["target"], 4)) for r in got) == figures
+    assert sum(r["taken"] for r in got) == pytest.approx(sum(want.values()), abs=len(want)) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    return got
+
+
 def check(spark, d, rows):
     got = mixing.op8_curriculum(spark, d).collect()
     sizes, own = {}, {}
@@ -46,9 +59,8 @@ def check(spark, d, rows):
 
 def test_odd_rows(spark, odd_docs, tables):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in odd_docs.collect()]
-    own = {5: "b", 1: None, 6: None}
-    check(spark, tables(documents=odd_docs), [r for r in rows])
-    assert own
+    got = check_odd(spark, tables(documents=odd_docs), rows)
+    assert {r["size"] for r in got if r["doc_id"] in (1, 2, 3)} == {0} and {r["taken"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
 
 
 def test_hot_source_and_capped_targets(spark, tables):
@@ -58,6 +70,16 @@ def test_hot_source_and_capped_targets(spark, tables):
     assert any(r["target"] == 2 * r["source_size"] for r in got)
     assert all((r["position"] is None) == (r["taken"] == 0) for r in got)
     assert all(0 <= r["position"] <= 1 for r in got if r["position"] is not None)
+    twice = [r for r in got if r["taken"] > r["size"]]
+    assert twice and all(r["position"] < r["second_position"] <= 1 for r in twice) and all(r["second_position"] is None for r in got if r["taken"] <= r["size"])
+    assert max(r["second_position"] for r in twice) > 0.9  # passes of a source with target 2 x size fill the whole of training
+    assert [r["position"] or 0 for r in got] == sorted(r["position"] or 0 for r in got)
+
+
+def test_parts_do_not_change_results(spark):
+    rows = spark.range(300).selectExpr("id as doc_id", "repeat('w ', cast(id % 9 as int)) as text", "concat('s', id % 4) as source")
+    few, many = (sorted(map(repr, mixing.mix(mixing.sized(rows), k).drop("__part").collect())) for k in (1, 4))
+    assert few == many and mixing.digits(10) == 2 and mixing.digits(10**10) == 5
 
 
 def test_schedule_is_inverted(spark):
