@@ -52,8 +52,8 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """Least edit distance of a pattern of m characters to any substring of text, and where the first such ends."""
+def myers(masks: dict[str, int], m: int, text: str, anchored: int = 0) -> tuple[int, int]:
+    """Least edit distance of a pattern of m characters to any substring of text (if ``anchored`` is 1: to any prefix), and where the first such ends."""
     full, high = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best, end = full, 0, m, m, 0
     get = masks.get
@@ -69,7 +69,7 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, end = score, j
-        ph, mh = ph << 1, mh << 1
+        ph, mh = ph << 1 | anchored, mh << 1
         plus = (mh | ~(xv | ph)) & full
         minus = ph & xv & full
     return best, end
@@ -150,7 +150,9 @@ class Matcher:
                     at = window.find(item)
                     d, e = (0, at + m) if at >= 0 else myers(self.masks[i], m, window) if k else (m, 0)
                     if d <= k and (best is None or d < best[0]):
-                        best = (d, max(0, a + e - m), a + e)
+                        # The start: the same pattern and text read backwards from the end.
+                        length = myers(masks_of(item[::-1]), m, window[max(0, e - m - d) : e][::-1], 1)[1] if d else m
+                        best = (d, a + e - length, a + e)
                     low = None
                     if best and best[0] == 0:
                         break
@@ -168,7 +170,7 @@ def _matcher(items: tuple[str, ...], rate: float, min_piece: int) -> Matcher:
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list]:
     """(item_id, normal text) of the items, a block at a time; one block is all the driver holds."""
-    items = benchmark.select("item_id", normal("text").alias("text")).where("text <> ''")
+    items = benchmark.select("item_id", normal("text").alias("text")).where("text <> ''").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n"))
     total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     for b in range(n):
@@ -203,10 +205,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_pi
     """The ``keep`` columns with item_id, distance, start and end (in the normal form of the text) of each item that occurs."""
     spark, out = docs.sparkSession, None
     for rows in _blocks(benchmark, block_chars):
-        found = docs.select(*keep, F.explode(_matches(_shared(spark, rows, rate, min_piece))).alias("m"))
+        found = docs.select(F.struct(*keep).alias("__kept"), F.explode(_matches(_shared(spark, rows, rate, min_piece))).alias("__m"))
         # One row an item of the block, which bounds this broadcast.
-        names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], "item int, item_id long")
-        found = found.select(*keep, "m.*").join(F.broadcast(names), "item").select(*keep, "item_id", "distance", "start", "end")
+        names = spark.createDataFrame([(k, r["item_id"], r["n"]) for k, r in enumerate(rows)], "__item int, __item_id long, __n long")
+        found = found.join(F.broadcast(names), F.col("__m.item") == F.col("__item"))
+        found = found.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))  # an item as often as the benchmark holds it
+        found = found.select(*(F.col("__kept")[c].alias(c) for c in keep), F.col("__item_id").alias("item_id"), "__m.distance", "__m.start", "__m.end")
         out = found if out is None else out.unionAll(found)
     if out is None:
         nothing = F.lit(None)

@@ -70,6 +70,16 @@ def test_planted_passages(spark):
     assert blocks == got
 
 
+def test_start_and_repeated_items(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    for text, d, start, end in ((f"aaaa {item} bbbb", 0, 5, 5 + len(item)), (f"aaaa {item[:20]}{item[23:]} bbbb", 3, 5, 2 + len(item)), (f"aaaa {item[:20]}xyz{item[20:]} bbbb", 3, 5, 8 + len(item))):
+        assert dc.Matcher((item,), 0.1, 1).search(text) == [(0, d, start, end)]
+    docs = spark.createDataFrame([(1, f"x {item} y")], "doc_id long, text string").selectExpr("*", "5 as start", "'q' as item")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = dc.find_leaks(docs, bench, keep=("doc_id", "item")).collect()
+    assert sorted(r["item_id"] for r in got) == [7, 7, 8] and {(r["item"], r["start"]) for r in got} == {("q", 2)}
+
+
 def test_stage_and_empty_tables(spark, tables):
     docs, bench = fixtures(spark)
     d = tables(benchmark=bench)
