@@ -28,6 +28,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of hex digits is kept from 2
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d}" % RUN)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]{4,}(?=[\r\n=]))*={0,2}")
-_HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}")
+_BASE64_ON = re.compile(r"([A-Za-z0-9+/]+)(?:\s|\\[nrt])*")  # a line of a key and what parts it from the next, escaped line ends included
+_HEX_ANY = re.compile(r"[0-9a-fA-F]{64,}")
+_JSON_START = re.compile("ey[JA]|ew[ok0]")  # base64 of an opening brace and a quote or white space
 _BASIC = re.compile(r"[Bb]asic\x20+([A-Za-z0-9+/]{8,}={0,2})")
 _OPENSSH = b"openssh-key-v1\0"
+_OPENSSH_START = "b3BlbnNzaC1rZXktdjEA"
 
 
 def _base64(text: str, url: bool = False) -> bytes | None:
@@ -105,25 +109,35 @@ def is_private_key(data: bytes) -> bool:
     return version in (0, 1) and len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key file: magic, then strings whose lengths fit inside."""
+def der_length(data: bytes) -> int:
+    """Bytes of the sequence that begins data, if its first field is a version number of 0 or 1, else 0."""
+    if len(data) < 8 or data[0] != 0x30:
+        return 0
+    size = data[1] & 0x7F if data[1] & 0x80 else 0
+    if size > 4 or data[2 + size : 4 + size] != b"\x02\x01" or data[4 + size] > 1:
+        return 0
+    return 2 + size + (int.from_bytes(data[2 : 2 + size]) if size else data[1])
+
+
+def openssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that begins data (magic, then strings whose lengths fit inside), else 0."""
     if not data.startswith(_OPENSSH):
-        return False
+        return 0
     at = len(_OPENSSH)
     for _ in range(3):  # cipher, derivation, its options
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4])
     if at + 4 > len(data):
-        return False
+        return 0
     keys, at = int.from_bytes(data[at : at + 4]), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return 0
     for _ in range(keys + 1):  # the public keys and the private part
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4])
-    return at <= len(data)
+    return at if at <= len(data) else 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -149,26 +163,66 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 out.append((m.start(1), m.end(1), "basic"))
     if not _LONG.search(text) and text.count(".") < 2:
         return out
-    if "eyJ" in text:  # base64 of an opening brace and a quote
+    if _JSON_START.search(text):
         for m in _JWT.finditer(text):
             head = _json_object(m[1])
             if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:
                 out.append((m.start(), m.end(), "jwt"))
-    if "M" in text or "b3Blb" in text:
-        for m in _BASE64.finditer(text):
-            # A header line of text may precede the key in the run, so the starts of both encodings are tried.
-            for start in [m.start()] if m[0][0] in "Mb" else [m.start() + k for k in (m[0].find("MI"), m[0].find("b3Blb")) if k > 0]:
-                if text[start] not in "Mb" or not (data := _base64(text[start : m.end()])):
-                    continue
-                kind = "openssh" if is_openssh_key(data) else "pkcs" if is_private_key(data) else None
-                if kind:
-                    out.append((start, m.end(), kind))
+    if "M" in text or _OPENSSH_START in text:
+        out += _base64_keys(text)
+    end = 0
     for m in _HEX_ANY.finditer(text):
-        if m[0].startswith("30") and is_private_key(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "pkcs"))
+        for start in _places("30", m[0]):
+            head = m[0][start : start + 20]
+            n = 2 * der_length(bytes.fromhex(head[: len(head) & ~1]))
+            if m.start() + start >= end and 0 < n <= len(m[0]) - start and is_private_key(bytes.fromhex(m[0][start : start + n])):
+                end = m.start() + start + n
+                out.append((m.start() + start, end, "pkcs"))
     return out
 
 
+def _places(part: str, text: str) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+def _read_on(text: str, start: int, n: int | None) -> tuple[str, list[tuple[int, int]]]:
+    """The next n (or all) base64 characters from start, over line ends, and the (number before, place) of each line."""
+    parts, lines, held, at = [], [], 0, start
+    while (n is None or held < n) and (m := _BASE64_ON.match(text, at)):
+        lines.append((held, m.start()))
+        parts.append(m[1])
+        held, at = held + len(m[1]), m.end()
+    return "".join(parts)[:n], lines
+
+
+def _base64_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64 that begin anywhere in a run of such characters; their own lengths say where they end."""
+    out, end = [], 0
+    for m in _BASE64.finditer(text):
+        for kind, first in (("pkcs", "M"), ("openssh", _OPENSSH_START)):
+            for start in (m.start() + k for k in _places(first, m[0])):
+                if start < end:
+                    continue
+                if kind == "pkcs":
+                    n = der_length(_base64(text[start : start + 12]) or b"") if start + 12 <= m.end() else 0
+                    chars, lines = _read_on(text, start, -(-n * 4 // 3)) if n else ("", [])
+                    fits = n and len(chars) == -(-n * 4 // 3) and is_private_key((_base64(chars) or b"")[:n])
+                else:
+                    chars, lines = _read_on(text, start, None)
+                    n = openssh_length(_base64(chars[: len(chars) & ~3]) or b"") or openssh_length(_base64(chars) or b"")
+                    fits = n > 0
+                if fits:
+                    n = -(-n * 4 // 3)
+                    held, at = [x for x in lines if x[0] < n][-1]
+                    end = at + n - held
+                    end += len(re.match("={0,2}", text[end : end + 2])[0])
+                    out.append((start, end, kind))
+    return sorted(out)
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 

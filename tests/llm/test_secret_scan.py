@@ -54,6 +54,21 @@ def test_structures_are_confirmed():
         assert f"{kind}:" in ss.findings(text)[4]
 
 
+def test_keys_at_any_place_of_a_run():
+    lines = lambda s, end: end.join(s[i : i + 64] for i in range(0, len(s), 64))
+    short = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) * 60) for k in range(7)) + der(2, b"k" * 61))
+    spaced = base64.urlsafe_b64encode(b'{ "alg": "none"}').rstrip(b"=").decode()
+    cases = [("pkcs", "xMIxM" + b64(RSA)), ("pkcs", b64(RSA) + "trailing"), ("pkcs", "ab3" + PKCS8.hex() + "ff"), ("pkcs", '{"key": "' + lines(b64(RSA), "\\n") + '\\n"}'),
+             ("pkcs", lines(b64(RSA), "\n    ") + " and prose goes on here"), ("pkcs", lines(b64(short).rstrip("="), "\r\n")), ("openssh", "Zz9" * 12 + b64(OPENSSH)), ("openssh", lines(b64(OPENSSH), "\n") + "\nend of it"), ("jwt", f"{spaced}.{url({})}.")]
+    for kind, text in cases:
+        found = ss.confirmed_spans(text)
+        assert [s[2] for s in found] == [kind], (kind, text)
+        start, end, _ = found[0]
+        assert 0 <= start < end <= len(text)
+    start, end, _ = ss.confirmed_spans(b64(RSA) + " trailing")[0]
+    assert (start, end) == (0, len(b64(RSA)))
+
+
 def test_look_alikes_are_not():
     bad = bytearray(RSA)
     bad[3] ^= 1
