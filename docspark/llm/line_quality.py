@@ -1,9 +1,9 @@
 """Line-first cleaning with DataFrame functions only.
 
-Every line is judged on its own: punctuation (a line of more than MIN_BLANKS
+Every line is judged on its own: punctuation (a line of more than MIN_WORDS
 words without any sentence mark, or one with as many signs as words), navigation
 (separators between short labels) and boilerplate (a short line with a stock
-phrase); words are counted here as blanks + 1. Failing lines are removed; a document that loses more than
+phrase, in English, French, German or Spanish). Failing lines are removed; a document that loses more than
 MAX_LOSS percent of its word characters that way is rejected.
 
 Repeated three-word windows are counted inside the row: each window becomes one
@@ -24,31 +24,37 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import table, text_or_empty, words
 
-MIN_BLANKS, MAX_LOSS, STOCK_BLANKS = 3, 50, 30
+MIN_WORDS, MAX_LOSS, STOCK_WORDS = 3, 50, 30
 WORD = "[^\\x20\\x09-\\x0D]"
 SENTENCE_MARK = "[.!?\u2026\u3002\u061F]"
 SEPARATORS = "|\u00BB\u00B7"
 SIGNS = "#*$%&<>~^=_{}!" + SEPARATORS
 #: Stock phrases of pages, not of their content.
 PHRASES = ["all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "sign in", "log in", "skip to content", "share this", "licensed under", "copyright"]
-STOCK = "(?i)" + "|".join(PHRASES)
+PHRASES += ["tous droits réservés", "politique de confidentialité", "mentions légales", "se connecter", "partager cet article", "accepter les cookies"]
+PHRASES += ["alle rechte vorbehalten", "datenschutzerklärung", "impressum", "jetzt anmelden", "newsletter abonnieren", "cookies akzeptieren"]
+PHRASES += ["todos los derechos reservados", "política de privacidad", "aviso legal", "iniciar sesión", "suscríbete al boletín", "aceptar cookies"]
+#: A phrase stands between other characters than letters; ASCII is named, so that every engine reads the same.
+STOCK = "(^|[^A-Za-z])(" + "|".join(PHRASES) + ")($|[^A-Za-z])"
 
 
-def _line_fails(line: str = "l") -> str:
-    """SQL (of Spark) for one line's verdict; blanks + 1 stands for the words of the line."""
-    n = f"(length({line}) - length(replace({line}, ' ', '')) + 1)"
+def _line_fails(line: str = "l.line", n: str = "l.n") -> str:
+    """SQL (of Spark) for one line's verdict; n: its words."""
     signs = f"regexp_replace({line}, '[^{SIGNS}]+', '')"
     separators = f"length(regexp_replace({line}, '[^{SEPARATORS}]+', ''))"
-    return f"""({n} > {MIN_BLANKS} AND NOT {line} RLIKE '{SENTENCE_MARK}')
+    return f"""({n} > {MIN_WORDS} AND NOT {line} RLIKE '{SENTENCE_MARK}')
         OR (length({signs}) >= {n} AND length({signs}) > 2)
         OR ({separators} >= 2 AND 3 * {separators} >= {n})
-        OR ({n} <= {STOCK_BLANKS} AND {line} RLIKE '{STOCK}')"""
+        OR ({n} <= {STOCK_WORDS} AND {line} RLIKE '(?iu){STOCK}')"""
+
+
+_COUNTED = f"transform(__lines, x -> struct(x AS line, regexp_count(x, '{WORD.replace(chr(92), chr(92) * 2)}+') AS n))"
 
 
 def with_bad_lines(docs: DataFrame) -> DataFrame:
     """docs with __lines (all) and __bad (those that fail a rule)."""
     lined = docs.withColumn("__lines", F.split(text_or_empty("text"), "\n", -1))
-    return lined.withColumn("__bad", F.expr(f"filter(__lines, l -> {_line_fails()})"))
+    return lined.withColumn("__bad", F.expr(f"filter({_COUNTED}, l -> {_line_fails()}).line"))
 
 
 def word_chars(c: Column) -> Column:
@@ -102,7 +108,7 @@ def clean(docs: DataFrame) -> DataFrame:
     # The document travels as one column, so that its own names clash with none of the measures.
     # The row number keeps the filter above the measures: pushed below them it would put whole arrays into each other's lambdas.
     judged = measure(docs.select(F.struct("*").alias("__row"), "text")).withColumn("__at", F.monotonically_increasing_id()).where("kept and __at >= 0")
-    good = F.expr(f"array_join(filter(__lines, l -> NOT ({_line_fails()})), '\\n')")
+    good = F.expr(f"array_join(filter({_COUNTED}, l -> NOT ({_line_fails()})).line, '\\n')")
     return judged.select(F.col("__row").withField("text", good).alias("__row")).select("__row.*")
 
 
@@ -113,10 +119,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     r = "'[^\\x20\\x09-\\x0D]+'"
-    n = "(length(l) - length(replace(l, ' ', '')) + 1)"
+    n = f"len(regexp_extract_all(l, {r}))"
     count = lambda of: f"length(regexp_replace(l, '[^{of}]+', '', 'g'))"
-    fails = f"""({n} > {MIN_BLANKS} AND NOT regexp_matches(l, '{SENTENCE_MARK}')) OR ({count(SIGNS)} >= {n} AND {count(SIGNS)} > 2)
-      OR ({count(SEPARATORS)} >= 2 AND 3 * {count(SEPARATORS)} >= {n}) OR ({n} <= {STOCK_BLANKS} AND regexp_matches(l, '{STOCK}'))"""
+    fails = f"""({n} > {MIN_WORDS} AND NOT regexp_matches(l, '{SENTENCE_MARK}')) OR ({count(SIGNS)} >= {n} AND {count(SIGNS)} > 2)
+      OR ({count(SEPARATORS)} >= 2 AND 3 * {count(SEPARATORS)} >= {n}) OR ({n} <= {STOCK_WORDS} AND regexp_matches(l, '(?i){STOCK}'))"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, {r}) AS w, string_split(t, chr(10)) AS ls FROM d),

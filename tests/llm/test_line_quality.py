@@ -38,6 +38,13 @@ def test_line_rules(spark):
     assert {r["doc_id"]: r["text"] for r in lq.clean(docs).collect()} == {1: prose, 3: prose}
 
 
+def test_words_and_edges(spark):
+    texts = ["one\ttwo\tthree\tfour five", "    a  b   c", "the design in catalog in use is old.", "TOUS DROITS RÉSERVÉS.", "Please sign in.", "Impressum", "blogin. x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bad = {r["doc_id"] for r in lq.with_bad_lines(docs).where("size(__bad) > 0").collect()}
+    assert bad == {0, 3, 4, 5}
+
+
 def test_stays_native(spark, tables, odd_docs):
     d = tables(documents=odd_docs)
     plan = lq.op4_line_quality(spark, d)._jdf.queryExecution().executedPlan().toString()
