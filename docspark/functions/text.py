@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspark.functions.profiles import ARABIC, ARABIC_DIGITS, HONORIFICS, UNICODE, TextProfile
+from docspark.functions.profiles import ARABIC, ARABIC_DIGITS, HONORIFICS, SIGLA, UNICODE, TextProfile
 
 #: Entities that pages use; the ampersand comes last so that nothing is unescaped twice.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&middot;": "\u00b7", "&copy;": "\u00a9", "&laquo;": "\u00ab", "&raquo;": "\u00bb", "&amp;": "&"}
@@ -120,15 +120,15 @@ def expand_honorifics(c: str | Column, ligatures: dict[str, str] | None = None)
     out = _col(c)
     for sign, words in (ligatures or HONORIFICS).items():
         out = F.replace(out, F.lit(sign), F.lit(f" {words} "))
-    return out
+    return F.regexp_replace(out, "[ \t]+", " ")
 
 
 def speakable(c: str | Column) -> Column:
     """Text to be read aloud: no markup, ligatures in words, no note marks, sigla, brackets or quotes."""
     out = expand_honorifics(strip_markup(c))
-    out = F.regexp_replace(out, MARKER, "")
-    out = F.regexp_replace(out, "\\[[^\\]]{1,2}\\]", "")
-    out = F.regexp_replace(out, "[()\\[\\]{}«»\"“”﴿﴾]", "")
+    out = F.regexp_replace(out, MARKER, " ")
+    out = F.regexp_replace(out, f"\\[\\s*[{SIGLA}]\\s*\\]", " ")
+    out = F.regexp_replace(out, "[«»\"\\[\\]{}﴿﴾()*_=]", " ")
     return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
@@ -232,6 +232,27 @@ def escape_html(c: str | Column) -> Column:
     return out
 
 
+def clean_user(c: str | Column) -> Column:
+    """A transcript's user text: system tags go with their content, pasted content is marked."""
+    out = F.regexp_replace(_col(c), "(?s)<(system-[a-z-]+)>.*?</\\1>", "")
+    return F.trim(F.regexp_replace(out, "(?s)<pasted[^>]*>.*?</pasted>", "[pasted content]"))
+
+
+def tool_line(name: str | Column, detail: str | Column) -> Column:
+    """One line for a tool call; without a detail its name alone."""
+    return F.concat(F.lit("- "), F.concat_ws(": ", F.coalesce(_col(name), F.lit("tool")), F.nullif(F.trim(_col(detail)), F.lit(""))))
+
+
+def question(c: str | Column, most: int = 500) -> Column:
+    """A question as it is taken in: trimmed, of bounded length, empty for null."""
+    return F.substring(F.trim(F.coalesce(_col(c), F.lit(""))), 1, most)
+
+
+def display_words(c: str | Column) -> Column:
+    """Words to show: parted at white space, those of signs alone dropped."""
+    return F.filter(F.split(F.trim(_col(c)), "\\s+"), lambda w: w.rlike("[\\p{L}\\p{N}]"))
+
+
 def host(url: str | Column) -> Column:
     return F.lower(F.regexp_extract(_col(url), "^[a-z]+://([^/:?#]+)", 1))
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.sequences import word_cover
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
     """left with the values of the last right row of its group at or before its time (names prefixed last_).
@@ -78,22 +81,103 @@ def neighbour_text(text: str, by: list[str], order: str, size: int) -> Column:
     return F.array_join(F.collect_list(text).over(w), " ")
 
 
-ALIGNED = "a_index int, b_index int"
+def shared_places(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """(place in x, place in y) of what two sequences share: the matching runs, and gaps between runs that are equally long in both."""
+    found, i, j = [], 0, 0
+    for block in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+        gap = block.a - i
+        if gap == block.b - j:
+            found += [(i + k, j + k) for k in range(gap)]
+        found += [(block.a + k, block.b + k) for k in range(block.size)]
+        i, j = block.a + block.size, block.b + block.size
+    return found
 
 
-def align_sequences(a: DataFrame, b: DataFrame, by: str, order: str, key: str) -> DataFrame:
+def align_sequences(a: DataFrame, b: DataFrame, by: str, order: str, key: str, chapter: str | None = None) -> DataFrame:
     """(by, b_index, a_index) of the rows that two ordered sequences share: equal runs, and replaced runs of one length.
 
-    One group is one chapter of a book in two editions, which is a bounded unit.
+    One group is a book in two editions, which is a bounded unit; with ``chapter`` only rows of the same chapter stay.
     """
-    kind = dict(a.dtypes)[by]
+    kind, held = dict(a.dtypes)[by], [by, order, key, *([chapter] if chapter else [])]
 
     def one(group: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         x, y = x.sort_values([order, key]), y.sort_values([order, key])
-        found = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, y[key].tolist(), x[key].tolist(), autojunk=False).get_opcodes():
-            if op == "equal" or op == "replace" and i2 - i1 == j2 - j1:
-                found += [(group[0], x[order].iloc[j1 + k], y[order].iloc[i1 + k]) for k in range(i2 - i1)]
-        return pd.DataFrame(found, columns=[by, "a_index", "b_index"])
+        pairs = shared_places(y[key].tolist(), x[key].tolist())
+        if chapter:
+            of_x, of_y = x[chapter].tolist(), y[chapter].tolist()
+            pairs = [(i, j) for i, j in pairs if of_y[i] == of_x[j]]
+        return pd.DataFrame([(group[0], x[order].iloc[j], y[order].iloc[i]) for i, j in pairs], columns=[by, "a_index", "b_index"])
+
+    return a.select(*held).groupBy(by).cogroup(b.select(*held).groupBy(by)).applyInPandas(one, f"{by} {kind}, a_index long, b_index long")
+
+
+# ------------------------------------------------------------------ lemmas
+def lemma_links(lemmas: DataFrame, units: DataFrame, window: int = 3, least: float = 0.75, use_end: bool = True) -> DataFrame:
+    """(lemma_id, idx, method, score): where each lemma (lemma_id, chapter, lemma) is found among the units (chapter, idx, norm) of its chapter.
+
+    In order: inside a unit; inside ``window`` neighbouring units joined, told by
+    the unit where the match ends (or begins); the first unit whose window covers
+    the most of its words in order, if ``least`` or more. A lemma of one word is
+    ``too_short``, one without any place ``none``.
+    """
+    long = lemmas.where(F.size(F.split(F.trim("lemma"), " ")) >= 2)
+    short = lemmas.join(long.select("lemma_id"), "lemma_id", "left_anti")
+    w = Window.partitionBy("chapter").orderBy("idx").rowsBetween(0, window - 1)
+    joined = F.array_join(F.collect_list("norm").over(w), " ")
+    ends = F.collect_list(F.struct("idx", F.length("norm").alias("n"))).over(w)
+    placed = units.select("chapter", "idx", "norm", joined.alias("__joined"), ends.alias("__ends"))
+    inside = long.join(placed.select("chapter", "idx", "norm"), "chapter").where(F.contains("norm", F.col("lemma")))
+    exact = inside.select("lemma_id", "idx", F.lit(1.0).alias("score"))
+    left = long.join(exact.select("lemma_id").distinct(), "lemma_id", "left_anti")
+    over = left.join(placed, "chapter").where(F.contains("__joined", F.col("lemma")))
+    last = F.instr("__joined", F.col("lemma")) + F.length("lemma") - 1
+    reach = F.transform("__ends", lambda x, i: F.struct(x["idx"].alias("idx"), F.aggregate(F.slice("__ends", 1, i + 1), F.lit(0), lambda s, y: s + y["n"] + 1).alias("to")))
+    end = F.get(F.filter(reach, lambda x: last <= x["to"]), F.lit(0))["idx"]
+    span = over.select("lemma_id", (F.coalesce(end, F.col("idx")) if use_end else F.col("idx")).alias("idx"), F.lit(1.0).alias("score"))
+    left = left.join(span.select("lemma_id").distinct(), "lemma_id", "left_anti")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    covered = left.join(placed, "chapter").withColumn("score", word_cover(words("lemma"), words("__joined")))
+    best = covered.groupBy("lemma_id").agg(F.max_by(F.struct("idx", "score"), F.struct("score", -F.col("idx"))).alias("b")).select("lemma_id", "b.*")
+    fuzzy = best.where(F.col("score") >= least).withColumn("score", F.round("score", 3))
+    found = [x.withColumn("method", F.lit(m)) for x, m in ((exact, "exact"), (span, "exact_span"), (fuzzy, "fuzzy"))]
+    nothing = left.join(fuzzy.select("lemma_id"), "lemma_id", "left_anti").join(best.select("lemma_id", "score"), "lemma_id", "left")
+    nothing = nothing.select("lemma_id", F.lit(None).cast(dict(units.dtypes)["idx"]).alias("idx"), F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"), F.lit("none").alias("method"))
+    few = short.select("lemma_id", F.lit(None).cast(dict(units.dtypes)["idx"]).alias("idx"), F.lit(0.0).alias("score"), F.lit("too_short").alias("method"))
+    return reduce(DataFrame.unionByName, [*found, nothing, few]).select("lemma_id", "idx", "method", "score")
+
+
+def marker_notes(markers: DataFrame, notes: DataFrame) -> DataFrame:
+    """Each marker with the note of its own page and number; an empty note where there is none."""
+    return markers.join(notes.select("pg", "n", "note"), ["pg", "n"], "left").withColumn("note", F.coalesce("note", F.lit("")))
+
+
+def resolve_units(ids: DataFrame, units: DataFrame, unit: str = "unit") -> DataFrame:
+    """unit id -> unit row -> paragraph; an unknown id keeps nulls."""
+    return ids.join(units, unit, "left")
+
+
+def attach(parents: DataFrame, children: DataFrame, on: str, order: list[str], into: str) -> DataFrame:
+    """parents with their children as an ordered array of structs (empty without any); children without a parent drop out.
+
+    A parent is a paragraph, whose children are few; its array is one row.
+    """
+    rest = [c for c in children.columns if c not in (on, *order)]
+    held = children.groupBy(on).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(into))
+    met = parents.join(held, on, "left")
+    kind = met.schema[into].dataType
+    return met.withColumn(into, F.coalesce(into, F.array().cast(kind)))
+
 
-    return a.select(by, order, key).groupBy(by).cogroup(b.select(by, order, key).groupBy(by)).applyInPandas(one, f"{by} {kind}, a_index long, b_index long")
+def continue_notes(notes: DataFrame, by: list[str], page: str = "pg", number: str = "n", text: str = "note") -> DataFrame:
+    """Notes in which each page's number 0 is appended to the highest note of the page before; without such a note it goes.
+
+    A page's own last note may be continued and be itself no continuation, so one look ahead suffices: number 0 never receives.
+    """
+    last = notes.where(F.col(number) > 0).groupBy(*by, page).agg(F.max(number).alias("__last"))
+    pages = notes.select(*by, page).distinct()
+    after = pages.withColumn("__next", F.lead(page).over(Window.partitionBy(*by).orderBy(page)))
+    zero = notes.where(F.col(number) == 0).select(*by, F.col(page).alias("__next"), F.col(text).alias("__more"))
+    more = after.join(zero, [*by, "__next"]).join(last, [*by, page]).select(*by, page, F.col("__last").alias(number), "__more")
+    met = notes.where(F.col(number) > 0).join(more, [*by, page, number], "left")
+    joint = F.concat(F.regexp_replace(text, "[ =]+$", ""), F.lit(" "), F.regexp_replace("__more", "^[ =]+", ""))
+    return met.withColumn(text, F.when(F.coalesce("__more", F.lit("")) != "", joint).otherwise(F.col(text))).drop("__more")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from docspark.plans.staging import stage
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 100
 #: Queries that one pass over the vectors compares at most; more queries are more passes.
 QUERY_BLOCK = 4096
+#: Vectors that a task compares with the queries at a time.
+ROW_BLOCK = 512
 
 
 def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", profile: TextProfile = UNICODE) -> DataFrame:
@@ -30,20 +33,29 @@ def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def limited_broadcast(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows with the hint to send them whole, if they are no more than ``most`` (a few words each); else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", query_id: str = "item_id", profile: TextProfile = UNICODE, weight: str | None = None) -> DataFrame:
     """(query_id, id, score) of every document that shares a term with a query; repeated query terms count again.
 
-    Only postings of query terms are joined; the document count and mean length
-    come from one aggregate over the token counts.
+    Only query terms leave the documents: they are picked before anything is
+    counted or shuffled, and document frequencies are theirs alone. The document
+    count and mean length come from one aggregate over the token counts.
     """
     lengths = docs.select(F.size(T.tokens("text", profile)).alias("n"))
     n_docs, mean = lengths.agg(F.count(F.lit(1)), F.avg("n")).first()
     asked = queries.select(query_id, F.explode(T.tokens("text", profile, query=True)).alias("term"))
-    asked = asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    post = postings(docs, id_, profile=profile)
+    asked = stage(asked.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")), "query-terms")
+    terms = limited_broadcast(asked.select("term").distinct())
+    counted = docs.select(id_, T.tokens("text", profile).alias("__t")).select(id_, F.size("__t").alias("n_tokens"), F.explode("__t").alias("term"))
+    post = counted.join(terms, "term", "left_semi").groupBy(id_, "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = stage(post, "query-postings")
     idf = term_stats(post, n_docs or 0)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(mean or 1.0)))
-    scored = post.join(asked.join(idf, "term"), "term").groupBy(query_id, id_).agg(F.sum(part).alias("score"))
+    scored = post.join(limited_broadcast(asked.join(idf, "term")), "term").groupBy(query_id, id_).agg(F.sum(part).alias("score"))
     if weight:
         scored = scored.join(docs.select(id_, weight), id_).withColumn("score", F.col("score") * F.col(weight)).drop(weight)
     return scored
@@ -91,11 +103,13 @@ def _best(shared, k: int, id_: str, vector: str):
                 continue
             v = np.stack(batch[vector].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(v, axis=1, keepdims=True)
-            s = matrix @ (v / np.where(norms == 0, 1, norms)).T
-            ids = np.concatenate([ids, np.broadcast_to(batch[id_].to_numpy(np.int64), s.shape)], 1)
-            scores = np.concatenate([scores, s], 1)
-            order = np.lexsort((ids, -np.round(scores, 6)), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            v, own = v / np.where(norms == 0, 1, norms), batch[id_].to_numpy(np.int64)
+            for at in range(0, len(v), ROW_BLOCK):  # bounds the scores held at once to queries * ROW_BLOCK
+                s = matrix @ v[at : at + ROW_BLOCK].T
+                ids = np.concatenate([ids, np.broadcast_to(own[at : at + ROW_BLOCK], s.shape)], 1)
+                scores = np.concatenate([scores, s], 1)
+                order = np.lexsort((ids, -np.round(scores, 6)), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
         if ids.shape[1]:
             yield pd.DataFrame({0: np.repeat(names, ids.shape[1]), 1: ids.ravel(), 2: scores.ravel()})
 
@@ -103,14 +117,13 @@ def _best(shared, k: int, id_: str, vector: str):
 
 
 def fuse(lists: list[DataFrame], query_id: str, id_: str, depth: int = DEPTH) -> DataFrame:
-    """(query_id, id, rrf, rank): reciprocal ranks of each list's first ``depth`` summed; ties stand by id."""
-    each = [x.where(F.col("rank") <= depth).select(query_id, id_, (1.0 / (RRF_K + F.col("rank"))).alias("__r")) for x in lists]
-    both = each[0]
-    for x in each[1:]:
-        both = both.unionAll(x)
-    summed = both.groupBy(query_id, id_).agg(F.round(F.sum("__r"), 9).alias("rrf"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("rrf"), F.asc(id_))
-    return summed.withColumn("rank", F.row_number().over(w))
+    """(query_id, id, rrf, rank): reciprocal ranks of each list's first ``depth`` summed; of equals those of the first list stand first, in its order, then the next list's."""
+    each = [x.where(F.col("rank") <= depth).select(query_id, id_, F.lit(n).alias("__l"), F.col("rank").alias("__r")) for n, x in enumerate(lists)]
+    both = reduce(DataFrame.unionAll, each)
+    places = [F.min(F.when(F.col("__l") == n, F.col("__r"))).alias(f"__p{n}") for n in range(len(lists))]
+    summed = both.groupBy(query_id, id_).agg(F.round(F.sum(1.0 / (RRF_K + F.col("__r"))), 9).alias("rrf"), *places)
+    w = Window.partitionBy(query_id).orderBy(F.desc("rrf"), *[F.asc_nulls_last(f"__p{n}") for n in range(len(lists))], F.asc(id_))
+    return summed.withColumn("rank", F.row_number().over(w)).drop(*[f"__p{n}" for n in range(len(lists))])
 
 
 def filter_after_rank(fused: DataFrame, group: DataFrame, query_id: str, id_: str, open_first: int = 4) -> DataFrame:

@@ -103,9 +103,9 @@ def gold_band_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_pick(spark: SparkSession, sf: str) -> DataFrame:
-    """For each order the line whose quantity is nearest to 25."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.abs(F.col("l_quantity") - 25).alias("d"))
-    return lines.groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct("d", "l_linenumber")).alias("l_linenumber"))
+    """For each order the line whose number is nearest to 3, the lower of equals."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("place"), F.lit(3.0).alias("near"))
+    return L.nearest(lines, ["l_orderkey"], "place", "near").select("l_orderkey", F.col("place").cast("int").alias("l_linenumber"))
 
 
 def asof_prev_event(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,9 +212,8 @@ def quality_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_transcript(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation as one text in order of turns."""
-    line = F.concat("role", F.lit(": "), "text")
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
-    return c.select("conv_id", F.md5("t").alias("transcript_md5"), F.length("t").cast("long").alias("chars"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    return Z.transcripts(turns, "conv_id", ["turn", "line"], "line")
 
 
 def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,10 +241,8 @@ def daily_cap(spark: SparkSession, sf: str) -> DataFrame:
 def sm2_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a user and type as grades of one card, in order."""
     q = F.when(F.col("value") < 5, 0).when(F.col("value") < 20, 3).when(F.col("value") < 60, 4).otherwise(5)
-    graded = table(spark, sf, "events").select("user_id", "event_type", F.struct("ts", "event_id", q.alias("q")).alias("g"))
-    cards = graded.groupBy("user_id", "event_type").agg(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["q"]).alias("grades"))
-    out = cards.select("user_id", "event_type", Z.review(F.col("grades")).alias("c"))
-    return out.select("user_id", "event_type", "c.reps", "c.interval", F.round("c.ease", 6).alias("ease"), "c.lapses")
+    graded = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", q.alias("q"))
+    return Z.review_cards(graded, ["user_id", "event_type"], ["ts", "event_id"], "q").select("user_id", "event_type", "reps", "interval", F.round("ease", 6).alias("ease"), "lapses")
 
 
 def activity_days(spark: SparkSession, sf: str) -> DataFrame:

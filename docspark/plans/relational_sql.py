@@ -21,9 +21,9 @@ ds AS (SELECT q.vec_id AS item_id, v.vec_id AS id, round(list_cosine_similarity(
 dn AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= 100)"""
 
 _FUSED = f"""WITH {_KEYWORD.strip()}, {_DENSE.strip()},
-u AS (SELECT item_id, id, rank FROM kw UNION ALL SELECT item_id, id, rank FROM dn),
-f AS (SELECT item_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM u GROUP BY item_id, id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, id) AS rank FROM f)"""
+u AS (SELECT item_id, id, rank, rank AS kp, NULL::BIGINT AS dp FROM kw UNION ALL SELECT item_id, id, rank, NULL::BIGINT, rank FROM dn),
+f AS (SELECT item_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(kp) AS kp, min(dp) AS dp FROM u GROUP BY item_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, kp NULLS LAST, dp NULLS LAST, id) AS rank FROM f)"""
 
 _TOP_DENSE = """ds AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, q.label AS query_label, v.label AS label,
   round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"""
@@ -39,7 +39,7 @@ every AS (SELECT DISTINCT r.lang, m.metric FROM runs r, (VALUES ('ok'), ('refuse
 two AS (SELECT e.lang, e.metric, avg(v) AS mean, min(v) AS min, max(v) AS max FROM every e LEFT JOIN long l ON e.lang = l.lang AND e.metric = l.metric GROUP BY e.lang, e.metric)"""
 
 _HITS = f"""WITH q AS (SELECT item_id, {_NORM} AS quote FROM benchmark), d AS (SELECT doc_id, source, {_NORM} AS norm FROM documents),
-h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE len(string_split(quote, ' ')) >= 4)"""
+h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE quote <> '')"""
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_KEYWORD.strip()} SELECT item_id, id, score, rank FROM kw WHERE rank <= 10",
@@ -71,7 +71,7 @@ SELECT 'dense' AS mode, count(*) AS n, count(best) AS found, count(*) FILTER (be
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""",
     "gold_band_join": """SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
   AND abs(date_diff('day', CAST(a.o_orderdate AS DATE), CAST(b.o_orderdate AS DATE))) <= 1""",
-    "nearest_pick": "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 25), l_linenumber) = 1",
+    "nearest_pick": "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_linenumber - 3), l_linenumber) = 1",
     "asof_prev_event": """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
 SELECT p.event_id, p.user_id, v.view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""",
     "forward_fill_chapter": """WITH c AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS chapter, max(CASE WHEN turn >= 6 THEN 1 ELSE 0 END) OVER w AS ended

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
 from docspark.functions.profiles import UNICODE
 from docspark.operators import retrieval as R
+from docspark.plans.staging import stage
 from docspark.plans.tables import table
 
 
@@ -49,13 +50,25 @@ def verbatim_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _quote_hits(spark: SparkSession, sf: str, words: int = 4) -> DataFrame:
-    key = lambda arr, i: F.xxhash64(*[F.get(arr, i + j) for j in range(words)])
+    """Keys are hashes of a quote's first ``words`` words, or of all of a shorter one; a document offers those of its keys that a quote has."""
+    key = lambda arr, i, m: F.xxhash64(F.lit(m), *[F.get(arr, i + j) for j in range(m)])
     quotes = table(spark, sf, "benchmark").select("item_id", T.normalise("text", UNICODE).alias("quote")).where("quote <> ''")
-    quotes = quotes.withColumn("__w", F.split("quote", " ")).where(F.size("__w") >= words).select("item_id", "quote", key(F.col("__w"), F.lit(0)).alias("__k"))
+    quotes = quotes.withColumn("__w", F.split("quote", " ")).withColumn("__m", F.least(F.size("__w"), F.lit(words)))
+    chosen = F.coalesce(*[F.when(F.col("__m") == m, key(F.col("__w"), F.lit(0), m)) for m in range(1, words + 1)])
+    quotes = stage(quotes.select("item_id", "quote", "__m", chosen.alias("__k")), "quotes")
+    lengths = [r["__m"] for r in quotes.select("__m").distinct().collect()]  # at most ``words`` numbers
     docs = table(spark, sf, "documents").select("doc_id", "text", T.normalise("text", UNICODE).alias("norm"))
-    keyed = docs.select("doc_id", F.split("norm", " ").alias("__w")).where(F.size("__w") >= words)
-    keys = keyed.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("__w") - words), lambda i: key(F.col("__w"), i)))).alias("__k"))
-    pairs = keys.join(quotes, "__k").drop("__k")
+    own = docs.select("doc_id", F.split("norm", " ").alias("__w"))
+
+    def offers(m: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__w") - m)), lambda i: key(F.col("__w"), i, m))
+        return F.when(F.size("__w") >= m, at).otherwise(F.array().cast("array<long>"))
+
+    keys = [offers(m) for m in lengths]
+    if not keys:
+        return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id", "norm", F.lit("").alias("quote")).limit(0)
+    offered = own.select("doc_id", F.explode(F.array_distinct(F.concat(*keys))).alias("__k"))
+    pairs = offered.join(R.limited_broadcast(quotes.select("item_id", "quote", "__k"), 20_000), "__k").select("doc_id", "item_id", "quote").distinct()
     return pairs.join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "quote", F.lit(" "))))
 
 
@@ -94,7 +107,7 @@ _NORM = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 _TOKENS = f"list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 1)"
 _ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&middot;', chr(183)), '&copy;', chr(169)), '&laquo;', chr(171)), '&raquo;', chr(187)), '&amp;', '&')"
 _QUOTES = f"""WITH q AS (SELECT item_id, {_NORM} AS quote FROM benchmark), d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
-h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE len(string_split(quote, ' ')) >= 4)"""
+h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE quote <> '')"""
 
 QUERIES = {f.__name__: f for f in (normalise_docs, html_titles, html_lines, token_stats, term_df_idf, verbatim_quotes, quote_context, content_ids, deterministic_sample, part_similarity, event_props)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docspark.functions import sequences as Q
+
 
 def admit(times: Iterator[float], kept: deque, most: int, window_s: float) -> Iterator[bool]:
     """Whether each request is admitted: fewer than ``most`` admitted ones lie at most window_s back. A rejected one leaves no trace."""
@@ -84,6 +88,106 @@ def review(grades: Column) -> Column:
     return F.aggregate(grades, start, step)
 
 
+def next_review(card: tuple, q: int) -> tuple:
+    """(reps, interval in days, ease, lapses) after one more grade; the interval is computed with the ease before it, halves round up."""
+    reps, interval, ease, lapses = card
+    if q < 3:
+        return 0, 0, ease, lapses + 1
+    grown = math.floor(interval * ease * {3: 0.8, 5: 1.3}.get(q, 1.0) + 0.5)
+    return reps + 1, {0: 1, 1: 3}.get(reps, grown), max(1.3, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))), lapses
+
+
+def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: str, at: str | None = None) -> DataFrame:
+    """(keys, reps, interval, ease, lapses, due) of each card after its grades in order; rows stream through one generator that holds one card.
+
+    ``due``: the last grade's time plus the interval in days, or ten minutes after a lapse; null without ``at``.
+    """
+    kinds = dict(graded.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "reps int, interval long, ease double, lapses int, __last double"])
+    names = [*keys, "reps", "interval", "ease", "lapses", "__last"]
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, card, last = None, (0, 0, 2.5, 0), None
+        for batch in batches:
+            done = []
+            for key, q, t in zip(zip(*(batch[k] for k in keys)), batch["__q"], batch["__t"]):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, *card, last))
+                    current, card = key, (0, 0, 2.5, 0)
+                card, last = next_review(card, int(q)), t
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if current is not None:
+            yield pd.DataFrame([(*current, *card, last)], columns=names)
+
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6 if at else F.lit(None).cast("double")
+    ordered = graded.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col(grade).alias("__q"), seconds.alias("__t"))
+    out = ordered.mapInPandas(follow, schema)
+    due = F.timestamp_seconds(F.col("__last") + F.when(F.col("interval") == 0, 600).otherwise(F.col("interval") * 86400))
+    return out.withColumn("due", due).drop("__last")
+
+
+def due_cards(cards: DataFrame, now: Column) -> DataFrame:
+    """Cards that are due, the longest due first."""
+    return cards.where(F.col("due") <= now).orderBy("due")
+
+
+def transcripts(turns: DataFrame, by: str, order: list[str], line: str) -> DataFrame:
+    """(by, transcript_md5, chars) of each group's lines joined in order; the lines stream, so a group may be of any length."""
+    kind = dict(turns.dtypes)[by]
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held, chars, some = None, hashlib.md5(), 0, False
+        for batch in batches:
+            done = []
+            for k, text in zip(batch[by], batch["__line"]):
+                if not some or k != current:
+                    if some:
+                        done.append((current, held.hexdigest(), chars))
+                    current, held, chars, some = k, hashlib.md5(text.encode()), len(text), True
+                else:
+                    held.update(b"\n" + text.encode())
+                    chars += 1 + len(text)
+            if done:
+                yield pd.DataFrame(done, columns=[by, "transcript_md5", "chars"])
+        if some:
+            yield pd.DataFrame([(current, held.hexdigest(), chars)], columns=[by, "transcript_md5", "chars"])
+
+    ordered = turns.repartition(by).sortWithinPartitions(by, *order).select(by, F.col(line).alias("__line"))
+    return ordered.where("__line is not null").mapInPandas(digest, f"{by} {kind}, transcript_md5 string, chars long")
+
+
+def fresh(entries: DataFrame, at: str, now: Column, seconds: int = 480) -> DataFrame:
+    """Entries of a cache that are younger than their time to live."""
+    return entries.where(F.col(at).cast("timestamp") > now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def recitation(utterances: DataFrame, key: str, order: str, expected: str, heard: str) -> DataFrame:
+    """(key, order, committed, base): how far each utterance of a recitation brings its session; a rejected one leaves the place where it was.
+
+    ``expected`` (words of the whole line) and ``heard`` (words of one final utterance) are arrays; the state of a session is its place.
+    """
+    kinds = dict(utterances.dtypes)
+
+    def recited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, base = object(), 0
+        for batch in batches:
+            out = []
+            for k, line, words in zip(batch[key], batch[expected], batch[heard]):
+                if k != current:
+                    current, base = k, 0
+                states = Q.follow(list(line)[base:], list(words))
+                told = [s for s, _ in states if s != "pending"]
+                ok = Q.accepted(states)
+                base += len(told) if ok else 0
+                out.append((ok, base))
+            yield batch[[key, order]].assign(committed=[x[0] for x in out], base=[x[1] for x in out])
+
+    ordered = utterances.select(key, order, expected, heard).repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInPandas(recited, f"{key} {kinds[key]}, {order} {kinds[order]}, committed boolean, base int")
+
+
 def activity_week(rows: DataFrame, at: str, amount: Column, first_day: str = "Saturday") -> DataFrame:
     """(day, total) of every day from the week's first day before the earliest row to the end of the latest row's week."""
     shift = {"Saturday": 5, "Sunday": 6, "Monday": 0}[first_day]

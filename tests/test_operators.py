@@ -56,6 +56,22 @@ def test_joins(spark):
     a = spark.createDataFrame([("c", 0, "p"), ("c", 1, "q"), ("c", 2, "r")], "ch string, i long, w string")
     b = spark.createDataFrame([("c", 0, "p"), ("c", 1, "z"), ("c", 2, "r"), ("c", 3, "s")], "ch string, i long, w string")
     assert rows(L.align_sequences(a, b, "ch", "i", "w")) == [("c", 0, 0), ("c", 1, 1), ("c", 2, 2)]
+    marked = lambda df: df.selectExpr("*", "if(i = 1, 'x' || w, 'y') as part")
+    assert rows(L.align_sequences(marked(a), marked(b), "ch", "i", "w", "part")) == [("c", 0, 0), ("c", 2, 2)]
+
+
+def test_lemmas_notes_and_trees(spark):
+    units = spark.createDataFrame([("c", 0, "aa bb cc"), ("c", 1, "dd ee"), ("c", 2, "ff gg hh ii"), ("d", 0, "aa bb")], "chapter string, idx int, norm string")
+    lemmas = spark.createDataFrame([(1, "c", "bb cc"), (2, "c", "cc dd ee ff"), (3, "c", "aa xx cc dd ee"), (4, "c", "zz yy"), (5, "c", "aa"), (6, "d", "ff gg")], "lemma_id int, chapter string, lemma string")
+    assert rows(L.lemma_links(lemmas, units)) == [(1, 0, "exact", 1.0), (2, 2, "exact_span", 1.0), (3, 0, "fuzzy", 0.8), (4, None, "none", 0.0), (5, None, "too_short", 0.0), (6, None, "none", 0.0)]
+    assert ("2", 0) == [(str(r["lemma_id"]), r["idx"]) for r in L.lemma_links(lemmas, units, use_end=False).collect() if r["method"] == "exact_span"][0]
+    notes = spark.createDataFrame([(1, 1, 1, "first"), (1, 1, 2, "begun ="), (1, 2, 0, "= more"), (1, 2, 1, "x"), (1, 3, 0, "of x"), (1, 4, 0, "lost"), (1, 5, 0, "lost too")], "b int, pg int, n int, note string")
+    assert rows(L.continue_notes(notes, ["b"]).select("pg", "n", "note")) == [(1, 1, "first"), (1, 2, "begun more"), (2, 1, "x of x")]
+    marks = spark.createDataFrame([(1, 2, "m"), (9, 9, "q")], "pg int, n int, word string")
+    assert rows(L.marker_notes(marks, notes.where("n > 0")).select("word", "note")) == [("m", "begun ="), ("q", "")]
+    paras = spark.createDataFrame([("p",), ("q",)], "para string")
+    tree = L.attach(paras, spark.createDataFrame([("p", 2, "y"), ("p", 1, "x"), ("z", 1, "w")], "para string, seq int, t string"), "para", ["seq"], "units")
+    assert [(r["para"], [x["t"] for x in r["units"]]) for r in tree.orderBy("para").collect()] == [("p", ["x", "y"]), ("q", [])]
 
 
 def test_segmentation(spark):
@@ -133,6 +149,26 @@ def test_state(spark):
     assert (c["reps"], c["interval"], round(c["ease"], 9), c["lapses"]) == (reps, interval, round(ease, 9), lapses) and graded[1]["c"]["reps"] == 0
 
 
+def test_cards_transcripts_and_recitation(spark):
+    grades = [4, 4, 5, 3, 0, 4]
+    graded = spark.createDataFrame([(u, k, q, 1000 + k) for u in ("a", "b") for k, q in enumerate(grades[: 6 if u == "a" else 5])], "u string, k int, q int, s long").selectExpr("*", "timestamp_seconds(s) as ts")
+    card = (0, 0, 2.5, 0)
+    for q in grades:
+        card = Z.next_review(card, q)
+    cards = {r["u"]: r for r in Z.review_cards(graded, ["u"], ["k"], "q", "ts").collect()}
+    assert tuple(cards["a"][c] for c in ("reps", "interval", "ease", "lapses")) == pytest.approx(card)
+    assert (cards["b"]["reps"], cards["b"]["lapses"], cards["b"]["due"].timestamp()) == (0, 1, 1004 + 600)
+    due = Z.due_cards(Z.review_cards(graded, ["u"], ["k"], "q", "ts"), F.timestamp_seconds(F.lit(2000)))
+    assert [r["u"] for r in due.collect()] == ["b"]
+    turns = spark.createDataFrame([(1, 2, "b"), (1, 1, "é"), (2, 1, ""), (None, 1, "n")], "c int, t int, line string")
+    import hashlib
+
+    assert rows(Z.transcripts(turns, "c", ["t"], "line")) == sorted([(1, hashlib.md5("é\nb".encode()).hexdigest(), 3), (2, hashlib.md5(b"").hexdigest(), 0), (None, hashlib.md5(b"n").hexdigest(), 1)], key=repr)
+    line = "one two three four five six".split()
+    said = spark.createDataFrame([("s", 1, line, ["one", "two"]), ("s", 2, line, ["zz", "yy", "xx", "ww"]), ("s", 3, line, ["three", "four", "five"])], "k string, t int, line array<string>, heard array<string>")
+    assert rows(Z.recitation(said, "k", "t", "line", "heard")) == [("s", 1, True, 2), ("s", 2, False, 2), ("s", 3, True, 5)]
+
+
 def test_rate_limit_batch_and_stream_agree(spark, tmp_path):
     events = spark.createDataFrame([(k, u, 10.0 * k) for k in range(20) for u in (1, 2)], "n long, user_id long, s double").selectExpr("n * 10 + user_id as event_id", "user_id", "timestamp_seconds(s) as ts")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
