@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.text import ascii_digits
 from docspark.operators.verification import REFUSAL_SCOPES
 
 
@@ -99,3 +100,100 @@ def funnel(rows: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
         cond = cond & F.coalesce(F.col(s), F.lit(False))
         aggs.append(F.count_if(cond).alias(s))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs).withColumn("share", F.col(stages[-1]) / F.nullif(F.col("n"), F.lit(0)))
+
+
+# ------------------------------------------------------- runs, systems, tables
+def systems(results: DataFrame) -> DataFrame:
+    """Each result as itself and as ``no_verify``: the raw sentences before any check, with the model's status; a refused scope finds nothing."""
+    both = results.withColumn("system", F.explode(F.array(F.lit("full"), F.lit("no_verify"))))
+    raw = F.col("system") == "no_verify"
+    status = F.when(raw & F.col("scope").isin(REFUSAL_SCOPES), "not_found").when(raw, F.coalesce("model_status", "status")).otherwise(F.col("status"))
+    dropped = F.when(raw, 0).otherwise(F.col("n_dropped"))
+    return both.withColumns({"status": status, "sentences": F.when(raw, F.col("raw_sentences")).otherwise(F.col("sentences")), "n_dropped": dropped})
+
+
+def citations(sentences: Column, closed: Column | None = None, books: list[tuple[str, int]] = ()) -> Column:
+    """array of (book_id, page): the citations of sentences; those of a closed-book answer are read from the texts book and page."""
+    cited = F.transform(F.filter(sentences, lambda s: s["cite"].isNotNull()), lambda s: F.struct(s["cite"]["book_id"].cast("int").alias("book_id"), s["cite"]["page"].cast("int").alias("page")))
+    if closed is None:
+        return cited
+
+    def read(s: Column) -> Column:
+        book = F.lit(None).cast("int")
+        for name, number in reversed(list(books)):
+            book = F.when(F.contains(s["book"], F.lit(name)), number).otherwise(book)
+        return F.struct(book.alias("book_id"), ascii_number(s["page"]).alias("page"))
+
+    return F.when(closed, F.transform(sentences, read)).otherwise(cited)
+
+
+def ascii_number(c: Column) -> Column:
+    digits = F.regexp_extract(ascii_digits(F.coalesce(c, F.lit(""))), "(\\d+)", 1)
+    return F.when(digits != "", digits).cast("int")
+
+
+def shown_unverified(scored: DataFrame) -> DataFrame:
+    """scored with n_shown and unverified_shown: of no_verify the sentences with a failed quote or verdict, of a closed book all."""
+    bad = F.filter("sentences", lambda s: ~F.coalesce(s["quote_ok"], F.lit(False)) | F.coalesce(s["judge_ok"] == F.lit(False), F.lit(False)))
+    n = F.when(F.col("system") == "no_verify", F.size(bad)).when(F.col("system") == "no_retrieval", F.size("sentences")).otherwise(0)
+    return scored.withColumns({"n_shown": F.size("sentences"), "unverified_shown": n})
+
+
+def failed_ids(scored: DataFrame, by: list[str], id_: str, failed: Column) -> DataFrame:
+    """(by, failed): the ids that failed in any run, distinct and sorted; a report's list of test items."""
+    return scored.where(failed).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(F.col(id_).cast("string"))), ",").alias("failed"))
+
+
+def failing_runs(scored: DataFrame, by: list[str], run: str, reasons: dict[str, Column]) -> DataFrame:
+    """(by, n_runs, reasons) of items that fail in some run, most runs first, then by item."""
+    named = F.filter(F.array(*[F.when(c, name) for name, c in reasons.items()]), lambda r: r.isNotNull())
+    hit = scored.withColumn("__r", named).where(F.size("__r") > 0)
+    out = hit.groupBy(*by).agg(F.count_distinct(run).alias("n_runs"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__r")))), "; ").alias("reasons"))
+    return out.orderBy(F.desc("n_runs"), *by)
+
+
+def counts_by(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """One row a group: n and how often each flag holds; null counts as no."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in flags.items()])
+
+
+def shares(rows: DataFrame, by: list[str], right: Column, labelled: Column) -> DataFrame:
+    """(by, labelled, right, precision): precision among the labelled rows, null without any."""
+    out = rows.where(labelled).groupBy(*by).agg(F.count(F.lit(1)).alias("labelled"), F.count_if(F.coalesce(right, F.lit(False))).alias("right"))
+    return out.withColumn("precision", F.col("right") / F.col("labelled"))
+
+
+def coverage(keys: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """(n, covered): how many keys have an entry."""
+    return keys.join(found.select(on).distinct().withColumn("__f", F.lit(1)), on, "left").agg(F.count(F.lit(1)).alias("n"), F.count("__f").alias("covered"))
+
+
+def task_table(tasks: DataFrame, by: str, success: Column, seconds: str) -> DataFrame:
+    return tasks.groupBy(by).agg(F.count_if(F.coalesce(success, F.lit(False))).alias("succeeded"), F.median(seconds).alias("median_seconds"))
+
+
+def mismatches(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
+    """(n, differing): rows that meet, and how many of them differ; null differs from a value."""
+    return left.join(right, on).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias("differing"))
+
+
+def segment_count(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    return rows.agg(F.sum(F.regexp_count(text, F.lit(pattern))).cast("long").alias("segments"), F.count_if(F.col(text).rlike(pattern)).alias("rows_with"))
+
+
+def best_so_far(rows: DataFrame, by: list[str], order: list[str], score: str) -> DataFrame:
+    """rows with the best score of their group up to here."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("best", F.max(score).over(w))
+
+
+def history(rows: DataFrame, at: str, id_: str, k: int = 50) -> DataFrame:
+    """The newest k rows: a report's list."""
+    return rows.orderBy(F.desc(at), F.desc(id_)).limit(k)
+
+
+def matrix(systems_: DataFrame, runs: int, items: DataFrame) -> DataFrame:
+    """Every system, run and item; systems and runs are short lists given as parameters, so each item is repeated in place."""
+    names = [r[0] for r in systems_.distinct().limit(1000).collect()]
+    pairs = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(k).alias("run")) for n in sorted(names) for k in range(1, runs + 1)])
+    return items.withColumn("__p", F.explode(pairs)).select("*", "__p.*").drop("__p")

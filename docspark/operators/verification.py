@@ -90,3 +90,73 @@ def answers(judged: DataFrame, said: DataFrame, attribution: str) -> DataFrame:
     met = said.join(per, "question_id", "left").fillna(0, ["n_kept", "n_dropped"]).fillna(False, ["__attributed"])
     out = met.withColumn("final", status(F.col("status"), F.col("n_kept"), F.col("n_dropped"), F.col("__attributed")))
     return out.select("question_id", F.col("final").alias("status"), message(F.col("n_kept"), F.coalesce("personal", F.lit(False)), F.col("premise_correct")).alias("message"), "n_kept", "n_dropped")
+
+
+# -------------------------------------------------------- the answer pipeline
+def scope_gate(said: Column, question: Column, first_person: str, scopes: list[str]) -> Column:
+    """The scope of a question: what the model said if it is known, else answerable; an answerable one in the first person is personal."""
+    known = F.when(said.isin(scopes), said).otherwise("answerable")
+    return F.when((known == "answerable") & F.coalesce(question.rlike(first_person), F.lit(False)), "personal_fatwa").otherwise(known)
+
+
+def provisional_personal(scope: Column, question: Column, first_person: str) -> Column:
+    """Whether the personal prompt is used: by the scope, and while that is unknown by the first person alone."""
+    return F.coalesce(scope == "personal_fatwa", question.rlike(first_person), F.lit(False))
+
+
+def refusal(scope: Column, texts: dict[str, str]) -> Column:
+    """Fixed text of a refused scope, else null."""
+    out = F.lit(None).cast("string")
+    for name, text in texts.items():
+        out = F.when(scope == name, text).otherwise(out)
+    return out
+
+
+def depth_rule(depth: Column, rules: dict[str, str], default: str = "") -> Column:
+    """What the prompt says about length."""
+    return refusal(depth, rules) if not default else F.coalesce(refusal(depth, rules), F.lit(default))
+
+
+def context(passages: DataFrame, by: str = "question_id") -> DataFrame:
+    """(by, context): the numbered passages of a question (n, book, vol, page, kind, text) as the prompt shows them; a question has few."""
+    line = F.format_string("[P%d] %s, %s, %s (%s):\n%s", "n", F.coalesce("book", F.lit("")), F.coalesce("vol", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("kind", F.lit("")), "text")
+    listed = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
+    return passages.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def keep_all(checked: DataFrame) -> DataFrame:
+    """Without verification every claim is kept."""
+    return checked.withColumn("kept", F.lit(True))
+
+
+def closed_book(claims: DataFrame) -> DataFrame:
+    """Claims of an answer given without passages: nothing is checked and no citation exists."""
+    return claims.withColumns({"quote_ok": F.lit(None).cast("boolean"), "kept": F.lit(True), "n": F.lit(None).cast("int")})
+
+
+def degraded(answers_: DataFrame, error: str = "error", filtered: str = "content_filter") -> DataFrame:
+    """answers with search_only and status: a filtered one finds nothing but shows its passages, any other error leaves the search alone."""
+    bad = F.col(error).isNotNull()
+    hidden = F.coalesce(F.contains(F.col(error), F.lit(filtered)), F.lit(False))
+    return answers_.withColumns({"search_only": bad & ~hidden, "status": F.when(bad, "not_found").otherwise(F.col("status"))})
+
+
+def envelope(calls: DataFrame, by: str, status: str | Column, texts: dict[str, str]) -> DataFrame:
+    """One row an answer: status text, cost, tokens and latency summed over its calls; sums of nothing are null."""
+    sums = [F.round(F.sum("cost"), 6).alias("cost"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("seconds"), 6).alias("seconds")]
+    out = calls.groupBy(by).agg(F.max_by(status, "call").alias("status"), *sums)
+    return out.withColumn("status_text", refusal(F.col("status"), texts))
+
+
+def quiz_valid(options: Column, answer: Column) -> Column:
+    """A question of a quiz has two options or more and an answer among them."""
+    return F.coalesce((F.size(options) >= 2) & (answer >= 0) & (answer < F.size(options)), F.lit(False))
+
+
+def study_items(items: DataFrame, passages: DataFrame, verdicts: DataFrame, profile: TextProfile = UNICODE) -> DataFrame:
+    """(section, generated, quote_ok, judge_ok) of study items (section, k, label, quote, options, answer): valid, quoted word for word, not denied."""
+    valid = items.where(F.col("options").isNull() | quiz_valid(F.col("options"), F.col("answer")))
+    named = {"section": "question_id"}
+    judged = judge(check_quotes(valid.withColumnsRenamed(named), passages.withColumnsRenamed(named), profile), verdicts.withColumnsRenamed(named))
+    counts = judged.groupBy("question_id").agg(F.count(F.lit(1)).alias("generated"), F.count_if("quote_ok").alias("quote_ok"), F.count_if("kept").alias("judge_ok"))
+    return counts.withColumnRenamed("question_id", "section")

@@ -93,14 +93,14 @@ def next_review(card: tuple, q: int) -> tuple:
     reps, interval, ease, lapses = card
     if q < 3:
         return 0, 0, ease, lapses + 1
-    grown = math.floor(interval * ease * {3: 0.8, 5: 1.3}.get(q, 1.0) + 0.5)
+    grown = min(math.floor(interval * ease * {3: 0.8, 5: 1.3}.get(q, 1.0) + 0.5), 2**62)
     return reps + 1, {0: 1, 1: 3}.get(reps, grown), max(1.3, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))), lapses
 
 
 def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: str, at: str | None = None) -> DataFrame:
     """(keys, reps, interval, ease, lapses, due) of each card after its grades in order; rows stream through one generator that holds one card.
 
-    ``due``: the last grade's time plus the interval in days, or ten minutes after a lapse; null without ``at``.
+    ``due``: the last grade's time plus the interval in days, or ten minutes after a lapse; null without ``at`` and beyond a million days.
     """
     kinds = dict(graded.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "reps int, interval long, ease double, lapses int, __last double"])
@@ -124,7 +124,8 @@ def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: st
     seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6 if at else F.lit(None).cast("double")
     ordered = graded.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, F.col(grade).alias("__q"), seconds.alias("__t"))
     out = ordered.mapInPandas(follow, schema)
-    due = F.timestamp_seconds(F.col("__last") + F.when(F.col("interval") == 0, 600).otherwise(F.col("interval") * 86400))
+    days = F.when(F.col("interval") <= 1_000_000, F.col("interval"))  # further intervals lie beyond the calendar
+    due = F.timestamp_seconds(F.col("__last") + F.when(F.col("interval") == 0, 600).otherwise(days * 86400))
     return out.withColumn("due", due).drop("__last")
 
 
