@@ -184,7 +184,7 @@ def projected_passages(spark: SparkSession, sf: str) -> DataFrame:
         J.heading_part("line").alias("heading"), J.low_confidence(F.when(F.col("doc_id") % 5 == 0, "fuzzy").otherwise("exact"), F.when(F.col("doc_id") % 7 == 0, False)).alias("low"),
         V.quiz_valid(F.split("line", " "), (F.col("doc_id") % 9).cast("int")).alias("quiz"))
     pages = d.select(F.col("doc_id").alias("book_id"), F.lit(1).alias("pg"), F.col("lang").alias("vol"), F.col("n_chars").alias("page"))
-    met = J.references(J.merged(rows, {"line": F.when(F.col("seq") == 0, F.upper("line"))}), pages, "https://example.org/")
+    met = J.references(J.merged(rows, {"line": F.when(F.col("seq") == 0, F.concat(F.lit("> "), "line"))}), pages, "https://example.org/")
     return met.select("doc_id", F.col("seq").cast("long").alias("seq"), F.md5("line").alias("line_md5"), "heading", "low", "quiz", F.col("ref.vol").alias("vol"), F.col("ref.page").alias("page"), F.col("ref.link").alias("link"))
 
 

@@ -99,7 +99,7 @@ l AS (SELECT user_id, max_by(iv, k) AS iv, max(k) AS k FROM f GROUP BY user_id),
 SELECT event_id, max(value) OVER (PARTITION BY e.user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best, coalesce(due, false) AS due FROM events e LEFT JOIN d ON d.user_id = e.user_id""",
     "projected_passages": f"""WITH l AS (SELECT doc_id, lang, n_chars, unnest(range(len(x))) AS seq, unnest(x) AS line FROM (SELECT *, string_split(text, chr(10)) AS x FROM documents)),
 w AS (SELECT *, {_norm("line")} AS norm FROM l WHERE NOT regexp_full_match(line, '[.\\s…]*'))
-SELECT doc_id, seq, md5(CASE WHEN seq = 0 THEN upper(line) ELSE line END) AS line_md5, length(norm) <= 15 AND NOT regexp_matches(norm, '[0-9]') AS heading, doc_id % 5 = 0 OR doc_id % 7 = 0 AS low,
+SELECT doc_id, seq, md5(CASE WHEN seq = 0 THEN '> ' || line ELSE line END) AS line_md5, length(norm) <= 15 AND NOT regexp_matches(norm, '[0-9]') AS heading, doc_id % 5 = 0 OR doc_id % 7 = 0 AS low,
   len(string_split(line, ' ')) >= 2 AND doc_id % 9 < len(string_split(line, ' ')) AS quiz, CASE WHEN seq = 0 THEN lang END AS vol, CASE WHEN seq = 0 THEN n_chars END AS page, CASE WHEN seq = 0 THEN 'https://example.org/' || doc_id || '/1' END AS link FROM w""",
     "body_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT *, length({_norm("line")}) AS k FROM l)
 SELECT 'body' AS kind, doc_id AS id, md5(line) AS md5 FROM n WHERE k > 40 UNION ALL SELECT 'plain', doc_id, md5(line) FROM n WHERE k > 30 AND doc_id % 3 <> 1
