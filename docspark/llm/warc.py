@@ -3,8 +3,9 @@
 An archive is a gzip file of WARC/1.1 records. Spark's text writer produces it
 (a record is one value, the blank lines after it are the line separator), so
 task commits, retries after a lost executor and any store that Spark can reach
-come for free. Reading walks each file by Content-Length, so payloads may hold
-anything, record separators and version lines included.
+come for free. Reading inflates each file as a stream, of one gzip member or
+many, and walks it by Content-Length, so payloads may hold anything, record
+separators and version lines included.
 
 Defined cases
 -------------
@@ -23,7 +24,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,22 +115,24 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def _walk(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        f = _fields(data[at:end])
-        start, stop = end + 4, end + 4 + int(f[b"content-length"])
-        at = stop + 4
+def _walk(archive: BinaryIO) -> Iterator[tuple]:
+    """Records of one archive, by Content-Length, one record held at a time."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/1."):
+            raise ValueError(f"no WARC record before byte {archive.tell()}")
+        head = [line]
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        f = _fields(b"".join(head))
+        size = int(f[b"content-length"])
+        block = archive.read(size)
+        if len(block) < size or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record before byte {archive.tell()} is cut or does not end where its length says")
         kind = f[b"warc-type"].decode()
         if kind not in ("response", "revisit"):
             continue
         number = lambda v: None if v is None or (n := v.strip(b"<>").rpartition(b":")[2]) == b"null" else int(n)
-        body = data.index(b"\r\n\r\n", start, stop) + 4
-        payload = data[body:stop] if kind == "response" else None
+        payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
         said = f[b"warc-payload-digest"].decode().rpartition(":")[2]
         if payload is not None and said != base64.b32encode(hashlib.sha1(payload).digest()).decode():
             raise ValueError(f"payload of {f[b'warc-record-id'].decode()} does not match its digest")
@@ -143,7 +148,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for content in batch["content"]:
                 part, held = [], 0
-                for r in _walk(gzip.decompress(content)):
+                for r in _walk(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
                     part.append(r if payloads else (*r[:-1], None))
                     held += len(r[-1] or b"") if payloads else 0
                     if len(part) >= 5000 or held > 1 << 24:

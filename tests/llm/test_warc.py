@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
+
+import pytest
 
 from docspark.llm import warc
 from docspark.plans.staging import new_path
@@ -58,3 +62,20 @@ def test_hot_payload_and_min_bytes(spark, tables):
 def test_empty_table(spark, tables):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.op1_warc(spark, tables(pages=pages)).count() == 0
+
+
+def record(n, body):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    said = base64.b32encode(hashlib.sha1(body).digest())
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (n, said, len(http)) + http + b"\r\n\r\n"
+
+
+def test_members_and_cut_archives():
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    members = b"".join(map(gzip.compress, (info, record(1, b"a\r\n\r\nWARC/1.1\r\n\r\n"), record(2, b""))))
+    walked = list(warc._walk(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(members)))))
+    assert [(r[0], r[-1]) for r in walked] == [(1, b"a\r\n\r\nWARC/1.1\r\n\r\n"), (2, b"")]
+    assert list(warc._walk(io.BytesIO(b""))) == []
+    for cut in (record(1, b"abc")[:-6], record(1, b"abc")[:-2], b"no record", record(1, b"abc").replace(b"abc", b"abd")):
+        with pytest.raises(ValueError):
+            list(warc._walk(io.BytesIO(cut)))
