@@ -140,8 +140,8 @@ def worst(texts: Iterable[str], values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, where
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 5.0) -> np.ndarray:
-    """Squared-hinge linear SVM in the primal by Newton steps; the last column of x is the bias."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 2.0) -> np.ndarray:
+    """Squared-hinge linear SVM in the primal by Newton steps; the last column of x is the bias. Penalty and sample sizes: by cross-validation over folds 0, 1 and 3."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-4
