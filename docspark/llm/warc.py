@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.common import salted, table
-from docspark.plans.staging import new_path, stage
+from docspark.plans.staging import new_path, stage, unstage
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -98,11 +98,24 @@ def _record(date: str) -> Column:
     )
 
 
+def file_classes(headers: DataFrame, file_bytes: int = 1 << 28, most_bytes: int = 1 << 30, heavy: int = 1 << 20, most_records: int = 20_000) -> list[tuple[Column, int]]:
+    """(condition, records a file) of each class of payloads that occurs: up to ``heavy`` bytes, and larger ones.
+
+    By the class's mean a file holds about ``file_bytes`` of payload, and by its
+    largest payload never more than ``most_bytes``, unless one payload is larger.
+    """
+    is_heavy = F.coalesce(F.col("payload_bytes") > heavy, F.lit(False))
+    sizes = headers.groupBy(is_heavy.alias("h")).agg(F.avg("payload_bytes").alias("mean"), F.max("payload_bytes").alias("most")).collect()  # two rows at most
+    fits = lambda budget, size: int(budget // max(1, size or 0))
+    return [(is_heavy if r["h"] else ~is_heavy, max(1, min(most_records, fits(file_bytes, r["mean"]), fits(most_bytes, r["most"])))) for r in sizes]
+
+
 def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write records (page_id, url, payload, payload_digest, payload_bytes, refers_to) as gzip WARC files."""
+    """Write records (page_id, url, payload, payload_digest, payload_bytes, refers_to) as gzip WARC files, adding to those under ``path``."""
     (
         records.select(_record(date).alias("value"))
-        .write.option("lineSep", CRLF * 2)
+        .write.mode("append")
+        .option("lineSep", CRLF * 2)
         .option("compression", "gzip")
         .option("zlib.compress.level", "BEST_SPEED")
         .option("maxRecordsPerFile", records_per_file)
@@ -189,9 +202,15 @@ def deduplicate(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write one record a row of ``pages`` (page_id, url, payload) with equal payloads reduced to revisits."""
     full = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
     full = full.withColumns({"payload_digest": digest(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
+    # Headers are staged, so payloads are read twice in all: once for their digests, once to be written (again for those over 1 MB, if any).
+    headers = stage(full.select("page_id", "payload_digest", "payload_bytes"), "warc-headers")
     # Staged so that its size is known: a short list is broadcast under Spark's threshold, a long one is joined by id, which no row shares with many.
-    revisits = stage(originals(full.select("page_id", "payload_digest", "payload_bytes"), min_bytes), "revisits")
-    write_archives(records_of(full, revisits), path)
+    revisits = stage(originals(headers, min_bytes), "revisits")
+    records = records_of(full, revisits)
+    classes = file_classes(headers)
+    for chosen, most in classes or [(F.lit(True), 1)]:
+        write_archives(records.where(chosen) if len(classes) > 1 else records, path, records_per_file=most)
+    unstage(headers, revisits)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,25 @@ def test_members_and_cut_archives():
     for cut in (record(1, b"abc")[:-6], record(1, b"abc")[:-2], b"no record", record(1, b"abc").replace(b"abc", b"abd")):
         with pytest.raises(ValueError):
             list(warc._walk(io.BytesIO(cut)))
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    sizes = [100] * 6 + [40] * 6 + [5000, 7000]
+    pages = spark.createDataFrame([(i, "u", bytearray(bytes([i]) * n)) for i, n in enumerate(sizes)], "page_id long, url string, payload binary").coalesce(1)
+    headers = pages.selectExpr("page_id", "cast(octet_length(payload) as long) as payload_bytes")
+    light, heavy = sorted(warc.file_classes(headers, file_bytes=300, most_bytes=8000, heavy=1000), key=lambda c: -c[1])
+    assert light[1] == 4 and heavy[1] == 1  # 300 bytes at a mean of 70; a heavy payload fills a file
+    assert warc.file_classes(headers, file_bytes=10**6, most_bytes=500, heavy=10**4)[0][1] == 1
+    assert warc.file_classes(headers.limit(0)) == []
+    path = new_path(spark, "t")
+    records = pages.withColumns({"payload_digest": warc.digest(pages["payload"]), "payload_bytes": warc.F.octet_length("payload").cast("long"), "refers_to": warc.F.lit(None).cast("long")})
+    for chosen, most in (light, heavy):
+        warc.write_archives(records.where(chosen), path, records_per_file=most)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).count() == 5
+    assert sorted((r["page_id"], len(r["payload"])) for r in warc.read_archives(spark, path).collect()) == list(enumerate(sizes))
+
+
+def test_light_and_heavy_payloads(spark, tables):
+    rows = [(1, "u", "x" * (1 << 20) + "y"), (2, "u", "x" * (1 << 20) + "y"), (3, "u", "small"), (4, "u", "small"), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.op1_warc(spark, tables(pages=pages)).collect()), key=repr) == brute(rows)
