@@ -171,7 +171,7 @@ def entries(passages_: DataFrame, rules: list[tuple[str, str, str]], openings: D
     openings: id, para, chapter, word, definition of chapters whose first sentence defines their title.
     """
     found = passages_.select("id", "para", "chapter", "context", F.explode(T.glosses("text", rules)).alias("g")).select("id", "para", "chapter", "context", "g.*")
-    bare = F.element_at(T.word_list(T.normalise("word", profile)), -1)
+    bare = F.try_element_at(T.word_list(T.normalise("word", profile)), F.lit(-1))
     asked = F.transform(T.word_list(T.normalise(F.lit(profile.question_words), profile)), lambda w: w)
     own = F.when(bare.isNull() | F.array_contains(asked, bare), F.coalesce("context", F.array().cast("array<string>"))).otherwise(F.array(bare))
     each = found.withColumn("word", F.explode(own)).drop("context")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import library_queries, library_sql, relational_queries, relational_sql, text_queries
+from docspark.plans import library_queries, library_sql, reading_queries, relational_queries, relational_sql, text_queries
 
-QUERIES = text_queries.QUERIES | relational_queries.QUERIES | library_queries.QUERIES
-ORACLE_SQL = text_queries.ORACLE_SQL | relational_sql.ORACLE_SQL | library_sql.ORACLE_SQL
+QUERIES = text_queries.QUERIES | relational_queries.QUERIES | library_queries.QUERIES | reading_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | relational_sql.ORACLE_SQL | library_sql.ORACLE_SQL | reading_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,13 @@ def rate_limit(requests: DataFrame, key: str, at: str, id_: str, most: int = 6,
     return ordered.mapInPandas(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, key: str, at: str, id_: str, most: int = 6, window_s: float = 60) -> DataFrame:
-    """Stream form of rate_limit: the admitted times of a key are its state, given up when nothing came for a window."""
+def rate_limit_stream(requests: DataFrame, key: str, at: str, id_: str, most: int = 6, window_s: float = 60, late: str = "10 minutes") -> DataFrame:
+    """Stream form of rate_limit: the admitted times of a key are its state, given up once the watermark has passed the window after the last one.
+
+    Admission and time-out both go by event time, so a backlog after a pause is
+    judged as if it had come at once. Requests of one micro-batch are judged in
+    order. Spark drops those that come more than ``late`` behind the newest one.
+    """
     kinds = dict(requests.dtypes)
 
     def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,12 +61,37 @@ def rate_limit_stream(requests: DataFrame, key: str, at: str, id_: str, most: in
         kept = deque(state.get[0]) if state.exists else deque()
         whole = pd.concat(list(batches)).sort_values(["__t", id_])
         accepted = list(admit(whole["__t"], kept, most, window_s))
-        state.update((list(kept),))
-        state.setTimeoutDuration(int(window_s * 1000))
+        if kept:
+            state.update((list(kept),))
+            state.setTimeoutTimestamp(max(int((kept[-1] + window_s) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: group[0], id_: whole[id_].to_numpy(), "accepted": accepted})
+
+    time = F.col(at).cast("timestamp")
+    shifted = requests.withColumn("__at", time + F.expr("interval 1 millisecond"))  # what lies exactly at the watermark is in time
+    timed = shifted.withWatermark("__at", late).select(key, id_, "__at", (F.unix_micros(time) / 1e6).alias("__t"))
+    return timed.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def daily_cap_stream(requests: DataFrame, key: str, at: str, id_: str, most: int) -> DataFrame:
+    """Stream form of daily_cap by a key: the day and how many requests it has used are the state; a later day starts anew, an earlier one is over; no time is no day."""
+    kinds = dict(requests.dtypes)
+
+    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, used = state.get if state.exists else (1 - 2**31, 0)
+        whole = pd.concat(list(batches)).sort_values(["__t", id_])
+        accepted = []
+        for d in whole["__d"]:
+            if d > day:
+                day, used = int(d), 0
+            ok = d == day and used < most
+            used += ok
+            accepted.append(bool(ok))
+        state.update((day, int(used)))
         yield pd.DataFrame({key: group[0], id_: whole[id_].to_numpy(), "accepted": accepted})
 
-    timed = requests.select(key, id_, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("__t"))
-    return timed.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    time = F.col(at).cast("timestamp")
+    timed = requests.select(key, id_, F.unix_micros(time).alias("__t"), F.coalesce(F.unix_date(F.to_date(time)), F.lit(-(2**31))).alias("__d"))
+    return timed.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean", "day int, used int", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_cap(requests: DataFrame, at: str, id_: str, most: int, by: list[str] | None = None) -> DataFrame:
@@ -129,6 +159,21 @@ def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: st
     return out.withColumn("due", due).drop("__last")
 
 
+def review_cards_stream(graded: DataFrame, key: str, at: str, grade: str) -> DataFrame:
+    """Stream form of review_cards: the card is the state, and every micro-batch that grades it gives its new one."""
+    kind = dict(graded.dtypes)[key]
+
+    def follow(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        card = tuple(state.get) if state.exists else (0, 0, 2.5, 0)
+        for q in pd.concat(list(batches)).sort_values(["__t", "__q"])["__q"]:
+            card = next_review(card, int(q))
+        state.update(card)
+        yield pd.DataFrame([(group[0], *card)], columns=[key, "reps", "interval", "ease", "lapses"])
+
+    timed = graded.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), F.col(grade).alias("__q"))
+    return timed.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, reps int, interval long, ease double, lapses int", "reps int, interval long, ease double, lapses int", "update", GroupStateTimeout.NoTimeout)
+
+
 def due_cards(cards: DataFrame, now: Column) -> DataFrame:
     """Cards that are due, the longest due first."""
     return cards.where(F.col("due") <= now).orderBy("due")
