@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import bag_minhash, chat_format, decontaminate, line_quality, mixing, secret_scan, shard, token_counts, toxicity, warc
+from docspark.llm import bag_minhash, chat_format, decontaminate, fill_in_middle, line_quality, mixing, prefix_trie, quality_qda, secret_scan, shard, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_curriculum": mixing.op8_curriculum,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_bag_minhash": bag_minhash.op10_bag_minhash,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_quality_qda": quality_qda.op13_quality_qda,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_chat_format": chat_format.ORACLE,
     "op7_histogram_sort": shard.ORACLE,
     "op8_curriculum": mixing.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
