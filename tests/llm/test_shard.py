@@ -10,12 +10,10 @@ from docspark.llm import shard
 
 def brute(rows, shards=shard.SHARDS):
     keyed = sorted(((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), shard.NO_ID if i is None else i, len((t or "").encode()) + 1, i) for i, t in rows), key=lambda x: x[:2])
-    total, below, out, k = sum(x[2] for x in keyed), 0, [], 0
-    while k < len(keyed):
-        same = [x for x in keyed[k:] if x[:2] == keyed[k][:2]]
-        own = sum(x[2] for x in same)
-        out += [(x[3], x[2], (2 * below + own) * shards // (2 * total)) for x in same]
-        below, k = below + own, k + len(same)
+    total, below, out = sum(x[2] for x in keyed), 0, []
+    for x in keyed:
+        out.append((x[3], x[2], (2 * below + x[2]) * shards // (2 * total)))
+        below += x[2]
     return sorted(out, key=repr)
 
 
@@ -44,6 +42,17 @@ def test_hot_text_is_split(spark, tables):
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) < 2 * max(r["size"] for r in got)
 
 
+def test_equal_rows_are_split(spark, tables):
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("some text "), F.col("id").cast("string"))).alias("text"))
+    got = check(spark, tables(documents=docs.repartition(5)), [(r[0], r[1]) for r in docs.collect()])
+    sizes = dict.fromkeys(range(16), 0)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 2 * max(r["size"] for r in got)
+    out = shard.write_order(spark, docs, "").groupBy("shard").count().collect()
+    assert len(out) == 16 and max(r["count"] for r in out) < 70
+
+
 def test_far_ids_of_one_text(spark, tables):
     ids = [-(2**63), 2**63 - 1, 0, 5, -7, 2**62, None, 3]
     docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
