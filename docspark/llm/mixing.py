@@ -16,12 +16,11 @@ schedule is the source's cumulative demand, a quadratic that is inverted in
 closed form to turn a document's place in its source's stream into a training
 position between 0 and 1, one for each pass; the mix is range-sorted by position.
 
-Prefix sums inside a source run in two levels: the hash order is cut into parts
-of about PART_ROWS rows were they all of one source, small sums a part are
-accumulated a source, and rows only meet the rows of their own part. So a source
-that holds a third of the rows is spread over many tasks, whatever the input's
-size; results do not depend on the parts. The table of sources, one short row
-each, is ranked in one task.
+Prefix sums run over one order of all rows (source, hash of the id, hash of the text, row number of
+the scan) in range-sorted blocks (``operators.scan``); a source's own sum is the whole less what the
+sources before it hold. So a source, an id or a group of equal rows with a third of the
+rows is spread over many tasks. Only keys and sizes are sorted; documents meet them
+by row number. The table of sources, one short row each, is ranked in one task.
 
 Defined cases: a null text has size 0; empty documents take nothing; a null source
 is one of its own; without any word all targets are 0; rows equal in id and text
@@ -30,23 +29,20 @@ are dealt one after the other; further columns are carried by the stage.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import table, text_or_empty
+from docspark.llm.common import salted, table, text_or_empty
+from docspark.operators.scan import BLOCK, PLACE, in_order, running
 from docspark.plans.staging import stage
 
 WEIGHTS = [3.0, 1.0, 2.0]
 SLOPES = [0.5, -0.5, 0.0]
 SHARE, MOST = 1.5, 2
-#: Rows that a part of a source holds at most on average, and the least number of hex digits of the hash that name a part.
-PART_ROWS, DIGITS = 1 << 14, 2
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with __size (words), __h and __t: the order inside a source."""
+    """docs (a scan) with __size (words), __h, __t and __row: the order inside a source."""
     text = text_or_empty("text")
     n_words = F.size(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +", -1))
     return docs.withColumns(
@@ -54,12 +50,13 @@ def sized(docs: DataFrame) -> DataFrame:
             "__size": F.when(text.rlike("[^\\x20\\x09-\\x0D]"), n_words).otherwise(0).cast("long"),
             "__h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
             "__t": F.md5(text.cast("binary")),
+            "__row": F.monotonically_increasing_id(),
         }
     )
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, weight, slope, target) of each source in ``sizes`` (source, __size)."""
+    """(source, source_size, weight, slope, target, __base) of each source in ``sizes`` (source, __size); __base: words of the sources before it, null first."""
     pick = lambda values, of: F.element_at(F.array(*map(F.lit, values)), ((of - 1) % len(values) + 1).cast("int"))
     s = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
     s = s.selectExpr("source", "source_size", "row_number() over (order by source asc nulls last) as __i")
@@ -70,35 +67,26 @@ def targets(sizes: DataFrame) -> DataFrame:
         f"coalesce(sum(source_size) over ({by_ratio} rows between unbounded preceding and 1 preceding), 0) as __full",
         f"coalesce(sum(weight) over ({by_ratio} rows between current row and unbounded following), 0) as __open",
         "sum(source_size) over () as __all",
+        "coalesce(sum(source_size) over (order by source asc nulls first rows between unbounded preceding and 1 preceding), 0) as __base",
     )
     # The level if this source and all after it are open; levels fall after the first source that its level does not fill, whose level holds.
     s = s.withColumn("__level", (SHARE * F.col("__all") - MOST * F.col("__full")) / F.col("__open"))
     s = s.withColumn("__fits", F.col("__level") * F.col("weight") <= MOST * F.col("source_size"))
     s = s.selectExpr("*", "max(CASE WHEN __fits THEN __level END) over () as __water")
     target = F.least(F.lit(float(MOST)) * F.col("source_size"), F.coalesce("__water", F.lit(1e300)) * F.col("weight"))
-    return s.select("source", "source_size", "weight", "slope", F.round(target, 6).alias("target"))
-
-
-def digits(n_rows: int) -> int:
-    return max(DIGITS, math.ceil(math.log(max(1, n_rows) / PART_ROWS, 16)))
+    return s.select("source", "source_size", "weight", "slope", F.round(target, 6).alias("target"), "__base")
 
 
-def mix(rows: DataFrame, n_digits: int = DIGITS) -> DataFrame:
-    """Sized rows with source_size, target, slope, taken, __start (words before the row in a pass) and position (of the first pass, null if none is taken)."""
-    rows = rows.withColumn("__part", F.substring("__h", 1, n_digits))
-    parts = rows.groupBy("source", "__part").agg(F.sum("__size").alias("__size"))
-    parts = stage(parts, "mix-parts")
-    before = parts.selectExpr("source", "__part", "coalesce(sum(__size) over (partition by source order by __part rows between unbounded preceding and 1 preceding), 0) as __before")
-    plan = targets(parts).join(before.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    plan = plan.withColumnsRenamed({"source": "__source", "__part": "__own_part"})
-    met = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__part") == F.col("__own_part"))).drop("__source", "__own_part")
-    start = "__before + coalesce(sum(__size) over (partition by coalesce(source, ''), source is null, __part order by __h, __t rows between unbounded preceding and 1 preceding), 0)"
-    met = met.withColumn("__start", F.expr(start))
+def mix(keys: DataFrame) -> DataFrame:
+    """Sized keys (source, __size, __h, __t, __row) with source_size, target, slope, taken, __start (words before the row in a pass) and position (of the first pass, null if none is taken)."""
+    ordered = running(in_order(keys, ["source", "__h", "__t", "__row"], "mix-order"), sums={"__upto": F.col("__size")})
+    met = salted(ordered, targets(ordered.select("source", "__size")), ["source"], by=["__row"])
+    met = met.withColumn("__start", F.col("__upto") - F.col("__size") - F.col("__base"))
     # Words of pass p up to a point of the stream: the rounded target less what comes before, between 0 and the size.
     goal = F.floor(F.col("target") + 0.5).cast("long")
     taken = lambda p: F.greatest(F.lit(0), F.least(F.col("__size"), goal - p * F.col("source_size") - F.col("__start")))
     met = met.withColumn("taken", sum((taken(p) for p in range(1, MOST)), taken(0)).cast("long"))
-    return met.withColumn("position", position(0)).drop("__before")
+    return met.withColumn("position", position(0)).drop("__upto", "__base", BLOCK, PLACE)
 
 
 def position(pass_: int | Column):
@@ -115,7 +103,7 @@ def position(pass_: int | Column):
 
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix(sized(docs).drop("text"), digits(docs.count()))
+    mixed = mix(sized(docs).drop("text"))
     second = F.when(F.col("taken") > F.col("__size"), position(1))
     placed = mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken", F.round("position", 6).alias("position"), F.round(second, 6).alias("second_position"))
     # Staged, so that the sample behind the range exchange does not mix twice.
@@ -124,11 +112,13 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as it is taken (a part of a pass counts as a whole one), each pass at its own position."""
-    # The document travels as one column, so that its own names clash with none of the mix; its text travels once.
-    mixed = mix(sized(docs.select(F.struct("*").alias("__row"), "doc_id", "text", "source")).drop("text"), digits(docs.count()))
-    passes = F.ceil(F.col("taken") / F.nullif(F.col("__size"), F.lit(0))).cast("int")
-    repeated = mixed.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("position", position(F.col("__pass")))
-    return repeated.repartitionByRange("position", "__pass").sortWithinPartitions("position", "__pass").select("__row.*")
+    # Keys are mixed alone and meet the documents by row number. A document travels as one column, so that its own names clash with none of the mix.
+    keys = mix(sized(docs.select("doc_id", "text", "source")).drop("doc_id", "text")).where("taken > 0")
+    passes = F.ceil(F.col("taken") / F.col("__size")).cast("int")
+    keys = stage(keys.select("__row", "__start", "__size", "source_size", "target", "slope", "taken", passes.alias("__passes")), "mixed")
+    met = docs.select(F.struct("*").alias("__doc"), F.monotonically_increasing_id().alias("__row")).join(keys, "__row")
+    repeated = met.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1))).withColumn("position", position(F.col("__pass")))
+    return repeated.repartitionByRange("position", "__pass").sortWithinPartitions("position", "__pass").select("__doc.*")
 
 
 _INVERSE = "CASE WHEN slope = 0 THEN {share} ELSE ((1 + slope) - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * {share}))) / (2 * slope) END"
