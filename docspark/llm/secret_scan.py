@@ -11,6 +11,10 @@ decoding and parsing proves what it is.
 * ``openssh``: base64 of an OpenSSH private key whose nested lengths fit.
 * ``basic``: base64 after ``Basic`` that decodes to printable user:password.
 
+Every place where a token or key could begin is tried. A run of base64 or hex characters (base64 over line
+ends) is read once and decoded once for each alignment; lengths and fields are then read at offsets, so time is
+near linear in a text, whatever it holds.
+
 Patterns run over whole texts. A text without a run of RUN such characters and
 without a keyword of ``assign`` is passed over after those two searches, which
 every reported match would have met.
@@ -28,7 +32,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +50,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of hex digits is kept from 24 on
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d}" % RUN)
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}")
 _BASE64_ON = re.compile(r"([A-Za-z0-9+/]+)(?:\s|\\[nrt])*")  # a line of a key and what parts it from the next, escaped line ends included
 _HEX_ANY = re.compile(r"[0-9a-fA-F]{64,}")
 _JSON_START = re.compile("ey[JA]|ew[ok0]")  # base64 of an opening brace and a quote or white space
 _BASIC = re.compile(r"[Bb]asic\x20+([A-Za-z0-9+/]{8,}={0,2})")
+_DECODER = json.JSONDecoder()
 _OPENSSH = b"openssh-key-v1\0"
 _OPENSSH_START = "b3BlbnNzaC1rZXktdjEA"
 
@@ -72,11 +79,49 @@ def _json_object(part: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def asn1(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the elements that fill data[at:end] exactly, or None."""
+def _object_at(text: str, at: int) -> tuple[dict | None, int]:
+    """The JSON object that begins at a place, and its end; it is read from pieces that grow as long as they are too short, so a failure costs what was read."""
+    size = 1024
+    while True:
+        part = text[at : at + size]
+        try:
+            found, end = _DECODER.raw_decode(part)
+            return (found if isinstance(found, dict) else None), at + end
+        except RecursionError:
+            return None, at
+        except json.JSONDecodeError as e:
+            if at + size >= len(text) or not (e.msg.startswith("Unterminated") or e.pos > size - 16):
+                return None, at
+        size *= 8
+
+
+def _header(part: str) -> int | None:
+    """Where in a token's first part its header begins: the first place from which it decodes to a JSON object that names an algorithm."""
+    decoded: dict[int, tuple[str, int]] = {}
+    for m in _JSON_START.finditer(part):
+        at = m.start()
+        if (len(part) - at) % 4 == 1:
+            continue
+        # One decoding serves all starts of an alignment; a character stands for a byte.
+        first = at % 4
+        if first not in decoded:
+            text = (_base64(part[first:], url=True) or b"").decode("latin-1")
+            decoded[first] = text, text.rfind('"alg"') if text.rstrip().endswith("}") else -1
+        text, last = decoded[first]
+        begin = (at - first) // 4 * 3
+        if begin > last:  # no header without this name behind it and a brace at the end
+            continue
+        found, end = _object_at(text, begin)
+        if found and isinstance(found.get("alg"), str) and not text[end:].strip() and _json_object(part[at:]):
+            return at
+    return None
+
+
+def asn1(data: bytes, at: int = 0, end: int | None = None, most: int = 16) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the elements that fill data[at:end] exactly, or None, as if there are more than ``most``: no key has."""
     end, out = len(data) if end is None else end, []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(out) == most:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -92,9 +137,9 @@ def asn1(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, in
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether data is one RSA, EC or PKCS#8 private key in DER."""
-    top = asn1(data)
+def is_private_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
+    """Whether data[at:end] is one RSA, EC or PKCS#8 private key in DER."""
+    top = asn1(data, at, end)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     fields = asn1(data, *top[0][1:])
@@ -109,21 +154,21 @@ def is_private_key(data: bytes) -> bool:
     return version in (0, 1) and len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
 
 
-def der_length(data: bytes) -> int:
-    """Bytes of the sequence that begins data, if its first field is a version number of 0 or 1, else 0."""
-    if len(data) < 8 or data[0] != 0x30:
+def der_length(data: bytes, at: int = 0) -> int:
+    """Bytes of the sequence that begins at data[at], if its first field is a version number of 0 or 1, else 0."""
+    if len(data) < at + 8 or data[at] != 0x30:
         return 0
-    size = data[1] & 0x7F if data[1] & 0x80 else 0
-    if size > 4 or data[2 + size : 4 + size] != b"\x02\x01" or data[4 + size] > 1:
+    size = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+    if size > 4 or data[at + 2 + size : at + 4 + size] != b"\x02\x01" or len(data) <= at + 4 + size or data[at + 4 + size] > 1:
         return 0
-    return 2 + size + (int.from_bytes(data[2 : 2 + size]) if size else data[1])
+    return 2 + size + (int.from_bytes(data[at + 2 : at + 2 + size]) if size else data[at + 1])
 
 
-def openssh_length(data: bytes) -> int:
-    """Bytes of the OpenSSH private key that begins data (magic, then strings whose lengths fit inside), else 0."""
-    if not data.startswith(_OPENSSH):
+def openssh_length(data: bytes, at: int = 0) -> int:
+    """Bytes of the OpenSSH private key that begins at data[at] (magic, then strings whose lengths fit inside), else 0."""
+    if not data.startswith(_OPENSSH, at):
         return 0
-    at = len(_OPENSSH)
+    first, at = at, at + len(_OPENSSH)
     for _ in range(3):  # cipher, derivation, its options
         if at + 4 > len(data):
             return 0
@@ -137,7 +182,7 @@ def openssh_length(data: bytes) -> int:
         if at + 4 > len(data):
             return 0
         at += 4 + int.from_bytes(data[at : at + 4])
-    return at if at <= len(data) else 0
+    return at - first if at <= len(data) else 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -164,23 +209,36 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     if not _LONG.search(text) and text.count(".") < 2:
         return out
     if _JSON_START.search(text):
-        for m in _JWT.finditer(text):
-            head = _json_object(m[1])
-            if head and isinstance(head.get("alg"), str) and _json_object(m[2]) is not None:
-                out.append((m.start(), m.end(), "jwt"))
+        out += _tokens(text)
     if "M" in text or _OPENSSH_START in text:
         out += _base64_keys(text)
     end = 0
     for m in _HEX_ANY.finditer(text):
+        whole = [bytes.fromhex(m[0][k : len(m[0]) - (len(m[0]) - k) % 2]) for k in (0, 1)]
         for start in _places("30", m[0]):
-            head = m[0][start : start + 20]
-            n = 2 * der_length(bytes.fromhex(head[: len(head) & ~1]))
-            if m.start() + start >= end and 0 < n <= len(m[0]) - start and is_private_key(bytes.fromhex(m[0][start : start + n])):
-                end = m.start() + start + n
+            data, at = whole[start % 2], start // 2
+            n = der_length(data, at)
+            if m.start() + start >= end and 0 < n <= len(data) - at and is_private_key(data, at, at + n):
+                end = m.start() + start + 2 * n
                 out.append((m.start() + start, end, "pkcs"))
     return out
 
 
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens: any three parts of a dotted run, the first from any place in it."""
+    out, end = [], 0
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for first, second, third in zip(parts, parts[1:], parts[2:]):
+            if at >= end and second and _JSON_START.search(first) and _json_object(second) is not None:
+                start = _header(first)
+                if start is not None:
+                    end = at + len(first) + len(second) + len(third) + 2
+                    out.append((at + start, end, "jwt"))
+            at += len(first) + 1
+    return out
+
+
 def _places(part: str, text: str) -> Iterator[int]:
     at = text.find(part)
     while at >= 0:
@@ -188,36 +246,49 @@ def _places(part: str, text: str) -> Iterator[int]:
         at = text.find(part, at + 1)
 
 
-def _read_on(text: str, start: int, n: int | None) -> tuple[str, list[tuple[int, int]]]:
-    """The next n (or all) base64 characters from start, over line ends, and the (number before, place) of each line."""
-    parts, lines, held, at = [], [], 0, start
-    while (n is None or held < n) and (m := _BASE64_ON.match(text, at)):
-        lines.append((held, m.start()))
-        parts.append(m[1])
-        held, at = held + len(m[1]), m.end()
-    return "".join(parts)[:n], lines
+class _Run:
+    """Base64 characters from a place of a text on, over line ends, with the places of its lines and its four decodings."""
+
+    def __init__(self, text: str, start: int):
+        parts, self.held, self.places, n, at = [], [], [], 0, start
+        while m := _BASE64_ON.match(text, at):
+            self.held.append(n)
+            self.places.append(m.start())
+            parts.append(m[1])
+            n, at = n + len(m[1]), m.end()
+        self.chars, self.end = "".join(parts), at
+
+    @cached_property
+    def decoded(self) -> list[bytes]:
+        n = len(self.chars)
+        return [_base64(self.chars[k : n - ((n - k) % 4 == 1)]) or b"" for k in range(4)]
+
+    def number(self, place: int) -> int:
+        """Number of the character at a place of the text."""
+        k = bisect_right(self.places, place) - 1
+        return self.held[k] + place - self.places[k]
+
+    def place(self, number: int) -> int:
+        k = bisect_right(self.held, number) - 1
+        return self.places[k] + number - self.held[k]
 
 
 def _base64_keys(text: str) -> list[tuple[int, int, str]]:
     """Keys in base64 that begin anywhere in a run of such characters; their own lengths say where they end."""
-    out, end = [], 0
+    out, end, run = [], 0, None
     for m in _BASE64.finditer(text):
+        if run is None or m.start() >= run.end:
+            run = None  # read when a key may begin
         for kind, first in (("pkcs", "M"), ("openssh", _OPENSSH_START)):
             for start in (m.start() + k for k in _places(first, m[0])):
                 if start < end:
                     continue
-                if kind == "pkcs":
-                    n = der_length(_base64(text[start : start + 12]) or b"") if start + 12 <= m.end() else 0
-                    chars, lines = _read_on(text, start, -(-n * 4 // 3)) if n else ("", [])
-                    fits = n and len(chars) == -(-n * 4 // 3) and is_private_key((_base64(chars) or b"")[:n])
-                else:
-                    chars, lines = _read_on(text, start, None)
-                    n = openssh_length(_base64(chars[: len(chars) & ~3]) or b"") or openssh_length(_base64(chars) or b"")
-                    fits = n > 0
-                if fits:
-                    n = -(-n * 4 // 3)
-                    held, at = [x for x in lines if x[0] < n][-1]
-                    end = at + n - held
+                run = run or _Run(text, m.start())
+                number = run.number(start)
+                data, at = run.decoded[number % 4], number // 4 * 3
+                n = der_length(data, at) if kind == "pkcs" else openssh_length(data, at)
+                if 0 < n <= len(data) - at and (kind == "openssh" or is_private_key(data, at, at + n)):
+                    end = run.place(number + -(-n * 4 // 3) - 1) + 1
                     end += len(re.match("={0,2}", text[end : end + 2])[0])
                     out.append((start, end, kind))
     return sorted(out)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from docspark.llm import secret_scan as ss
 
@@ -69,6 +70,24 @@ def test_keys_at_any_place_of_a_run():
     assert (start, end) == (0, len(b64(RSA)))
 
 
+def test_tokens_behind_dotted_names_and_prefixes():
+    jwt = f"{url({'alg': 'HS256', 'typ': 'JWT'})}.{url({'sub': 1})}.c2lnbmF0dXJl"
+    for before in ("authserver.prod.", "id_", "eyJ", "a.eyJ.", "x" * 3, "x" * 4, "eyJ-", "www.example.com/"):
+        assert ss.confirmed_spans(before + jwt) == [(len(before), len(before + jwt), "jwt")], before
+    assert [s[:2] for s in ss.confirmed_spans(f"{jwt} {jwt}")] == [(0, len(jwt)), (len(jwt) + 1, 2 * len(jwt) + 1)]
+    assert ss.confirmed_spans(f"{url({'alg': 'HS256'})}..x") == [] == ss.confirmed_spans(f"{url({'alg': 'none'})}.{url([1])}.")
+
+
+def test_hostile_texts_take_linear_time():
+    start = base64.b64encode(OPENSSH[:15]).decode()
+    nested = "".join(f"30{n:02x}020100" for n in range(5, 99)).replace(" ", "")
+    integers = bytes.fromhex("3083ffffff020100") + bytes.fromhex("0207308300ffff020100") * 20_000
+    for text in (start * 30_000, "MIIEvQIBADAN" * 60_000, "eyJ" * 200_000 + "." + url({}) + ".x", ("eyJhIjp" * 80_000) + ".e30.", "30820100020100" * 60_000, nested * 5_000, b64(integers), "a." * 400_000, "M" * 1_000_000):
+        began = time.process_time()
+        ss.confirmed_spans(text)
+        assert time.process_time() - began < 8, text[:40]
+
+
 def test_look_alikes_are_not():
     bad = bytearray(RSA)
     bad[3] ^= 1
