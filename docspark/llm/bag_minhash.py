@@ -460,11 +460,17 @@ def _near(a: Column, b: Column) -> Column:
     return near(a, b)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are near; ``texts`` has one row a node (node, text)."""
+def verified(pairs: DataFrame, texts: DataFrame, most: int = 1024) -> DataFrame:
+    """The pairs (a, b) whose texts are near; ``texts`` has one row a node (node, text).
+
+    b may be the hub of a large group: its text is repeated for every ``most`` of its pairs, which are dealt over the copies.
+    """
+    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__copies"))
     left = texts.withColumnsRenamed({"node": "a", "text": "__ta"})
-    right = texts.withColumnsRenamed({"node": "b", "text": "__tb"})
-    return pairs.join(left, "a").join(right, "b").where(_near(F.col("__ta"), F.col("__tb"))).select("a", "b")
+    right = texts.withColumnsRenamed({"node": "b", "text": "__tb"}).join(copies, "b").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    dealt = salted(pairs, copies, ["b"], by=["a"]).withColumn("__copy", F.pmod(F.xxhash64("a"), F.col("__copies")).cast("int")).drop("__copies")
+    met = dealt.join(left, "a").join(right.drop("__copies"), ["b", "__copy"])
+    return met.where(_near(F.col("__ta"), F.col("__tb"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
