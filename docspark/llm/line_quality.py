@@ -2,7 +2,8 @@
 
 Every line is judged on its own: punctuation (a line of more than MIN_WORDS
 words without any sentence mark, or one with as many signs as words), navigation
-(separators between short labels) and boilerplate (a short line with a stock
+(separators between short labels, or a line of a menu: MENU_LINES or more lines on end of at most MIN_WORDS words
+without a sentence mark, blank lines between them not counted) and boilerplate (a short line with a stock
 phrase, in English, French, German or Spanish). Failing lines are removed; a document that loses more than
 MAX_LOSS percent of its word characters that way is rejected.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import table, text_or_empty, words
 
-MIN_WORDS, MAX_LOSS, STOCK_WORDS = 3, 50, 30
+MIN_WORDS, MAX_LOSS, STOCK_WORDS, MENU_LINES = 3, 50, 30, 4
 WORD = "[^\\x20\\x09-\\x0D]"
 SENTENCE_MARK = "[.!?\u2026\u3002\u061F]"
 SEPARATORS = "|\u00BB\u00B7"
@@ -48,13 +49,19 @@ def _line_fails(line: str = "l.line", n: str = "l.n") -> str:
         OR ({n} <= {STOCK_WORDS} AND {line} RLIKE '(?iu){STOCK}')"""
 
 
-_COUNTED = f"transform(__lines, x -> struct(x AS line, regexp_count(x, '{WORD.replace(chr(92), chr(92) * 2)}+') AS n))"
-
-
 def with_bad_lines(docs: DataFrame) -> DataFrame:
-    """docs with __lines (all) and __bad (those that fail a rule)."""
-    lined = docs.withColumn("__lines", F.split(text_or_empty("text"), "\n", -1))
-    return lined.withColumn("__bad", F.expr(f"filter({_COUNTED}, l -> {_line_fails()}).line"))
+    """docs with __lines (all), __judged (each line with a word and the blank lines behind it; fails) and __bad (those that fail a rule)."""
+    # A line takes the blank lines behind it along, so that neighbours in the array are neighbours in the menu.
+    lines = F.split(text_or_empty("text"), f"\n(?=[^\n]*{WORD})", -1)
+    out = docs.withColumns({"__lines": F.split(text_or_empty("text"), "\n", -1), "__judged": lines})
+    judged = f"transform(__judged, x -> struct(x AS line, regexp_count(x, '{WORD.replace(chr(92), chr(92) * 2)}+') AS n))"
+    alone = f"transform(__judged, l -> struct(l.line, {_line_fails()} AS fails, l.n BETWEEN 1 AND {MIN_WORDS} AND NOT l.line RLIKE '{SENTENCE_MARK}' AS short))"
+    near = lambda k: f"coalesce(get(__judged, i + {k}).short, false)"
+    menu = " OR ".join("(" + " AND ".join(near(first + k) for k in range(MENU_LINES)) + ")" for first in range(1 - MENU_LINES, 1))
+    whole = f"transform(__judged, (l, i) -> struct(l.line, l.fails OR (l.short AND ({menu})) AS fails))"
+    for step in (judged, alone, whole):
+        out = out.withColumn("__judged", F.expr(step))
+    return out.withColumn("__bad", F.expr("filter(__judged, l -> l.fails).line"))
 
 
 def word_chars(c: Column) -> Column:
@@ -108,7 +115,7 @@ def clean(docs: DataFrame) -> DataFrame:
     # The document travels as one column, so that its own names clash with none of the measures.
     # The row number keeps the filter above the measures: pushed below them it would put whole arrays into each other's lambdas.
     judged = measure(docs.select(F.struct("*").alias("__row"), "text")).withColumn("__at", F.monotonically_increasing_id()).where("kept and __at >= 0")
-    good = F.expr(f"array_join(filter({_COUNTED}, l -> NOT ({_line_fails()})).line, '\\n')")
+    good = F.array_join(F.expr("filter(__judged, l -> NOT l.fails).line"), "\n")
     return judged.select(F.col("__row").withField("text", good).alias("__row")).select("__row.*")
 
 
@@ -127,8 +134,11 @@ def _oracle() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, {r}) AS w, string_split(t, chr(10)) AS ls FROM d),
 l1 AS (SELECT row_number() OVER () AS rid, * FROM b),
-ln AS (SELECT rid, unnest(ls) AS l FROM l1),
-lv AS (SELECT rid, l, length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c, regexp_matches(l, {r}) AS worded, {fails} AS fails FROM ln),
+ln AS (SELECT rid, unnest(range(len(ls))) AS k, unnest(ls) AS l FROM l1),
+ls AS (SELECT *, regexp_matches(l, {r}) AS worded, {n} BETWEEN 1 AND {MIN_WORDS} AND NOT regexp_matches(l, '{SENTENCE_MARK}') AS short FROM ln),
+li AS (SELECT *, row_number() OVER (PARTITION BY rid, worded ORDER BY k) - row_number() OVER (PARTITION BY rid, worded, short ORDER BY k) AS island FROM ls),
+lm AS (SELECT *, worded AND short AND count(*) OVER (PARTITION BY rid, worded, short, island) >= {MENU_LINES} AS menu FROM li),
+lv AS (SELECT rid, l, length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c, worded, menu OR {fails} AS fails FROM lm),
 lr AS (SELECT rid, sum(CASE WHEN fails THEN c ELSE 0 END) AS lost, count(*) FILTER (worded) - count(DISTINCT l) FILTER (worded) AS dup FROM lv GROUP BY rid),
 g AS (SELECT rid, unnest(range(len(w) - 2)) AS i, w FROM l1 WHERE len(w) >= 3),
 g2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i + 1], w[i + 2], w[i + 3]) AS k FROM g),

@@ -45,6 +45,19 @@ def test_words_and_edges(spark):
     assert bad == {0, 3, 4, 5}
 
 
+def test_menus(spark):
+    menu, prose = ["Home", "About us", "", "Contact", "Our last news"], "Here is a sentence of prose, and it ends."
+    texts = ["\n".join(x) for x in (menu * 18, [prose, *menu[:2], prose], [prose, *menu, prose], ["", " ", *menu[:4]], ["", *menu[3:], "", "A. B.", *menu[:2]], menu[:3] + ["Stop here."])]
+    got = {r["doc_id"]: r for r in lq.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lost = [got[i]["lost_chars"] for i in range(6)]
+    chars = lambda lines: sum(len("".join(x.split())) for x in lines)
+    assert lost == [chars(menu * 18), 0, chars(menu), 0, 0, 0]
+    assert not got[0]["kept"]
+    own = [" ".join(f"word{i}x{j}" for j in range(9)) + "." for i in range(12)]
+    long = spark.createDataFrame([(1, "\n".join([*own, "", "", *menu, prose]))], "doc_id long, text string")
+    assert lq.clean(long).first()["text"] == "\n".join([*own, "", "", prose])
+
+
 def test_stays_native(spark, tables, odd_docs):
     d = tables(documents=odd_docs)
     plan = lq.op4_line_quality(spark, d)._jdf.queryExecution().executedPlan().toString()
