@@ -37,6 +37,11 @@ def normalise(c: str | Column, profile: TextProfile = ARABIC) -> Column:
     return F.trim(F.regexp_replace(out, f"[^{profile.keep}]+", " "))
 
 
+def trimmed(c: str | Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_col(c), "^\\s+|\\s+$", "")
+
+
 def strip_marks(c: str | Column, profile: TextProfile = ARABIC) -> Column:
     return F.regexp_replace(_col(c), f"[{profile.marks}]", "")
 

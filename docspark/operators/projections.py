@@ -36,7 +36,7 @@ def longer(rows: DataFrame, text: str, over: int, profile: TextProfile = UNICODE
 def heading_part(c: str, most: int = 15, profile: TextProfile = UNICODE) -> Column:
     """Whether a line is short and without digits, and so belongs to the heading."""
     norm = T.normalise(c, profile)
-    return (F.length(norm) <= most) & ~norm.rlike("\\d")
+    return (F.length(norm) <= most) & ~norm.rlike("[0-9\u0660-\u0669]")
 
 
 def headings(rows: DataFrame, level: int = 2, page: int = 80) -> DataFrame:
