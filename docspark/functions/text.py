@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions import entities
 from docspark.functions.profiles import ARABIC, ARABIC_DIGITS, HONORIFICS, SIGLA, UNICODE, TextProfile
 
-#: Entities that pages use; the ampersand comes last so that nothing is unescaped twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&middot;": "\u00b7", "&copy;": "\u00a9", "&laquo;": "\u00ab", "&raquo;": "\u00bb", "&amp;": "&"}
 MARKER = "\\(([\u0660-\u06690-9]+)\\)"
 
 
@@ -17,10 +16,8 @@ def _col(c: str | Column) -> Column:
 
 
 def unescape(c: str | Column) -> Column:
-    out = _col(c)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references decoded, each once."""
+    return entities.unescape(_col(c))
 
 
 def normalise(c: str | Column, profile: TextProfile = ARABIC) -> Column:

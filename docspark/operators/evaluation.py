@@ -192,8 +192,10 @@ def history(rows: DataFrame, at: str, id_: str, k: int = 50) -> DataFrame:
     return rows.orderBy(F.desc(at), F.desc(id_)).limit(k)
 
 
-def matrix(systems_: DataFrame, runs: int, items: DataFrame) -> DataFrame:
-    """Every system, run and item; systems and runs are short lists given as parameters, so each item is repeated in place."""
-    names = [r[0] for r in systems_.distinct().limit(1000).collect()]
+def matrix(systems_: DataFrame, runs: int, items: DataFrame, most: int = 1000) -> DataFrame:
+    """Every system, run and item; systems and runs are short lists given as parameters, so each item is repeated in place. More than ``most`` systems are refused."""
+    names = [r[0] for r in systems_.distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} systems")
     pairs = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(k).alias("run")) for n in sorted(names) for k in range(1, runs + 1)])
     return items.withColumn("__p", F.explode(pairs)).select("*", "__p.*").drop("__p")

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions import sequences as Q
 from docspark.functions import text as T
 from docspark.functions.profiles import ARABIC, TextProfile
+from docspark.operators.matching import similar_words
 
 #: Marks that end a sentence when a page is cut. Fixed values.
 SENTENCE_END = (".", "؛", ":", "!", "؟")
@@ -163,25 +163,38 @@ def notes_behind(marks: DataFrame, notes: DataFrame, on: list[str], order: list[
     """The k notes behind each mark (mark_id, on, word) with tier and rank; notes: on, lemma, kind, order.
 
     Tier 1: the editor's notes whose lemma's last word is like the marked word; 2: any such note; 3: notes of ``kind``. Only the best tier of a mark stays.
+    Like words meet through an index of their forms; of the notes with one last word, and of those of ``kind``, only the first k can be behind a mark, so no key's marks and notes are paired.
     """
     last = T.stem(F.try_element_at(T.word_list(T.normalise(F.coalesce("lemma", F.lit("")), profile)), F.lit(-1)), profile)
-    given = notes.select("*", F.coalesce(last, F.lit("")).alias("__last"), editor.alias("__editor"))
-    met = marks.select("mark_id", *on, T.match_key("word", profile).alias("__key")).join(given, on)
-    like = (F.col("__key") != "") & (F.col("__last") != "") & (T.similarity("__last", "__key") >= least)
-    tier = F.when(like & F.col("__editor"), 1).when(like, 2).when(F.col("kind") == kind, 3)
-    tiered = met.withColumn("tier", tier).where("tier is not null")
+    given = notes.select("*", F.coalesce(last, F.lit("")).alias("__last"), F.coalesce(editor, F.lit(False)).alias("__editor"))
+    asked = marks.select("mark_id", *on, T.match_key("word", profile).alias("__key"))
+    first = lambda df, by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+    like = similar_words(asked, given, "__key", "__last", least)
+    named = asked.join(like, "__key").join(first(given.where("__last <> ''"), [*on, "__last", "__editor"]), [*on, "__last"]).withColumn("tier", F.when(F.col("__editor"), 1).otherwise(2))
+    kept = asked.join(first(given.where(F.col("kind") == kind), on), on).withColumn("tier", F.lit(3))
+    tiered = named.drop("__key").unionByName(kept.drop("__key"))
     w = Window.partitionBy("mark_id").orderBy("tier", *order)
     best = tiered.withColumns({"rank": F.row_number().over(w), "__best": F.min("tier").over(Window.partitionBy("mark_id"))})
-    return best.where((F.col("tier") == F.col("__best")) & (F.col("rank") <= k)).drop("__key", "__last", "__editor", "__best")
+    return best.where((F.col("tier") == F.col("__best")) & (F.col("rank") <= k)).drop("__last", "__editor", "__best")
 
 
-def find_quote(quotes: DataFrame, views: DataFrame, on: list[str], order: list[str], least: float = 0.6) -> DataFrame:
+def find_quote(quotes: DataFrame, views: DataFrame, on: list[str], order: list[str], least: float = 0.6, enough: float = 0.75) -> DataFrame:
     """(quote_id, order, score, begins, ends): the best place of each quote (quote_id, on, words) among the views (on, order, tokens).
 
     The score is the share of words alike; of equal scores the first view and place stand. Quotes under three words and scores under ``least`` find nothing.
+    A place counts if its first or second word is like the quote's, so quotes meet tokens through an index of
+    like words, and only the places where they meet are compared. A view is named by ``on`` and ``order``.
     """
-    met = quotes.where(F.size("words") >= 3).join(views, on).withColumn("__w", Q.best_window("words", "tokens"))
-    found = met.where("__w.score is not null").select("quote_id", *order, "__w.*")
+    asked = quotes.where(F.size("words") >= 3).select("quote_id", *on, "words")
+    starts = asked.select("quote_id", *on, F.size("words").alias("__n"), F.posexplode(F.slice("words", 1, 2)).alias("__k", "__q"))
+    tokens = views.select(*on, *order, F.size("tokens").alias("__of"), F.posexplode("tokens").alias("__p", "__t"))
+    like = similar_words(starts, tokens, "__q", "__t", enough)
+    met = starts.join(like, "__q").join(tokens, [*on, "__t"]).withColumn("__at", F.col("__p") - F.col("__k"))
+    places = met.where((F.col("__at") >= 0) & (F.col("__at") + F.col("__n") <= F.col("__of"))).groupBy("quote_id", *on, *order).agg(F.collect_set("__at").alias("__at"))
+    both = places.join(asked, ["quote_id", *on]).join(views.select(*on, *order, "tokens"), [*on, *order])
+    alike = lambda at: F.aggregate(F.zip_with(F.slice("tokens", at + 1, F.size("words")), "words", lambda t, q: (T.similarity(t, q) >= enough).cast("int")), F.lit(0), lambda s, x: s + x)
+    best = F.array_max(F.transform("__at", lambda at: F.struct(alike(at).alias("n"), (-at).alias("at"))))
+    found = both.withColumn("__b", best).select("quote_id", *order, (F.col("__b.n") / F.size("words")).alias("score"), (-F.col("__b.at")).alias("begins"), (F.size("words") - F.col("__b.at") - 1).alias("ends"))
     w = Window.partitionBy("quote_id").orderBy(F.desc("score"), *order)
     return found.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) & (F.col("score") >= least)).drop("__n")
 

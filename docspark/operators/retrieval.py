@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", profile:
 
 
 def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf)."""
+    """(term, df, idf) of rows with a term for each document that has it."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
@@ -61,6 +63,97 @@ def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", query_id: str
     return scored
 
 
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", query_id: str = "item_id", profile: TextProfile = UNICODE, weight: str | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the k best of each query by BM25, as ``ranked(bm25(...))`` gives them.
+
+    Queries go out in blocks of at most QUERY_BLOCK with their terms. Documents are tokenised once for a block: what stays
+    of one is its length and its counts of the block's terms. Tasks score documents in blocks of ROW_BLOCK and keep
+    the k best they have seen of each query; a block whose best score does not reach the k-th so far is passed over. So
+    at most k rows a query and task leave the tasks, never a row for each document and query that share a word.
+    """
+    spark, out = docs.sparkSession, None
+    asked = queries.select(query_id, F.explode(T.tokens("text", profile, query=True)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = stage(asked, "query-terms")
+    kinds = f"{query_id} {dict(queries.dtypes)[query_id]}, {id_} {dict(docs.dtypes)[id_]}, score double"
+    blocks = max(1, -(-asked.select(query_id).distinct().count() // QUERY_BLOCK))
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        rows = own.orderBy("term", query_id).collect()
+        if not rows:
+            continue
+        terms, names = sorted({r["term"] for r in rows}), sorted({r[query_id] for r in rows})
+        held = stage(docs.select(id_, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__weight"), T.tokens("text", profile).alias("__t")).mapInArrow(_term_counts(spark.sparkContext.broadcast(terms), id_), f"{id_} {dict(docs.dtypes)[id_]}, __weight double, n long, codes array<int>, tfs array<int>"), "query-postings")
+        n_docs, mean = held.agg(F.count(F.lit(1)), F.avg("n")).first()
+        df = np.zeros(len(terms))
+        for r in held.select(F.explode("codes").alias("c")).groupBy("c").count().collect():  # one row a term of the block
+            df[r["c"]] = r["count"]
+        place, code = {q: i for i, q in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+        of_term = np.array([code[r["term"]] for r in rows])
+        shared = spark.sparkContext.broadcast(
+            {
+                "names": names,
+                "first": np.searchsorted(of_term, np.arange(len(terms) + 1)),
+                "query": np.array([place[r[query_id]] for r in rows]),
+                "qtf": np.array([r["qtf"] for r in rows], float),
+                "idf": np.log(1 + ((n_docs or 0) - df + 0.5) / (df + 0.5)),
+                "mean": mean or 1.0,
+            }
+        )
+        part = held.mapInPandas(_best_by_terms(shared, k, id_, digits), kinds)
+        out = part if out is None else out.unionAll(part)
+    return ranked(out if out is not None else spark.createDataFrame([], kinds), query_id, id_, k, digits)
+
+
+def _term_counts(terms, id_: str):
+    """Length of each document and its counts of the given terms, by their numbers."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms.value, pa.string())
+        for batch in batches:
+            tokens = batch.column("__t")
+            length = pc.cast(pc.list_value_length(tokens), pa.int64())  # null for a null text, which counts as a document without a length
+            sizes = length.fill_null(0).to_numpy()
+            found = pc.index_in(tokens.flatten().cast(pa.string()), known)
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            key, tf = np.unique(doc * max(1, len(known)) + found.drop_null().to_numpy(), return_counts=True)
+            doc, code = np.divmod(key, max(1, len(known)))
+            at = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_), batch.column("__weight"), length, *lists], [id_, "__weight", "n", "codes", "tfs"])
+
+    return counted
+
+
+def _best_by_terms(shared, k: int, id_: str, digits: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
+        n, first, idf = len(v["names"]), v["first"], v["idf"]
+        ids, scores = np.zeros((n, k), np.int64), np.zeros((n, k))
+        for batch in batches:
+            batch = batch[batch["codes"].map(len) > 0]
+            for at in range(0, len(batch), ROW_BLOCK):
+                block = batch.iloc[at : at + ROW_BLOCK]
+                own = block[id_].to_numpy(np.int64)
+                size = block["codes"].map(len).to_numpy()
+                doc, code, tf = np.repeat(np.arange(len(block)), size), np.concatenate(block["codes"].tolist()), np.concatenate(block["tfs"].tolist())
+                part = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * block["n"].to_numpy()[doc] / v["mean"]))
+                reach = first[code + 1] - first[code]
+                pair = np.repeat(first[code] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+                value = np.repeat(part, reach) * v["qtf"][pair]
+                found = np.bincount(v["query"][pair] * len(block) + np.repeat(doc, reach), value, n * len(block)).reshape(n, len(block))
+                found = np.round(found * block["__weight"].fillna(0.0).to_numpy(), digits)
+                # A query whose k-th score so far this block does not reach keeps its list.
+                some = np.flatnonzero((found.max(1) > 0) & (found.max(1) >= scores[:, -1]))
+                both, names = np.concatenate([scores[some], found[some]], 1), np.concatenate([ids[some], np.broadcast_to(own, (len(some), len(own)))], 1)
+                order = np.lexsort((names, -both), axis=1)[:, :k]
+                ids[some], scores[some] = np.take_along_axis(names, order, 1), np.take_along_axis(both, order, 1)
+        q, place = np.nonzero(scores > 0)
+        yield pd.DataFrame({0: [v["names"][i] for i in q], 1: ids[q, place], 2: scores[q, place]})
+
+    return best
+
+
 def ranked(scored: DataFrame, query_id: str, id_: str, k: int, digits: int = 6) -> DataFrame:
     """The k best of each query with score > 0, by rounded score, then id."""
     s = scored.withColumn("score", F.round("score", digits)).where("score > 0")
@@ -160,18 +253,3 @@ def hybrid(keyword: DataFrame, dense: DataFrame, query_id: str, id_: str, k: int
     none = F.array().cast("array<long>")
     sure = F.array_distinct(F.concat(F.coalesce("kw", none), F.coalesce("dn", none)))
     return met.select(query_id, F.posexplode(guarantee(F.col("top"), sure)).alias("__p", id_)).select(query_id, id_, (F.col("__p") + 1).alias("rank"))
-
-
-def glossary(passages: DataFrame, rules: list[tuple[str, str, str]], kind_rank: dict[str, int] | None = None) -> DataFrame:
-    """(key, word, definition, kind, id) of every definition that the rules find, the first of each word and definition start."""
-    found = passages.select("id", F.explode(T.glosses("text", rules)).alias("g")).select("id", "g.*")
-    found = found.withColumn("key", T.match_key("word", UNICODE)).where("key <> ''")
-    w = Window.partitionBy("key", F.substring("definition", 1, 60)).orderBy("id")
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
-def lookup(entries: DataFrame, words: DataFrame, k: int = 4) -> DataFrame:
-    """The k entries of each word (query_id, word): same key, ordered by kind and id."""
-    asked = words.withColumn("key", T.match_key("word", UNICODE)).withColumnRenamed("word", "asked")
-    w = Window.partitionBy("query_id").orderBy("kind", "id", "definition")
-    return asked.join(entries, "key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,28 +42,44 @@ def offsets(size: str | Column, by: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(size).over(w), F.lit(0))
 
 
-def pack(pieces: Column, over: int, join: str = " ") -> Column:
-    """array of chunks: pieces are appended to a buffer until it is longer than ``over``, then it is emitted; the rest is flushed."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buffer"))
+def chunk_starts(sizes: Column, over: int, gap: int = 1) -> Column:
+    """array of piece numbers that begin a chunk: a chunk takes pieces until it is longer than ``over``; ``gap`` characters part pieces unless the chunk is empty so far.
+
+    One walk that holds the current size; what it keeps is one number a chunk.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("k"), F.lit(True).alias("new"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = F.when(s["new"] | (s["held"] == 0), x.cast("long")).otherwise(s["held"] + gap + x)
+        return F.struct(held.alias("held"), (s["k"] + 1).alias("k"), (held > over).alias("new"), F.when(s["new"], F.concat(s["out"], F.array(s["k"]))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["out"])
 
-    def step(s: Column, p: Column) -> Column:
-        grown = F.when(s["buffer"] == "", p).otherwise(F.concat(s["buffer"], F.lit(join), p))
-        full = F.length(grown) > over
-        return F.struct(F.when(full, F.concat(s["out"], F.array(grown))).otherwise(s["out"]).alias("out"), F.when(full, "").otherwise(grown).alias("buffer"))
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["buffer"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["buffer"]))))
+def pack(pieces: Column, over: int, join: str = " ") -> Column:
+    """array of chunks: pieces are appended to a buffer until it is longer than ``over``, then it is emitted; the rest is flushed, unless it is empty.
+
+    Chunk ends follow from the sizes alone; each text is cut out of the pieces once.
+    """
+    begins = chunk_starts(F.transform(pieces, lambda p: F.length(p)), over, len(join))
+    taken = F.transform(begins, lambda b, i: F.array_join(F.slice(pieces, b + 1, F.coalesce(F.get(begins, i + 1), F.size(pieces)) - b), join))
+    # An empty buffer takes the next piece as it is, so a chunk has no joint before its first piece with text.
+    bare = F.transform(taken, lambda t: F.regexp_replace(t, f"^(?:{re.escape(join)})+", "")) if join else taken
+    return F.filter(bare, lambda t: t != "")
 
 
 def pack_below(sizes: Column, most: int) -> Column:
     """array of section numbers, one a size: a new section starts where adding the next would exceed ``most``."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         new = (s["held"] + x > most) & (s["held"] > 0)
-        n = F.when(new, s["n"] + 1).otherwise(s["n"])
-        return F.struct(F.concat(s["out"], F.array(n)).alias("out"), n.alias("n"), F.when(new, x.cast("long")).otherwise(s["held"] + x).alias("held"))
+        return F.struct(F.when(new, x.cast("long")).otherwise(s["held"] + x).alias("held"), (s["k"] + 1).alias("k"), F.when(new, F.concat(s["out"], F.array(s["k"]))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    opened = F.aggregate(sizes, start, step, lambda s: s["out"])
+    # Sections opened up to a place: those of ``opened`` that are no greater.
+    ends = F.concat(opened, F.array(F.size(sizes)))
+    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
 
 
 def fit_budget(rows: Column, most: int) -> Column:
@@ -73,27 +91,3 @@ def fit_budget(rows: Column, most: int) -> Column:
         return F.struct(F.when(taken, F.concat(s["out"], F.array(r))).otherwise(s["out"]).alias("out"), F.when(taken, s["held"] + r["size"]).otherwise(s["held"]).cast("long").alias("held"))
 
     return F.aggregate(rows, start, step, lambda s: s["out"])
-
-
-def units(lines: DataFrame) -> DataFrame:
-    """(book_id, chapter, para, unit, core, text) of the bracketed core text and what follows it.
-
-    ``lines``: book_id, chapter, para, text. A numeric bracket is a note mark and
-    stays inside; text before a paragraph's first bracket is a unit without core.
-    """
-    mark = F.regexp_replace("text", "\\((?!\\s*[\u0660-\u06690-9]+\\s*\\))([^()]*)\\)", "\u0001$1\u0002")
-    parts = lines.select("book_id", "chapter", "para", F.posexplode(F.split(mark, "\u0001", -1)).alias("unit", "raw"))
-    core = F.when(F.contains("raw", F.lit("\u0002")), F.trim(F.substring_index("raw", "\u0002", 1))).otherwise("")
-    rest = F.trim(F.when(F.contains("raw", F.lit("\u0002")), F.substring_index("raw", "\u0002", -1)).otherwise(F.col("raw")))
-    return parts.select("book_id", "chapter", "para", "unit", core.alias("core"), rest.alias("text")).where("core <> '' or text <> ''")
-
-
-def markers(units_: DataFrame) -> DataFrame:
-    """(book_id, chapter, para, unit, n, lemma): each note mark with the last twelve words before it in its unit."""
-    pieces = F.split("text", "\\([\u0660-\u06690-9]+\\)", -1)
-    numbers = F.regexp_extract_all("text", F.lit("\\(([\u0660-\u06690-9]+)\\)"), F.lit(1))
-    found = units_.withColumn("__p", pieces).select("book_id", "chapter", "para", "unit", "core", "__p", F.posexplode(numbers).alias("i", "n"))
-    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
-    before = words(F.get("__p", F.col("i")))
-    lemma = F.array_join(F.slice(before, F.greatest(F.lit(1), F.size(before) - 11), 12), " ")
-    return found.select("book_id", "chapter", "para", "unit", F.translate("n", "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("int").alias("n"), F.when(lemma == "", F.col("core")).otherwise(lemma).alias("lemma"))

@@ -13,6 +13,7 @@ from docspark.operators import passages as P
 from docspark.operators import projections as J
 from docspark.operators import segmentation as S
 from docspark.operators import verification as V
+from docspark.operators import walk as W
 from docspark.plans import relational_queries as Q
 from docspark.plans.tables import table
 from docspark.sources import io
@@ -36,13 +37,40 @@ def passage_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lemma_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Four words out of each assistant turn, and the first word of every tenth, sought in the conversation's turns: where they are found word for word."""
+    """Words out of each assistant turn sought in the conversation's turns: four in a row, four with a gap, with one or two of them replaced, and the first word alone of some."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", T.normalise("text", UNICODE).alias("norm"))
     units = c.select(F.col("conv_id").cast("string").alias("chapter"), F.col("turn").cast("int").alias("idx"), "norm")
     w = F.split("norm", " ")
-    part = F.when(F.col("turn") % 10 == 3, F.get(w, F.lit(0))).otherwise(F.array_join(F.slice(w, 3, 4), " "))
+    at = lambda k: F.get(w, F.lit(k))
+    row = F.when(F.col("turn") == 3, F.array(at(2), at(3), at(5), at(6))).when(F.col("turn") == 5, F.array(at(2), F.lit("zzz"), at(4), at(5))).when(F.col("turn") == 7, F.array(at(2), F.lit("zzz"), F.lit("yyy"), at(5))).otherwise(F.slice(w, 3, 4))
+    part = F.when((F.col("turn") + F.col("conv_id")) % 10 == 3, at(0)).otherwise(F.array_join(row, " "))
     lemmas = c.where("turn % 2 = 1 and norm <> ''").select(F.concat_ws(":", "conv_id", "turn").alias("lemma_id"), F.col("conv_id").cast("string").alias("chapter"), part.alias("lemma")).where("lemma <> ''")
-    return L.lemma_links(lemmas, units).where("method in ('exact', 'exact_span', 'too_short')").select("lemma_id", F.col("idx").cast("long").alias("idx"), "method")
+    return L.lemma_links(lemmas, units).select("lemma_id", F.col("idx").cast("long").alias("idx"), "method", "score")
+
+
+def _commented(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as chapters of three books: turns that open them are titles, commas are note marks, sentence ends core text."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 3).cast("int").alias("book_id"), F.col("conv_id").cast("string").alias("chapter"), (F.col("conv_id") * 4 + F.floor(F.col("turn") / 2)).cast("int").alias("pg"), F.col("turn").cast("int").alias("seq"), "text")
+    marked = F.replace(F.replace("text", F.lit(", "), F.concat(F.lit(" ("), (F.col("seq") % 4).cast("string"), F.lit(") "))), F.lit(". "), F.lit(" (the end) "))
+    text = F.when(F.col("seq") == 0, F.substring("text", 1, 20)).when(F.col("seq") == 4, F.substring(F.regexp_replace("text", "[(),.]", ""), 1, 12)).otherwise(marked)
+    return c.select("book_id", "chapter", "pg", "seq", F.when(F.col("seq") == 0, "title").otherwise("line").alias("kind"), text.alias("text"))
+
+
+def unit_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of the commented conversations: where each begins, its core and its text over paragraphs and pages."""
+    w = W.walk(_commented(spark, sf), UNICODE)
+    return w.units.select("book_id", "unit", "chapter", "para", "pg", "core", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
+
+
+def marker_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Note marks of the commented conversations with the note of their own page and number, their lemma, and the units of book 0 in whose text the lemma is found."""
+    w = W.walk(_commented(spark, sf), UNICODE)
+    notes = table(spark, sf, "conversations").select((F.col("conv_id") % 3).cast("int").alias("book_id"), (F.col("conv_id") * 4 + F.floor(F.col("turn") / 2)).cast("int").alias("pg"), (F.col("turn") % 4).cast("int").alias("n"), F.md5("text").alias("note"))
+    marks = L.marker_notes(w.markers, notes.groupBy("book_id", "pg", "n").agg(F.min("note").alias("note")), ("book_id", "pg", "n")).withColumn("mark", F.concat_ws(":", "book_id", "pg", "place"))
+    units = w.units.select("chapter", F.col("unit").cast("int").alias("idx"), T.normalise("text", UNICODE).alias("norm"))
+    links = L.lemma_links(marks.select(F.col("mark").alias("lemma_id"), "chapter", "lemma"), units, score_none=False).where("method in ('exact', 'exact_span')").groupBy("lemma_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("idx").alias("first"))
+    met = marks.join(links.withColumnRenamed("lemma_id", "mark"), "mark", "left")
+    return met.select("book_id", "chapter", "para", "pg", F.col("n").cast("long").alias("n"), "lemma", "how", "unit", "unit_pg", "note", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.col("first").cast("long").alias("first"))
 
 
 def note_trees(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,10 +86,10 @@ def note_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def continued_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as notes of a page of three: each page's first one continues the page before."""
-    c = table(spark, sf, "conversations")
-    n = c.select("conv_id", F.floor(F.col("turn") / 3).alias("pg"), (F.col("turn") % 3).cast("int").alias("n"), F.concat(F.md5("text"), F.lit(" =")).alias("note"))
-    return L.continue_notes(n, ["conv_id"]).select("conv_id", "pg", F.col("n").cast("long").alias("n"), "note")
+    """Turns as notes of pages of two: a page's first one continues the page before, and every fifth page has no notes."""
+    c = table(spark, sf, "conversations").withColumn("pg", F.floor(F.col("turn") / 2))
+    n = c.where((F.col("conv_id") + F.col("pg")) % 5 != 0).select("conv_id", "pg", (F.col("turn") % 2).cast("int").alias("n"), F.concat(F.md5("text"), F.lit(" =")).alias("note"))
+    return L.continue_notes(n, c.select("conv_id", "pg"), ["conv_id"]).select("conv_id", "pg", F.col("n").cast("long").alias("n"), "note")
 
 
 def library_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,10 +111,11 @@ def search_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def glossary_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Definitions that documents give by 'is' or 'means', looked up for the first word of every benchmark item."""
+    """Definitions that documents give by 'is' or 'means', looked up for every word of three letters or more of every benchmark item."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("para"), F.col("lang").alias("chapter"), F.lower("text").alias("text"), F.array("lang").alias("context"))
     entries = P.entries(d, RULES)
-    words = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("query_id"), F.col("key").alias("word"), F.lit("web").alias("para"), F.lit("en").alias("chapter"))
+    asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word"))
+    words = asked.select(F.concat_ws(":", "item_id", "word").alias("query_id"), "word", F.lit("web").alias("para"), F.lit("en").alias("chapter"))
     return P.lookup(entries, words, ["def", "gloss"]).select("query_id", F.col("rank").cast("long").alias("rank"), "word", "definition", "kind", "id")
 
 
@@ -210,7 +239,7 @@ def folded_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        passage_corpus, lemma_links, note_trees, continued_notes, library_stats, search_modes, glossary_lookup, answer_envelopes, prompt_contexts, scored_systems, failing_items,
+        passage_corpus, lemma_links, unit_walk, marker_links, note_trees, continued_notes, library_stats, search_modes, glossary_lookup, answer_envelopes, prompt_contexts, scored_systems, failing_items,
         report_tables, run_matrix, best_and_due, newest_events, projected_passages, body_lines, folded_transcripts,
     )
 }

@@ -19,6 +19,21 @@ def _packed(source: str, by: str, over: int) -> str:
 {source}_c AS (SELECT {by}, chunk, min_by(pg, k) AS pg, trim(string_agg(trim(text), ' ' ORDER BY k)) AS text FROM {source}_f JOIN {source}_n USING ({by}, k) GROUP BY {by}, chunk)"""
 
 
+#: The unit walk by windows: pieces of lines between round brackets in reading order, the running count of opened units, and whether a unit is open.
+_WALK = f"""WITH e AS (SELECT CAST(conv_id % 3 AS INT) AS book_id, CAST(conv_id AS VARCHAR) AS chapter, conv_id * 4 + turn // 2 AS pg, turn AS seq,
+  CASE turn WHEN 0 THEN substr(text, 1, 20) WHEN 4 THEN substr(regexp_replace(text, '[(),.]', '', 'g'), 1, 12) ELSE replace(replace(text, ', ', ' (' || turn % 4 || ') '), '. ', ' (the end) ') END AS body FROM conversations),
+y AS (SELECT *, CASE WHEN seq = 0 THEN 'title' WHEN length({_norm("body")}) <= 15 AND NOT regexp_matches(body, '[0-9]') THEN 'short' ELSE 'line' END AS what FROM e),
+z AS (SELECT *, CASE what WHEN 'line' THEN string_split_regex(body, '\\([^()]*\\)') ELSE [body] END AS between, regexp_extract_all(body, '\\(([^()]*)\\)', 1) AS brackets FROM y),
+i AS (SELECT *, unnest(range(len(between))) AS k FROM z),
+n AS (SELECT book_id, chapter, pg, seq, 2 * k AS k, CASE WHEN what <> 'line' THEN what WHEN k + 1 = len(between) THEN 'tail' ELSE 'seg' END AS kind, between[k + 1] AS text FROM i
+  UNION ALL SELECT book_id, chapter, pg, seq, 2 * k + 1, CASE WHEN regexp_full_match(trim(brackets[k + 1]), '[0-9]+') THEN 'mark' ELSE 'core' END, brackets[k + 1] FROM i WHERE what = 'line' AND k + 1 < len(between)),
+a AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pg, seq, k) AS pos, kind = 'core' OR (kind IN ('seg', 'tail') AND regexp_matches(text, '\\S')) AS said,
+  CASE WHEN kind IN ('core', 'mark') THEN '(' || text || ')' WHEN kind = 'tail' THEN text || chr(10) ELSE text END AS shown FROM n),
+f AS (SELECT *, chapter IS DISTINCT FROM lag(chapter) OVER (PARTITION BY book_id ORDER BY pos) AS starts, said AND sum(CAST(said AS INT)) OVER (PARTITION BY book_id, chapter ORDER BY pos) = 1 AS first FROM a),
+v0 AS (SELECT *, kind = 'core' OR first AS opens, sum(CAST(kind = 'core' OR first AS INT)) OVER (PARTITION BY book_id ORDER BY pos) AS unit, sum(CAST(kind = 'core' OR first AS INT)) OVER (PARTITION BY book_id, chapter ORDER BY pos) > 0 AS in_unit,
+  CAST(sum(CAST(k = 0 AND kind IN ('seg', 'tail') AS INT)) OVER (PARTITION BY book_id ORDER BY pos) AS BIGINT) AS para FROM f),
+v AS (SELECT * FROM v0 WHERE kind IN ('seg', 'tail', 'core', 'mark'))"""
+
 _ENVELOPE_SCOPES = "['answerable', 'personal_fatwa', 'other_madhhab', 'contemporary', 'not_in_library', 'unknown']"
 _CITES = "[{'book_id': 1, 'page': i}]"
 
@@ -35,24 +50,55 @@ every AS (
   UNION ALL SELECT 'contents', 1, NULL, 1, NULL, string_agg(r_name, ', ' ORDER BY r_name) FROM region),
 t AS (SELECT *, {_norm("text")} AS norm, len(list_filter(string_split({_norm("text")}, ' '), lambda w: length(w) > 1)) AS n FROM every)
 SELECT kind, book_id, para, pg, heading, md5(norm) AS norm_md5, CAST(n AS BIGINT) AS n_tokens, CASE WHEN book_id <> 1 AND regexp_matches(text, '^(Et|The|La)') AND n < 60 THEN 0.3::DOUBLE ELSE 1.0 END AS weight FROM t""",
-    "lemma_links": f"""WITH c AS (SELECT conv_id, turn, {_norm("text")} AS norm FROM conversations),
+    "lemma_links": f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {_norm("text")} AS norm FROM conversations),
 u AS (SELECT *, norm || coalesce(' ' || lead(norm) OVER w, '') || coalesce(' ' || lead(norm, 2) OVER w, '') AS joined, length(norm) + 1 AS e1,
   length(norm) + 2 + coalesce(length(lead(norm) OVER w), 0) AS e2, lead(turn) OVER w AS t2, lead(turn, 2) OVER w AS t3 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-m AS (SELECT conv_id, conv_id || ':' || turn AS lemma_id, CASE WHEN turn % 10 = 3 THEN string_split(norm, ' ')[1] ELSE array_to_string(string_split(norm, ' ')[3:6], ' ') END AS lemma FROM c WHERE turn % 2 = 1 AND norm <> ''),
+s0 AS (SELECT *, string_split(norm, ' ') AS w FROM c WHERE turn % 2 = 1 AND norm <> ''),
+m AS (SELECT conv_id, conv_id || ':' || turn AS lemma_id, CASE WHEN (turn + conv_id) % 10 = 3 THEN w[1] ELSE array_to_string(list_filter(CASE turn WHEN 3 THEN [w[3], w[4], w[6], w[7]] WHEN 5 THEN [w[3], 'zzz', w[5], w[6]] WHEN 7 THEN [w[3], 'zzz', 'yyy', w[6]]
+  ELSE w[3:6] END, lambda x: x IS NOT NULL), ' ') END AS lemma FROM s0),
 k AS (SELECT *, contains(trim(lemma), ' ') AS long FROM m WHERE lemma <> ''),
 x AS (SELECT lemma_id, turn AS idx FROM k JOIN u USING (conv_id) WHERE long AND contains(norm, lemma)),
 s AS (SELECT lemma_id, CASE WHEN instr(joined, lemma) + length(lemma) - 1 <= e1 THEN turn WHEN instr(joined, lemma) + length(lemma) - 1 <= e2 THEN t2 ELSE t3 END AS idx
-  FROM k JOIN u USING (conv_id) WHERE long AND contains(joined, lemma) AND lemma_id NOT IN (SELECT lemma_id FROM x))
-SELECT lemma_id, idx, 'exact' AS method FROM x UNION ALL SELECT lemma_id, idx, 'exact_span' FROM s UNION ALL SELECT lemma_id, NULL, 'too_short' FROM k WHERE NOT long""",
+  FROM k JOIN u USING (conv_id) WHERE long AND contains(joined, lemma) AND lemma_id NOT IN (SELECT lemma_id FROM x)),
+-- Words in order: the longest common run (first in the lemma, then in the text), then what lies before and behind it.
+o AS (SELECT lemma_id, turn AS idx, string_split(lemma, ' ') AS a, list_filter(string_split(joined, ' '), lambda v: v <> '') AS b FROM k JOIN u USING (conv_id) WHERE long AND lemma_id NOT IN (SELECT lemma_id FROM x) AND lemma_id NOT IN (SELECT lemma_id FROM s)),
+r AS (SELECT lemma_id, idx, a, b, 0 AS got FROM o UNION ALL
+  SELECT lemma_id, idx, CASE side WHEN 0 THEN a[1:f.i - 1] ELSE a[f.i + f.l:] END, CASE side WHEN 0 THEN b[1:f.j - 1] ELSE b[f.j + f.l:] END, CASE side WHEN 0 THEN f.l ELSE 0 END
+  FROM (SELECT *, coalesce({", ".join(f"CASE WHEN len(a) >= {i + size - 1} AND len(list_filter(range(1, len(b) - {size - 2}), lambda j: b[j:j + {size - 1}] = a[{i}:{i + size - 1}])) > 0 THEN {{'l': {size}, 'i': {i}, 'j': list_filter(range(1, len(b) - {size - 2}), lambda j: b[j:j + {size - 1}] = a[{i}:{i + size - 1}])[1]}} END" for size in (4, 3, 2, 1) for i in range(1, 6 - size))}) AS f FROM r), (VALUES (0), (1)) t(side) WHERE f IS NOT NULL),
+g AS (SELECT lemma_id, idx, sum(got) AS got FROM r GROUP BY ALL), h AS (SELECT g.*, got::DOUBLE / len(string_split(lemma, ' ')) AS score FROM g JOIN k USING (lemma_id)),
+best AS (SELECT lemma_id, arg_max(idx, (score, -idx)) AS idx, max(score) AS score FROM h GROUP BY lemma_id)
+SELECT lemma_id, idx, 'exact' AS method, 1.0::DOUBLE AS score FROM x UNION ALL SELECT lemma_id, idx, 'exact_span', 1.0 FROM s UNION ALL SELECT lemma_id, NULL, 'too_short', 0.0 FROM k WHERE NOT long
+UNION ALL SELECT lemma_id, CASE WHEN score >= 0.75 THEN idx END, CASE WHEN score >= 0.75 THEN 'fuzzy' ELSE 'none' END, round(score, 3) FROM best""",
+    "unit_walk": _WALK + """ SELECT book_id, CAST(unit AS BIGINT) AS unit, any_value(chapter) AS chapter, min_by(para, pos) AS para, CAST(min_by(pg, pos) AS INT) AS pg, min_by(CASE kind WHEN 'core' THEN trim(text) ELSE '' END, pos) AS core,
+  md5(string_agg(shown, '' ORDER BY pos)) AS text_md5, CAST(sum(length(shown)) AS BIGINT) AS chars FROM v WHERE in_unit GROUP BY book_id, unit""",
+    "marker_links": _WALK + f""", g AS (SELECT *, coalesce(sum(CASE WHEN kind = 'mark' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + sum(CASE WHEN starts OR kind IN ('title', 'core') THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos) AS stretch FROM v0),
+x AS (SELECT book_id, stretch, {_norm("coalesce(string_agg(shown, ' ' ORDER BY pos) FILTER (kind IN ('seg', 'tail', 'core')), '')")} AS said FROM g GROUP BY book_id, stretch),
+k AS (SELECT *, last_value(CASE WHEN opens THEN CASE kind WHEN 'core' THEN trim(text) ELSE '' END END IGNORE NULLS) OVER b AS core, last_value(CASE WHEN opens THEN pg END IGNORE NULLS) OVER b AS opened,
+  last_value(CASE WHEN kind = 'title' THEN {{'t': trim(text, '[]() ')}} WHEN said THEN {{'t': NULL}} END IGNORE NULLS) OVER b AS title FROM g WINDOW b AS (PARTITION BY book_id ORDER BY pos)),
+w AS (SELECT k.*, list_filter(string_split(x.said, ' '), lambda s: s <> '') AS ws, CAST(trim(text) AS BIGINT) AS n FROM k JOIN x USING (book_id, stretch) WHERE kind = 'mark'),
+l AS (SELECT *, len(ws) = 0 AND coalesce(title.t, '') <> '' AS named, list_filter(string_split({_norm("core")}, ' '), lambda s: s <> '') AS cs FROM w),
+m AS (SELECT *, CASE WHEN named THEN {_norm("title.t")} WHEN len(ws) = 0 THEN CASE WHEN in_unit THEN coalesce(array_to_string(cs[greatest(1, len(cs) - 11):], ' '), '') ELSE '' END ELSE array_to_string(ws[greatest(1, len(ws) - 11):], ' ') END AS lemma FROM l),
+u AS (SELECT chapter, unit, {_norm("string_agg(shown, '' ORDER BY pos)")} AS norm FROM v WHERE in_unit GROUP BY book_id, chapter, unit),
+j AS (SELECT *, norm || coalesce(' ' || lead(norm) OVER a, '') || coalesce(' ' || lead(norm, 2) OVER a, '') AS joined, length(norm) + 1 AS e1, length(norm) + 2 + coalesce(length(lead(norm) OVER a), 0) AS e2, lead(unit) OVER a AS u2, lead(unit, 2) OVER a AS u3
+  FROM u WINDOW a AS (PARTITION BY chapter ORDER BY unit)),
+q AS (SELECT DISTINCT chapter, lemma FROM m WHERE contains(lemma, ' ')),
+ex AS (SELECT chapter, lemma, count(*) AS n_hits, min(unit) AS first FROM q JOIN j USING (chapter) WHERE contains(norm, lemma) GROUP BY ALL),
+sp AS (SELECT chapter, lemma, count(*) AS n_hits, min(CASE WHEN instr(joined, lemma) + length(lemma) - 1 <= e1 THEN unit WHEN instr(joined, lemma) + length(lemma) - 1 <= e2 THEN u2 ELSE u3 END) AS first FROM q JOIN j USING (chapter) WHERE contains(joined, lemma) GROUP BY ALL),
+t AS (SELECT CAST(conv_id % 3 AS INT) AS book_id, conv_id * 4 + turn // 2 AS pg, turn % 4 AS n, min(md5(text)) AS note FROM conversations GROUP BY ALL)
+SELECT m.book_id, m.chapter, para, CAST(m.pg AS INT) AS pg, m.n, m.lemma, CASE WHEN named THEN 'title' ELSE 'text' END AS how, CASE WHEN in_unit THEN CAST(unit AS BIGINT) END AS unit, CAST(CASE WHEN in_unit THEN opened ELSE m.pg END AS INT) AS unit_pg,
+  coalesce(note, '') AS note, coalesce(ex.n_hits, sp.n_hits, 0) AS n_hits, CAST(CASE WHEN ex.n_hits IS NOT NULL THEN ex.first ELSE sp.first END AS BIGINT) AS first
+FROM m LEFT JOIN t ON t.book_id = m.book_id AND t.pg = m.pg AND t.n = m.n LEFT JOIN ex ON ex.chapter = m.chapter AND ex.lemma = m.lemma LEFT JOIN sp ON sp.chapter = m.chapter AND sp.lemma = m.lemma""",
     "note_trees": """WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
 f AS (SELECT l_orderkey, string_agg(l_linenumber || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS flags, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey)
 SELECT o.o_orderkey AS "order", c_mktsegment, coalesce(flags, '') AS flags, coalesce(n_lines, 0) AS n_lines, CASE WHEN n.l_orderkey IS NULL THEN '-' ELSE 'found' END AS note
 FROM orders o LEFT JOIN f ON f.l_orderkey = o.o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON n.l_orderkey = o.o_orderkey AND n.l_linenumber = o.o_orderkey % 7 + 1""",
-    "continued_notes": """WITH c AS (SELECT conv_id, turn // 3 AS pg, turn % 3 AS n, md5(text) || ' =' AS note FROM conversations),
-p AS (SELECT conv_id, pg, lead(pg) OVER (PARTITION BY conv_id ORDER BY pg) AS nxt FROM (SELECT DISTINCT conv_id, pg FROM c)),
-l AS (SELECT conv_id, pg, max(n) AS n FROM c WHERE n > 0 GROUP BY conv_id, pg),
-m AS (SELECT p.conv_id, p.pg, l.n, z.note AS more FROM p JOIN c z ON z.conv_id = p.conv_id AND z.pg = p.nxt AND z.n = 0 JOIN l ON l.conv_id = p.conv_id AND l.pg = p.pg)
-SELECT c.conv_id, c.pg, c.n, CASE WHEN more IS NULL THEN note ELSE rtrim(note, ' =') || ' ' || ltrim(more, ' =') END AS note FROM c LEFT JOIN m USING (conv_id, pg, n) WHERE c.n > 0""",
+    "continued_notes": """WITH c AS (SELECT conv_id, turn // 2 AS pg, turn % 2 AS n, md5(text) || ' =' AS note, (conv_id + turn // 2) % 5 <> 0 AS held FROM conversations),
+p AS (SELECT conv_id, pg, lag(pg) OVER (PARTITION BY conv_id ORDER BY pg) AS prev FROM (SELECT DISTINCT conv_id, pg FROM c)),
+d AS (SELECT c.* FROM c JOIN p USING (conv_id, pg) WHERE held AND (n > 0 OR prev IS NULL)),
+l AS (SELECT conv_id, pg, max(n) AS n FROM d GROUP BY conv_id, pg),
+m AS (SELECT p.conv_id, p.prev AS pg, l.n, c.note AS more FROM c JOIN p USING (conv_id, pg) JOIN l ON l.conv_id = p.conv_id AND l.pg = p.prev WHERE held AND c.n = 0)
+SELECT d.conv_id, d.pg, d.n, CASE WHEN more IS NULL THEN note ELSE rtrim(note, ' =') || ' ' || ltrim(more, ' =') END AS note FROM d LEFT JOIN m USING (conv_id, pg, n)""",
     "library_stats": """WITH l AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id)
 SELECT source, count(*) AS n, count_if(lang = 'en') AS in_en, count_if(lang = 'fr') AS in_fr, count_if(lang = 'de') AS in_de, count_if(lang = 'es') AS in_es, count_if(n_chars < 500) AS short, count_if(n_chars >= 5000) AS long,
   count_if(contains(text, chr(10))) AS with_lines, count_if(toxic = 1) AS toxic, count_if(quality = 1) AS good, count_if(toxic IS NULL) AS unlabelled FROM documents LEFT JOIN l USING (doc_id) GROUP BY source""",
@@ -126,8 +172,8 @@ m AS (SELECT id, para, chapter, 'def' AS kind, unnest(regexp_extract_all(t, '([a
   UNION ALL SELECT id, para, chapter, 'gloss', unnest(regexp_extract_all(t, '([a-z]{{3,}}) means ([a-z ]{{3,40}})', 1)), unnest(regexp_extract_all(t, '([a-z]{{3,}}) means ([a-z ]{{3,40}})', 2)) FROM d),
 e AS (SELECT id, para, chapter, kind, CASE WHEN w IN ('the', 'of', 'and', 'to', 'in', 'is', 'it', 'for', 'on') THEN chapter ELSE w END AS word, CASE kind WHEN 'gloss' THEN 'means ' ELSE '' END || trim(def) AS definition FROM m),
 k AS (SELECT *, word AS key FROM e WHERE length(word) >= 2 AND length({_norm("definition")}) >= 3),
-q AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1),
-f AS (SELECT k.*, row_number() OVER (PARTITION BY key, substr({_norm("definition")}, 1, 60) ORDER BY kind = 'gloss', para <> 'web', chapter <> 'en', id, definition) AS n FROM k JOIN q USING (key)),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY kind = 'gloss', para <> 'web', chapter <> 'en', id, definition) AS rank FROM f WHERE n = 1)
-SELECT key AS query_id, rank, word, definition, kind, id FROM r WHERE rank <= 4""",
+q AS (SELECT item_id || ':' || w AS query_id, w AS key FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}'))) AS w FROM benchmark)),
+f AS (SELECT query_id, k.*, row_number() OVER (PARTITION BY query_id, substr({_norm("definition")}, 1, 60) ORDER BY kind = 'gloss', para <> 'web', chapter <> 'en', id, definition) AS n FROM k JOIN q USING (key)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind = 'gloss', para <> 'web', chapter <> 'en', id, definition) AS rank FROM f WHERE n = 1)
+SELECT query_id, rank, word, definition, kind, id FROM r WHERE rank <= 4""",
 }

@@ -13,6 +13,7 @@ from docspark.operators import linking as L
 from docspark.operators import retrieval as R
 from docspark.operators import segmentation as S
 from docspark.operators import verification as V
+from docspark.operators.scan import in_order, running
 from docspark.plans.tables import table
 from docspark.streaming import state as Z
 
@@ -21,8 +22,7 @@ TOP = 100
 
 # ---------------------------------------------------------------- retrieval
 def _keyword(spark: SparkSession, sf: str) -> DataFrame:
-    scored = R.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
-    return R.ranked(scored, "item_id", "doc_id", TOP).withColumnRenamed("doc_id", "id")
+    return R.bm25_topk(table(spark, sf, "documents"), table(spark, sf, "benchmark"), TOP).withColumnRenamed("doc_id", "id")
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,13 +143,15 @@ def greedy_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edition_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Word changes between a document and the next one of its source that begins with the same line."""
-    line = F.split("text", "\n", 2)
-    d = table(spark, sf, "documents").select("doc_id", "source", "text", F.get(line, F.lit(0)).alias("head"))
-    w = Window.partitionBy("source", "head").orderBy("doc_id")
-    pairs = d.select("doc_id", F.col("text").alias("a"), F.lead("doc_id").over(w).alias("other"), F.lead("text").over(w).alias("b")).where("other is not null")
+    """Word changes between a document and the next one of its source that begins with the same line: neighbours in one order of all, told by their ids; texts are joined afterwards."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    heads = d.where("text is not null").select("doc_id", "source", F.md5(F.get(F.split("text", "\n", 2), F.lit(0))).alias("head"), (-F.col("doc_id")).alias("back"))
+    ahead = running(in_order(heads, ["source", "head", "back"], "heads"), before={"next": F.struct("source", "head", "doc_id")})
+    same = F.col("next.source").eqNullSafe(F.col("source")) & (F.col("next.head") == F.col("head"))
+    pairs = ahead.where(same).select("doc_id", F.col("next.doc_id").alias("other"))
+    met = pairs.join(d.select("doc_id", F.col("text").alias("a")), "doc_id").join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("b")), "other")
     words = lambda c: T.word_list(T.normalise(c, UNICODE))
-    return pairs.select("doc_id", "other", F.posexplode(Q.edition_diff(words("a"), words("b"))).alias("seq", "d")).select("doc_id", "other", "seq", "d.*")
+    return met.select("doc_id", "other", F.posexplode(Q.edition_diff(words("a"), words("b"))).alias("seq", "d")).select("doc_id", "other", "seq", "d.*")
 
 
 def recite_align(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,15 +219,20 @@ def conversation_transcript(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checked_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes of the benchmark as claims of one question a source; a claim holds where a document of the source has it; status and message follow."""
-    from docspark.plans.text_queries import _quote_hits
-
-    hits = _quote_hits(spark, sf).select("item_id", "doc_id").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    sources = table(spark, sf, "documents").select("source").distinct()
-    claims = hits.select("source", "item_id").distinct().withColumn("kept", F.col("item_id") % 5 != 0)
-    per = sources.join(claims, "source", "left").groupBy("source").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"))
-    said = F.element_at(F.array(*map(F.lit, V.STATUSES)), (F.length("source") % 4 + 1).cast("int"))
-    return per.select("source", "n_kept", "n_dropped", V.status(said, F.col("n_kept"), F.col("n_dropped"), F.lit(False)).alias("status"), F.coalesce(V.message(F.col("n_kept"), F.lit(False), F.col("n_dropped") == 0), F.lit("")).alias("message"))
+    """Benchmark items as questions whose passages are the best three documents by keywords; the claims quote the item, its beginning and its end, one of them a passage that is not there.
+
+    Claims go through the quote check, verdicts (an item's label of that document, if it has one) and the answer's status.
+    """
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    top = _keyword(spark, sf).where("rank <= 3").select(F.col("item_id").alias("question_id"), "id", F.col("rank").cast("int").alias("n"))
+    passages = top.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("question_id", "n", "text")
+    third = (F.length("text") / 3).cast("int")
+    made = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), quote.alias("quote")) for k, (label, quote) in enumerate([("P1", F.col("text")), ("[P2]", F.substring("text", 1, 40)), ("P1", F.substr(F.col("text"), third, third)), ("P7", F.substring("text", 1, 20))])])
+    claims = items.select(F.col("item_id").alias("question_id"), F.concat(F.lit("said of "), F.substring("text", 1, 10)).alias("text"), F.explode(made).alias("c")).select("question_id", "text", "c.*")
+    verdicts = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).join(top.withColumnRenamed("id", "doc_id"), "doc_id").where("n = 1").select("question_id", F.lit(2).alias("k"), (F.col("q") == 1).alias("supported"))
+    said = items.select(F.col("item_id").alias("question_id"), F.element_at(F.array(*map(F.lit, V.STATUSES)), (F.col("item_id") % 4 + 1).cast("int")).alias("status"), (F.col("item_id") % 5 == 0).alias("personal"), F.when(F.col("item_id") % 3 == 0, False).alias("premise_correct"))
+    out = V.answers(V.judge(V.check_quotes(claims, passages), verdicts), said, "a|e")
+    return out.select("question_id", "status", F.coalesce("message", F.lit("")).alias("message"), "n_kept", "n_dropped")
 
 
 # -------------------------------------------------------------------- state

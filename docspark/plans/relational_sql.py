@@ -38,9 +38,6 @@ long AS (UNPIVOT (SELECT lang, ok, refused, clean_ok, said_share FROM runs) ON o
 every AS (SELECT DISTINCT r.lang, m.metric FROM runs r, (VALUES ('ok'), ('refused'), ('clean_ok'), ('said_share')) m(metric)),
 two AS (SELECT e.lang, e.metric, avg(v) AS mean, min(v) AS min, max(v) AS max FROM every e LEFT JOIN long l ON e.lang = l.lang AND e.metric = l.metric GROUP BY e.lang, e.metric)"""
 
-_HITS = f"""WITH q AS (SELECT item_id, {_NORM} AS quote FROM benchmark), d AS (SELECT doc_id, source, {_NORM} AS norm FROM documents),
-h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE quote <> '')"""
-
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_KEYWORD.strip()} SELECT item_id, id, score, rank FROM kw WHERE rank <= 10",
     "dense_topk": f"WITH {_TOP_DENSE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= 10",
@@ -99,11 +96,18 @@ SELECT source, count(DISTINCT doc_id) AS n_failing, string_agg(DISTINCT reason,
   round(count(*) FILTER (said = 1 AND ok AND coalesce(clean_ok, false)) / count(*), 6) AS share FROM sc GROUP BY source""",
     "conversation_transcript": """WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, md5(t) AS transcript_md5, CAST(length(t) AS BIGINT) AS chars FROM t""",
-    "checked_answers": _HITS + """, c AS (SELECT DISTINCT source, item_id FROM h), p AS (SELECT s.source, count(*) FILTER (item_id % 5 <> 0) AS n_kept, count(*) FILTER (item_id % 5 = 0) AS n_dropped
-  FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN c ON s.source = c.source GROUP BY s.source),
-v AS (SELECT *, ['supported', 'partial', 'differing', 'not_found'][length(source) % 4 + 1] AS said FROM p), w AS (SELECT *, CASE WHEN said = 'differing' THEN 'supported' ELSE said END AS named FROM v)
-SELECT source, n_kept, n_dropped, CASE WHEN n_kept = 0 THEN 'not_found' WHEN named IN ('supported', 'not_found') THEN CASE WHEN n_dropped > 0 THEN 'partial' ELSE 'supported' END ELSE named END AS status,
-  CASE WHEN n_kept = 0 THEN 'not_in_library' WHEN n_dropped <> 0 THEN 'premise_prefix' ELSE '' END AS message FROM w""",
+    "checked_answers": f"""WITH {_KEYWORD.strip()}, best3 AS (SELECT item_id, id, rank AS n FROM kw WHERE rank <= 3),
+pas AS (SELECT item_id, n, {_NORM} AS norm FROM best3 JOIN documents ON doc_id = id),
+itm AS (SELECT item_id, text, CAST(length(text) // 3 AS INT) AS third FROM benchmark),
+clm AS (SELECT item_id, 0 AS k, 1 AS n, text AS quote, text FROM itm UNION ALL SELECT item_id, 1, 2, substr(text, 1, 40), text FROM itm UNION ALL SELECT item_id, 2, 1, substr(text, third, third), text FROM itm UNION ALL SELECT item_id, 3, 7, substr(text, 1, 20), text FROM itm),
+quo AS (SELECT item_id, k, n, quote, 'said of ' || substr(text, 1, 10) AS said, {_NORM.replace("(text)", "(quote)")} AS nq FROM clm),
+lab AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), ver AS (SELECT item_id, q FROM best3 JOIN lab ON doc_id = id WHERE n = 1),
+jud AS (SELECT quo.item_id, said, quote, coalesce(contains(norm, nq) AND nq <> '', false) AND NOT (k = 2 AND ver.item_id IS NOT NULL AND NOT coalesce(ver.q = 1, false)) AS kept
+  FROM quo LEFT JOIN pas ON pas.item_id = quo.item_id AND pas.n = quo.n LEFT JOIN ver ON ver.item_id = quo.item_id),
+cnt AS (SELECT item_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped, bool_or(kept AND regexp_matches(lower(said || ' ' || quote), 'a|e')) AS attributed FROM jud GROUP BY item_id),
+fin AS (SELECT *, ['supported', 'partial', 'differing', 'not_found'][item_id % 4 + 1] AS st FROM cnt), nam AS (SELECT *, CASE WHEN st = 'differing' AND NOT attributed THEN 'supported' ELSE st END AS named FROM fin)
+SELECT item_id AS question_id, CASE WHEN n_kept = 0 THEN 'not_found' WHEN named IN ('supported', 'not_found') THEN CASE WHEN n_dropped > 0 THEN 'partial' ELSE 'supported' END ELSE named END AS status,
+  CASE WHEN n_kept = 0 AND item_id % 5 = 0 THEN 'personal_nothing' WHEN n_kept = 0 THEN 'not_in_library' WHEN item_id % 5 = 0 THEN 'personal_prefix' WHEN item_id % 3 = 0 THEN 'premise_prefix' ELSE '' END AS message, n_kept, n_dropped FROM nam""",
     "daily_cap": "SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 5 AS accepted FROM events",
     "rate_limit_decisions": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT user_id, 0::BIGINT AS k, []::DOUBLE[] AS kept, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted FROM (SELECT DISTINCT user_id FROM e)

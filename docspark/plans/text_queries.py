@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docspark.functions import entities
 from docspark.functions import text as T
 from docspark.functions.profiles import UNICODE
 from docspark.operators import retrieval as R
-from docspark.plans.staging import stage
+from docspark.operators.matching import substring_join
 from docspark.plans.tables import table
 
 
@@ -37,39 +38,20 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_df_idf(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    stats = R.term_stats(R.postings(docs), docs.count())
+    stats = R.term_stats(docs.select(F.explode(F.array_distinct(T.tokens("text", UNICODE))).alias("term")), docs.count())
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def verbatim_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes that occur word for word: pairs meet on the hash of the quote's first words, then the whole quote is compared.
-
-    Each document offers a key at every word, so no quote is compared with all documents.
-    """
+    """Quotes that occur word for word, wherever they begin and end, and where first."""
     return _quote_hits(spark, sf).select("item_id", "doc_id", F.instr("norm", F.col("quote")).cast("long").alias("at"))
 
 
-def _quote_hits(spark: SparkSession, sf: str, words: int = 4) -> DataFrame:
-    """Keys are hashes of a quote's first ``words`` words, or of all of a shorter one; a document offers those of its keys that a quote has."""
-    key = lambda arr, i, m: F.xxhash64(F.lit(m), *[F.get(arr, i + j) for j in range(m)])
-    quotes = table(spark, sf, "benchmark").select("item_id", T.normalise("text", UNICODE).alias("quote")).where("quote <> ''")
-    quotes = quotes.withColumn("__w", F.split("quote", " ")).withColumn("__m", F.least(F.size("__w"), F.lit(words)))
-    chosen = F.coalesce(*[F.when(F.col("__m") == m, key(F.col("__w"), F.lit(0), m)) for m in range(1, words + 1)])
-    quotes = stage(quotes.select("item_id", "quote", "__m", chosen.alias("__k")), "quotes")
-    lengths = [r["__m"] for r in quotes.select("__m").distinct().collect()]  # at most ``words`` numbers
-    docs = table(spark, sf, "documents").select("doc_id", "text", T.normalise("text", UNICODE).alias("norm"))
-    own = docs.select("doc_id", F.split("norm", " ").alias("__w"))
-
-    def offers(m: int) -> Column:
-        at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("__w") - m)), lambda i: key(F.col("__w"), i, m))
-        return F.when(F.size("__w") >= m, at).otherwise(F.array().cast("array<long>"))
-
-    keys = [offers(m) for m in lengths]
-    if not keys:
-        return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id", "norm", F.lit("").alias("quote")).limit(0)
-    offered = own.select("doc_id", F.explode(F.array_distinct(F.concat(*keys))).alias("__k"))
-    pairs = offered.join(R.limited_broadcast(quotes.select("item_id", "quote", "__k"), 20_000), "__k").select("doc_id", "item_id", "quote").distinct()
-    return pairs.join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "quote", F.lit(" "))))
+def _quote_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """(item_id, quote, doc_id, norm) of the documents that hold a benchmark text, both normalised."""
+    quotes = table(spark, sf, "benchmark").select("item_id", T.normalise("text", UNICODE).alias("quote"))
+    docs = table(spark, sf, "documents").select("doc_id", T.normalise("text", UNICODE).alias("norm"))
+    return substring_join(quotes, docs, "quote", "norm", ["doc_id"]).join(quotes, "quote").join(docs, "doc_id")
 
 
 def quote_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,18 +87,17 @@ def event_props(spark: SparkSession, sf: str) -> DataFrame:
 
 _NORM = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 _TOKENS = f"list_filter(string_split({_NORM}, ' '), lambda w: length(w) > 1)"
-_ENT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&middot;', chr(183)), '&copy;', chr(169)), '&laquo;', chr(171)), '&raquo;', chr(187)), '&amp;', '&')"
 _QUOTES = f"""WITH q AS (SELECT item_id, {_NORM} AS quote FROM benchmark), d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
-h AS (SELECT * FROM q JOIN d ON contains(' ' || norm || ' ', ' ' || quote || ' ') WHERE quote <> '')"""
+h AS (SELECT * FROM q JOIN d ON contains(norm, quote) WHERE quote <> '')"""
 
 QUERIES = {f.__name__: f for f in (normalise_docs, html_titles, html_lines, token_stats, term_df_idf, verbatim_quotes, quote_context, content_ids, deterministic_sample, part_similarity, event_props)}
 
 ORACLE_SQL = {
     "normalise_docs": f"SELECT doc_id, md5({_NORM}) AS norm_md5, CAST(length({_NORM}) AS BIGINT) AS norm_chars FROM documents",
-    "html_titles": f"SELECT page_id, trim({_ENT.format(chr(34) + 't' + chr(34))}) AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)",
+    "html_titles": f"SELECT page_id, trim({entities.oracle("t")}) AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)",
     "html_lines": f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ls FROM pages),
 u AS (SELECT page_id, unnest(range(len(ls))) AS seq, ls FROM l),
-x AS (SELECT page_id, seq, {_ENT.format("regexp_replace(ls[seq + 1], '<[^>]+>', ' ', 'g')")} AS line FROM u)
+x AS (SELECT page_id, seq, {entities.oracle("regexp_replace(ls[seq + 1], '<[^>]+>', ' ', 'g')")} AS line FROM u)
 SELECT page_id, seq, md5(line) AS line_md5, CAST(coalesce(sum(length(line)) OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM x""",
     "token_stats": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)",
     "term_df_idf": f"""WITH t AS (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)

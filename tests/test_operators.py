@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import deque
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ def test_joins(spark):
     assert rows(L.asof_backward(left, right, ["k"], "t", ["v"]).select("id", "last_v")) == [(1, "y"), (2, None), (3, None)]
     band = L.band_join(left, right.selectExpr("k", "t as u", "v"), ["k"], "t", "u", 1)
     assert rows(band.select("id", "v")) == [(1, "y"), (2, "x")]
+    far = L.band_join(left, right.selectExpr("k", "t + 1 as u", "v"), ["k"], "t", "u", 1, "left")
+    assert rows(far.select("id", "u")) == [(1, 6), (2, None), (3, None)]
     hits = spark.createDataFrame([(1, 4, 6), (1, 7, 6), (1, 8, 6), (2, 3, None), (2, 1, None)], "id long, i long, near long")
     assert rows(L.nearest(hits, ["id"], "i", "near")) == [(1, 7), (2, 1)]
     said = spark.createDataFrame([(1, False), (2, None)], "id long, ok boolean")
@@ -53,11 +57,6 @@ def test_joins(spark):
     first, second = (spark.createDataFrame([x], "id long, unit long") for x in ((1, 10), (2, 20)))
     found = L.cascade(left.select("id"), [("exact", first), ("fuzzy", second)], ["id"])
     assert rows(found.select("id", "unit", "method")) == [(1, 10, "exact"), (2, 20, "fuzzy"), (3, None, None)]
-    a = spark.createDataFrame([("c", 0, "p"), ("c", 1, "q"), ("c", 2, "r")], "ch string, i long, w string")
-    b = spark.createDataFrame([("c", 0, "p"), ("c", 1, "z"), ("c", 2, "r"), ("c", 3, "s")], "ch string, i long, w string")
-    assert rows(L.align_sequences(a, b, "ch", "i", "w")) == [("c", 0, 0), ("c", 1, 1), ("c", 2, 2)]
-    marked = lambda df: df.selectExpr("*", "if(i = 1, 'x' || w, 'y') as part")
-    assert rows(L.align_sequences(marked(a), marked(b), "ch", "i", "w", "part")) == [("c", 0, 0), ("c", 2, 2)]
 
 
 def test_lemmas_notes_and_trees(spark):
@@ -66,7 +65,11 @@ def test_lemmas_notes_and_trees(spark):
     assert rows(L.lemma_links(lemmas, units)) == [(1, 0, "exact", 1.0), (2, 2, "exact_span", 1.0), (3, 0, "fuzzy", 0.8), (4, None, "none", 0.0), (5, None, "too_short", 0.0), (6, None, "none", 0.0)]
     assert ("2", 0) == [(str(r["lemma_id"]), r["idx"]) for r in L.lemma_links(lemmas, units, use_end=False).collect() if r["method"] == "exact_span"][0]
     notes = spark.createDataFrame([(1, 1, 1, "first"), (1, 1, 2, "begun ="), (1, 2, 0, "= more"), (1, 2, 1, "x"), (1, 3, 0, "of x"), (1, 4, 0, "lost"), (1, 5, 0, "lost too")], "b int, pg int, n int, note string")
-    assert rows(L.continue_notes(notes, ["b"]).select("pg", "n", "note")) == [(1, 1, "first"), (1, 2, "begun more"), (2, 1, "x of x")]
+    pages = spark.range(1, 6).selectExpr("1 as b", "cast(id as int) as pg")
+    assert rows(L.continue_notes(notes, pages, ["b"]).select("pg", "n", "note")) == [(1, 1, "first"), (1, 2, "begun more"), (2, 1, "x of x")]
+    apart = spark.createDataFrame([(4, 0, "begins far"), (4, 2, "begun ="), (6, 0, "= far continuation"), (6, 1, "own"), (7, 0, "a"), (7, 0, "b"), (8, 0, "")], "pg int, n int, note string").selectExpr("1 as b", "*")
+    listed = spark.range(4, 9).selectExpr("1 as b", "cast(id as int) as pg")
+    assert rows(L.continue_notes(apart, listed, ["b"]).select("pg", "n", "note")) == [(4, 0, "begins far"), (4, 2, "begun ="), (6, 1, "own b")]
     marks = spark.createDataFrame([(1, 2, "m"), (9, 9, "q")], "pg int, n int, word string")
     assert rows(L.marker_notes(marks, notes.where("n > 0")).select("word", "note")) == [("m", "begun ="), ("q", "")]
     paras = spark.createDataFrame([("p",), ("q",)], "para string")
@@ -77,12 +80,20 @@ def test_lemmas_notes_and_trees(spark):
 def test_segmentation(spark):
     pages = spark.createDataFrame([(1, 1, 'x\n<span data-type="title">One</span>(core) text (١) more\nq')], "book_id int, pg int, text string")
     assert [(r["kind"], r["text"]) for r in S.events(pages).orderBy("seq").collect()] == [("line", "x"), ("title", "One"), ("line", "(core) text (١) more"), ("line", "q")]
-    lines = spark.createDataFrame([(1, "c", 1, "lead (core one) rest (١) of it (core two) end (2)")], "book_id int, chapter string, para int, text string")
-    u = S.units(lines)
-    assert [(r["core"], r["text"]) for r in u.orderBy("unit").collect()] == [("", "lead"), ("core one", "rest (١) of it"), ("core two", "end (2)")]
-    assert [(r["n"], r["lemma"]) for r in S.markers(u).orderBy("n").collect()] == [(1, "rest"), (2, "end")]
     df = spark.createDataFrame([(["aa", "bb", "c" * 9, "d"],)], "p array<string>")
     assert df.select(S.pack(F.col("p"), 4).alias("x")).first()["x"] == ["aa bb", "c" * 9, "d"]
+    rng = random.Random(4)
+    many = [[rng.choice(["", "a", "bb", "ccc", "d" * 9]) for _ in range(rng.randrange(12))] for _ in range(200)]
+    packed = spark.createDataFrame([(i, p) for i, p in enumerate(many)], "i int, p array<string>").select("i", "p", S.pack(F.col("p"), 4).alias("x"), S.pack_below(F.transform("p", lambda x: F.length(x)), 6).alias("y")).collect()
+    for r in packed:
+        out, buffer, section, held, sections = [], "", 0, 0, []
+        for p in r["p"]:
+            buffer = p if buffer == "" else f"{buffer} {p}"
+            if len(buffer) > 4:
+                out, buffer = [*out, buffer], ""
+            section, held = (section + 1, len(p)) if held + len(p) > 6 and held else (section, held + len(p))
+            sections.append(section)
+        assert r["x"] == out + [buffer] * (buffer != "") and r["y"] == sections, r["p"]
     sizes = spark.createDataFrame([([3, 4, 9, 1, 2],)], "s array<long>")
     assert sizes.select(S.pack_below(F.col("s"), 8).alias("x")).first()["x"] == [0, 0, 1, 2, 2]
     budget = spark.createDataFrame([([(False, 5), (True, 9), (False, 4), (False, 1)],)], "r array<struct<anchor:boolean,size:long>>")
@@ -134,6 +145,13 @@ def test_evaluation(spark):
     assert (p95["latency_median"], p95["latency_p95"]) == (50.5, 95.0)
 
 
+def test_matrix_refuses_too_many_systems(spark):
+    few = spark.range(3).selectExpr("concat('s', id) as system")
+    assert E.matrix(few, 2, spark.range(2).withColumnRenamed("id", "item")).count() == 12
+    with pytest.raises(ValueError):
+        E.matrix(few, 1, spark.range(1), most=2)
+
+
 def test_state(spark):
     assert list(Z.admit([0, 1, 2, 60, 61, 62], deque(), 2, 60)) == [True, True, False, False, True, True]
     graded = spark.createDataFrame([([4, 4, 5, 3, 0, 4],), ([],)], "g array<int>").select(Z.review(F.col("g")).alias("c")).collect()

@@ -75,15 +75,39 @@ def test_entries_of_a_word_without_letters(spark):
 
 def test_find_quote_against_all_windows(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        tokens, quote = [rng.choice(["abcd", "abce", "xy", "zzzz"]) for _ in range(rng.randint(0, 9))], [rng.choice(["abcd", "xy", "qqqq"]) for _ in range(rng.randint(2, 4))]
-        like = lambda a, b: Q.alike(a, b) >= 0.75
-        places = [(sum(like(tokens[s + j], q) for j, q in enumerate(quote)) / len(quote), -s) for s in range(len(tokens) - len(quote) + 1) if like(tokens[s], quote[0]) or like(tokens[s + 1], quote[1])]
-        want = (max(places)[0], -max(places)[1], -max(places)[1] + len(quote) - 1) if places else (None, None, None)
-        assert Q.window_match(quote, tokens) == want
-    views = spark.createDataFrame([("b", 1, "no such words here".split()), ("b", 2, "in the clean watr is good".split()), ("b", 3, "clean water is".split())], "src string, ch int, tokens array<string>")
-    quotes = spark.createDataFrame([("q", "b", "clean water is".split()), ("two", "b", ["clean", "water"]), ("none", "b", ["u", "v", "w"])], "quote_id string, src string, words array<string>")
-    assert rows(B.find_quote(quotes, views, ["src"], ["ch"]).select("quote_id", "ch", "score", "begins", "ends")) == [("q", 2, 1.0, 2, 4)]
+    like = lambda a, b: Q.alike(a, b) >= 0.75
+    views = [("b", k, [rng.choice(["abcd", "abce", "xy", "zzzz", "abcdefgh"]) for _ in range(rng.randint(0, 9))]) for k in range(12)] + [("c", 0, ["abcd"] * 4), ("c", 1, None)]
+    quotes = [(str(k), rng.choice("bc"), [rng.choice(["abcd", "xy", "qqqq", "abcdefgx"]) for _ in range(rng.randint(2, 4))]) for k in range(40)]
+    want = []
+    for name, on, quote in quotes:
+        places = [(sum(like(t[s + j], q) for j, q in enumerate(quote)) / len(quote), -k, -s) for on_, k, t in views if on_ == on and t for s in range(len(t) - len(quote) + 1) if like(t[s], quote[0]) or like(t[s + 1], quote[1])]
+        if len(quote) >= 3 and places and max(places)[0] >= 0.6:
+            score, k, s = max(places)
+            want.append((name, -k, score, -s, len(quote) - s - 1))
+    v = spark.createDataFrame(views, "src string, ch int, tokens array<string>")
+    got = B.find_quote(spark.createDataFrame(quotes, "quote_id string, src string, words array<string>"), v, ["src"], ["ch"])
+    assert rows(got.select("quote_id", "ch", "score", "begins", "ends")) == sorted(want)
+
+
+def test_notes_behind_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["purity", "purities", "purify", "water", "waters", "watery", "x", "", None]
+    notes = [(rng.choice("pq"), rng.choice(words), rng.choice(["ours", "else"]), rng.choice(["takhrij", "variant"]), i) for i in range(60)]
+    marks = [(i, rng.choice("pqr"), rng.choice(words)) for i in range(30)]
+    n = spark.createDataFrame(notes, "para string, lemma string, source string, kind string, i int")
+    m = spark.createDataFrame(marks, "mark_id int, para string, word string")
+    want = []
+    for mark, para, word in marks:
+        tiers = {}
+        for para_, lemma, source, kind, i in notes:
+            like = bool(word and lemma) and Q.alike(lemma, word) >= 0.75
+            tier = (1 if source == "ours" else 2) if like else 3 if kind == "takhrij" else None
+            if para_ == para and tier:
+                tiers.setdefault(tier, []).append(i)
+        if tiers:
+            want += [(mark, i, min(tiers), r + 1) for r, i in enumerate(sorted(tiers[min(tiers)])[:3])]
+    got = B.notes_behind(m, n, ["para"], ["i"], F.col("source") == "ours", profile=UNICODE).select("mark_id", "i", "tier", "rank")
+    assert sorted(rows(got)) == sorted(want)
 
 
 def test_small_sums(spark):
