@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import ascii_digits
+from docspark.operators.scan import in_order, running
 from docspark.operators.verification import REFUSAL_SCOPES
 
 
@@ -46,13 +47,38 @@ def score_items(items: DataFrame) -> DataFrame:
     return out.withColumn("critical_pass", F.when(F.col("critical"), rule))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, nearest: dict[str, float], median: str | None = None) -> DataFrame:
+    """(by, names): exact quantiles of each group's values that are not null: nearest rank (the least value with that share of the values up to it), and the mean of the middle two.
+
+    Values are ranked along one order of all rows and picked by rank, so no group's values meet in one task or buffer.
+    """
+    kept = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    ranked = running(in_order(kept, [*by, "__x"], "quantiles"), sums={"__n": F.lit(1)})
+    groups = ranked.groupBy(*by).agg((F.min("__n") - 1).alias("__base"), F.count(F.lit(1)).alias("__of"))
+    wanted = [F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("__of") - 1e-9)).cast("long").alias("at")) for name, share in nearest.items()]
+    wanted += [F.struct(F.lit(median).alias("name"), F.expr(at).cast("long").alias("at")) for at in ("(__of + 1) div 2", "__of div 2 + 1")] if median else []
+    picks = groups.withColumn("__w", F.explode(F.array(*wanted))).select(*by, "__w.name", (F.col("__base") + F.col("__w.at")).alias("__n"))
+    found = picks.join(ranked.select("__n", "__x"), "__n")
+    names = [*nearest, *([median] if median else [])]
+    return found.groupBy(*by).agg(*[F.avg(F.when(F.col("name") == n, F.col("__x"))).alias(n) for n in names])
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(named, cond, "left").drop(*[f"__r_{k}" for k in by])
+
+
 def run_metrics(scored: DataFrame, by: list[str], means: list[str], ratios: dict[str, tuple[str, str]] | None = None, latency: str | None = None) -> DataFrame:
     """One row a run: null-skipping means, guarded ratios of sums, median and nearest-rank 95th percentile."""
     aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(F.col(m).cast("double")).alias(m) for m in means]]
     aggs += [(F.sum(F.col(a).cast("double")) / F.nullif(F.sum(F.col(b).cast("double")), F.lit(0.0))).alias(name) for name, (a, b) in (ratios or {}).items()]
+    out = scored.groupBy(*by).agg(*aggs)
     if latency:
-        aggs += [F.median(latency).alias("latency_median"), F.expr(f"percentile_disc(0.95) within group (order by {latency})").alias("latency_p95")]
-    return scored.groupBy(*by).agg(*aggs)
+        out = _null_safe_left(out, quantiles(scored, by, latency, {"latency_p95": 0.95}, "latency_median"), by)
+    return out
 
 
 def two_level(runs: DataFrame, by: str, metrics: list[str]) -> DataFrame:
@@ -169,7 +195,8 @@ def coverage(keys: DataFrame, found: DataFrame, on: str) -> DataFrame:
 
 
 def task_table(tasks: DataFrame, by: str, success: Column, seconds: str) -> DataFrame:
-    return tasks.groupBy(by).agg(F.count_if(F.coalesce(success, F.lit(False))).alias("succeeded"), F.median(seconds).alias("median_seconds"))
+    counted = tasks.groupBy(by).agg(F.count_if(F.coalesce(success, F.lit(False))).alias("succeeded"))
+    return _null_safe_left(counted, quantiles(tasks, [by], seconds, {}, "median_seconds"), [by])
 
 
 def mismatches(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:

@@ -72,50 +72,14 @@ def rate_limit_stream(requests: DataFrame, key: str, at: str, id_: str, most: in
     return timed.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def daily_cap_stream(requests: DataFrame, key: str, at: str, id_: str, most: int) -> DataFrame:
-    """Stream form of daily_cap by a key: the day and how many requests it has used are the state; a later day starts anew, an earlier one is over; no time is no day."""
-    kinds = dict(requests.dtypes)
-
-    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, used = state.get if state.exists else (1 - 2**31, 0)
-        whole = pd.concat(list(batches)).sort_values(["__t", id_])
-        accepted = []
-        for d in whole["__d"]:
-            if d > day:
-                day, used = int(d), 0
-            ok = d == day and used < most
-            used += ok
-            accepted.append(bool(ok))
-        state.update((day, int(used)))
-        yield pd.DataFrame({key: group[0], id_: whole[id_].to_numpy(), "accepted": accepted})
-
-    time = F.col(at).cast("timestamp")
-    timed = requests.select(key, id_, F.unix_micros(time).alias("__t"), F.coalesce(F.unix_date(F.to_date(time)), F.lit(-(2**31))).alias("__d"))
-    return timed.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {id_} {kinds[id_]}, accepted boolean", "day int, used int", "append", GroupStateTimeout.NoTimeout)
-
-
 def daily_cap(requests: DataFrame, at: str, id_: str, most: int, by: list[str] | None = None) -> DataFrame:
     """requests with ``accepted``: the first ``most`` of each day. With ``by`` the cap holds for each of its values."""
     w = Window.partitionBy(F.to_date(at), *(by or [])).orderBy(at, id_)
     return requests.withColumn("accepted", F.row_number().over(w) <= most)
 
 
-def review(grades: Column) -> Column:
-    """struct(reps, interval, ease, lapses) after an ordered array of grades 0, 3, 4, 5.
-
-    The interval is computed with the ease before the grade; halves round up.
-    """
-    start = F.struct(F.lit(0).alias("reps"), F.lit(0).cast("long").alias("interval"), F.lit(2.5).alias("ease"), F.lit(0).alias("lapses"))
-
-    def step(s: Column, q: Column) -> Column:
-        again, reps = q < 3, s["reps"] + 1
-        factor = F.when(q == 3, 0.8).when(q == 5, 1.3).otherwise(1.0)
-        grown = F.floor(s["interval"] * s["ease"] * factor + 0.5)
-        interval = F.when(again, 0).when(reps == 1, 1).when(reps == 2, 3).otherwise(grown).cast("long")
-        ease = F.greatest(F.lit(1.3), s["ease"] + (F.lit(0.1) - (5 - q) * (F.lit(0.08) + (5 - q) * 0.02)))
-        return F.struct(F.when(again, 0).otherwise(reps).alias("reps"), interval.alias("interval"), F.when(again, s["ease"]).otherwise(ease).alias("ease"), (s["lapses"] + again.cast("int")).alias("lapses"))
-
-    return F.aggregate(grades, start, step)
+#: The interval's factors by grade and the terms of the ease.
+INTERVAL_FACTORS, FIRST_INTERVALS = {3: 0.8, 5: 1.3}, {0: 1, 1: 3}
 
 
 def next_review(card: tuple, q: int) -> tuple:
@@ -123,8 +87,8 @@ def next_review(card: tuple, q: int) -> tuple:
     reps, interval, ease, lapses = card
     if q < 3:
         return 0, 0, ease, lapses + 1
-    grown = min(math.floor(interval * ease * {3: 0.8, 5: 1.3}.get(q, 1.0) + 0.5), 2**62)
-    return reps + 1, {0: 1, 1: 3}.get(reps, grown), max(1.3, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))), lapses
+    grown = min(math.floor(interval * ease * INTERVAL_FACTORS.get(q, 1.0) + 0.5), 2**62)
+    return reps + 1, FIRST_INTERVALS.get(reps, grown), max(1.3, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))), lapses
 
 
 def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: str, at: str | None = None) -> DataFrame:
@@ -159,21 +123,6 @@ def review_cards(graded: DataFrame, keys: list[str], order: list[str], grade: st
     return out.withColumn("due", due).drop("__last")
 
 
-def review_cards_stream(graded: DataFrame, key: str, at: str, grade: str) -> DataFrame:
-    """Stream form of review_cards: the card is the state, and every micro-batch that grades it gives its new one."""
-    kind = dict(graded.dtypes)[key]
-
-    def follow(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        card = tuple(state.get) if state.exists else (0, 0, 2.5, 0)
-        for q in pd.concat(list(batches)).sort_values(["__t", "__q"])["__q"]:
-            card = next_review(card, int(q))
-        state.update(card)
-        yield pd.DataFrame([(group[0], *card)], columns=[key, "reps", "interval", "ease", "lapses"])
-
-    timed = graded.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), F.col(grade).alias("__q"))
-    return timed.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, reps int, interval long, ease double, lapses int", "reps int, interval long, ease double, lapses int", "update", GroupStateTimeout.NoTimeout)
-
-
 def due_cards(cards: DataFrame, now: Column) -> DataFrame:
     """Cards that are due, the longest due first."""
     return cards.where(F.col("due") <= now).orderBy("due")
@@ -209,29 +158,62 @@ def fresh(entries: DataFrame, at: str, now: Column, seconds: int = 480) -> DataF
     return entries.where(F.col(at).cast("timestamp") > now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
+def recited(line: list[str], words: list[str], base: int) -> tuple[bool, int]:
+    """Whether an utterance counts, and how far the session has come after it; a rejected one leaves the place where it was."""
+    states = Q.follow(line[base:], words)
+    ok = Q.accepted(states)
+    return ok, base + (sum(s != "pending" for s, _ in states) if ok else 0)
+
+
 def recitation(utterances: DataFrame, key: str, order: str, expected: str, heard: str) -> DataFrame:
-    """(key, order, committed, base): how far each utterance of a recitation brings its session; a rejected one leaves the place where it was.
+    """(key, order, committed, base): how far each utterance of a recitation brings its session.
 
     ``expected`` (words of the whole line) and ``heard`` (words of one final utterance) are arrays; the state of a session is its place.
     """
     kinds = dict(utterances.dtypes)
 
-    def recited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, base = object(), 0
         for batch in batches:
             out = []
             for k, line, words in zip(batch[key], batch[expected], batch[heard]):
                 if k != current:
                     current, base = k, 0
-                states = Q.follow(list(line)[base:], list(words))
-                told = [s for s, _ in states if s != "pending"]
-                ok = Q.accepted(states)
-                base += len(told) if ok else 0
+                ok, base = recited(list(line), list(words), base)
                 out.append((ok, base))
             yield batch[[key, order]].assign(committed=[x[0] for x in out], base=[x[1] for x in out])
 
     ordered = utterances.select(key, order, expected, heard).repartition(key).sortWithinPartitions(key, order)
-    return ordered.mapInPandas(recited, f"{key} {kinds[key]}, {order} {kinds[order]}, committed boolean, base int")
+    return ordered.mapInPandas(each, f"{key} {kinds[key]}, {order} {kinds[order]}, committed boolean, base int")
+
+
+def memo(requests: DataFrame, key: str, part: str, at: str, id_: str, seconds: float) -> DataFrame:
+    """(key, id, part, hit, from_id): which request each one is answered from: the last one of its key and part that was answered anew at most ``seconds`` before, or itself.
+
+    Rows of a key stream through one generator in order of time; it holds the last answer of each of the key's parts.
+    """
+    kinds = dict(requests.dtypes)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = object(), {}
+        for batch in batches:
+            out = []
+            for k, p, i, t in zip(batch[key], batch[part], batch[id_], batch["__t"]):
+                if k != current:
+                    current, held = k, {}
+                out.append(answered(held, p, i, t, seconds))
+            yield batch[[key, id_, part]].assign(hit=[x[0] for x in out], from_id=[x[1] for x in out])
+
+    ordered = requests.select(key, id_, part, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("__t")).repartition(key).sortWithinPartitions(key, "__t", id_)
+    return ordered.mapInPandas(each, f"{key} {kinds[key]}, {id_} {kinds[id_]}, {part} {kinds[part]}, hit boolean, from_id {kinds[id_]}")
+
+
+def answered(held: dict, part, id_, t: float, seconds: float) -> tuple[bool, object]:
+    """(hit, from whom); a request without an answer that is young enough becomes one."""
+    if part in held and t - held[part][1] <= seconds:
+        return True, held[part][0]
+    held[part] = id_, t
+    return False, id_
 
 
 def activity_week(rows: DataFrame, at: str, amount: Column, first_day: str = "Saturday") -> DataFrame:
@@ -252,20 +234,6 @@ def latest_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, *[F.col(f"__m.{c}").alias(c) for c in [*order, *[c for c in rest if c not in order]]])
 
 
-def upsert_batches(path: str, key: list[str], order: list[str]):
-    """foreachBatch writer that folds each batch into the latest-wins table at ``path``, one folder a version."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{epoch - 1}"
-        both = batch
-        if epoch > 0:
-            both = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
-        latest_wins(both, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return write
-
-
 def hourly_activity(stream: DataFrame, at: str, late: str = "1 hour") -> DataFrame:
     """Counts of an event stream by hour, closed when the watermark has passed."""
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
