@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.retrieval import ROW_BLOCK, ranked
+from docspark.operators.retrieval import QUERY_BLOCK, ROW_BLOCK, ranked
 from docspark.plans.staging import stage
 
 #: Vectors of a cell that one task compares with the cell's queries.
@@ -54,10 +54,11 @@ def fit_centroids(vectors: DataFrame, cells: int, id_: str, vector: str, sample:
 
 @dataclass
 class VectorIndex:
-    """centroids; radii by cell; rows: id, vector (unit), cell, part, staged."""
+    """centroids; radii and number of parts by cell; rows: id, vector (unit), cell, part, staged."""
 
     centroids: np.ndarray
     radii: np.ndarray
+    parts: np.ndarray
     rows: DataFrame
     id_: str
     vector: str
@@ -83,29 +84,37 @@ def build_index(vectors: DataFrame, id_: str = "vec_id", vector: str = "embeddin
     rows = stage(rows, "vector-cells")
     counts = {r["cell"]: (r["far"], r["n"]) for r in rows.groupBy("cell").agg(F.max("angle").alias("far"), F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
     radii = np.array([counts[k][0] if k in counts else -1.0 for k in range(len(c))])
-    parts = F.create_map(*[F.lit(x) for k, (_, m) in sorted(counts.items()) for x in (k, -(-m // PART_ROWS))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(id_), F.element_at(parts, F.col("cell"))).cast("int"))
-    return VectorIndex(c, radii, dealt.drop("angle"), id_, vector)
+    parts = np.array([-(-counts[k][1] // PART_ROWS) if k in counts else 0 for k in range(len(c))], int)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(id_), _by_cell(parts)).cast("int"))
+    return VectorIndex(c, radii, parts, dealt.drop("angle"), id_, vector)
+
+
+def _by_cell(numbers: np.ndarray) -> Column:
+    """The number of a row's cell."""
+    return F.get(F.array(*[F.lit(int(x)) for x in numbers]) if len(numbers) else F.array(F.lit(0)), F.col("cell"))
 
 
 def _probe(index: VectorIndex, asked: DataFrame, k: int, query_id: str) -> DataFrame:
     """(query_id, id, score): the k best of each query in each part of the cells that it asks. ``asked``: query_id, vector (unit), cell."""
     kinds = dict(asked.dtypes) | {index.id_: dict(index.rows.dtypes)[index.id_]}
-    parts = index.rows.select("cell", "part").distinct()
+    id_, vector = index.id_, index.vector
 
     def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({query_id: [], index.id_: [], "score": []})
-        vectors, ids, out = np.stack(x[index.vector].to_numpy()), x[index.id_].to_numpy(), []
+            return pd.DataFrame({query_id: [], id_: [], "score": []})
+        vectors, ids, out = np.stack(x[vector].to_numpy()), x[id_].to_numpy(), []
         for at in range(0, len(q), ROW_BLOCK):
             names = q[query_id].to_numpy()[at : at + ROW_BLOCK]
             scores = np.round(np.stack(q["__v"].to_numpy()[at : at + ROW_BLOCK]) @ vectors.T, 6)
             order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            out.append(pd.DataFrame({query_id: np.repeat(names, order.shape[1]), index.id_: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+            out.append(pd.DataFrame({query_id: np.repeat(names, order.shape[1]), id_: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
         return pd.concat(out)
 
-    left = asked.join(parts, "cell").groupBy("cell", "part")
-    return left.cogroup(index.rows.groupBy("cell", "part")).applyInPandas(best, f"{query_id} {kinds[query_id]}, {index.id_} {kinds[index.id_]}, score double")
+    # A task holds one part of a cell and at most about QUERY_BLOCK queries; with more queries a part is sent once for each block.
+    blocks = max(1, -(-asked.select(query_id).distinct().count() // QUERY_BLOCK))
+    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), _by_cell(index.parts) - 1))).withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
+    right = index.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInPandas(best, f"{query_id} {kinds[query_id]}, {index.id_} {kinds[index.id_]}, score double")
 
 
 def nearest(index: VectorIndex, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "embedding", probes: int = 8, exact: bool = True) -> DataFrame:

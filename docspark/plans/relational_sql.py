@@ -41,6 +41,7 @@ two AS (SELECT e.lang, e.metric, avg(v) AS mean, min(v) AS min, max(v) AS max FR
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_KEYWORD.strip()} SELECT item_id, id, score, rank FROM kw WHERE rank <= 10",
     "dense_topk": f"WITH {_TOP_DENSE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= 10",
+    "dense_cells": f"WITH {_TOP_DENSE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= 10",
     "hybrid_rrf": _FUSED + " SELECT item_id, id, rrf, rank FROM r WHERE rank <= 20",
     "hybrid_guaranteed_slots": _FUSED.replace("WITH ", "WITH RECURSIVE ", 1)
     + """,

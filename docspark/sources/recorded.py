@@ -6,7 +6,7 @@ events. Files are named by the number that was asked for. The source gives the r
     name, number, body, error
 
 in partitions of consecutive files, so a folder of any size is read by many tasks; as a stream its offsets are numbers, and
-each micro-batch takes what is newer, ``perBatch`` files at most. A file that cannot be read is a row with its error. Which numbers are missing
+each micro-batch takes what is newer. A file that cannot be read is a row with its error. Which numbers are missing
 between the first and the last is told by ``gaps``. Nothing here asks a network.
 
 Files are opened by path in the tasks, so the folder must be one that all executors see (``spark.read.text`` with
@@ -19,10 +19,12 @@ import os
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from docspark.operators.scan import in_order, running
+
 SCHEMA = "name string, number long, body string, error string"
 _NUMBER = re.compile(r"(\d+)(?=\.[^.]*$|$)")
 
@@ -64,21 +66,19 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are the last number taken; answers are recorded in the order of their numbers."""
+    """An offset is the greatest number there; answers are recorded in the order of their numbers."""
 
-    def __init__(self, folder: str, size: int, most: int):
-        self.folder, self.size, self.most, self.last = folder, size, most, -1
+    def __init__(self, folder: str, size: int):
+        self.folder, self.size = folder, size
 
     def initialOffset(self) -> dict:
         return {"number": -1}
 
     def latestOffset(self) -> dict:
-        newer = [n for n, _ in _numbered(self.folder) if n > self.last][: self.most]
-        self.last = newer[-1] if newer else self.last
-        return {"number": self.last}
+        found = _numbered(self.folder)
+        return {"number": found[-1][0] if found else -1}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.last = max(self.last, end["number"])
         names = [name for n, name in _numbered(self.folder) if start["number"] < n <= end["number"]]
         return [Files(names[at : at + self.size]) for at in range(0, len(names), self.size)]
 
@@ -90,7 +90,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class RecordedAnswers(DataSource):
-    """Options: path; perPartition (files, 500) and perBatch (files, 10000)."""
+    """Options: path, perPartition (files, 500)."""
 
     @classmethod
     def name(cls) -> str:
@@ -106,7 +106,7 @@ class RecordedAnswers(DataSource):
         return _Reader(self.options["path"], self._size())
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"], self._size(), int(self.options.get("perBatch", 10_000)))
+        return _StreamReader(self.options["path"], self._size())
 
 
 def read(spark: SparkSession, path: str, per_partition: int = 500) -> DataFrame:
@@ -114,9 +114,9 @@ def read(spark: SparkSession, path: str, per_partition: int = 500) -> DataFrame:
     return spark.read.format("recorded").option("path", path).option("perPartition", per_partition).load()
 
 
-def read_stream(spark: SparkSession, path: str, per_batch: int = 10_000) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, per_partition: int = 500) -> DataFrame:
     spark.dataSource.register(RecordedAnswers)
-    return spark.readStream.format("recorded").option("path", path).option("perBatch", per_batch).load()
+    return spark.readStream.format("recorded").option("path", path).option("perPartition", per_partition).load()
 
 
 def from_text(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +131,8 @@ def gaps(answers: DataFrame) -> DataFrame:
     good = answers.where(F.col("error").isNull() & F.col("body").isNotNull()).select("number").distinct()
     every = answers.agg((F.min("number") - 1).alias("number"), (F.max("number") + 1).alias("after")).where("number is not null")
     edges = good.unionByName(every.select("number")).unionByName(every.select(F.col("after").alias("number"))).distinct()
-    after = edges.withColumn("next", F.lead("number").over(Window.orderBy("number")))  # one row a file, numbers alone
-    return after.where("next > number + 1").select((F.col("number") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+    told = running(in_order(edges, ["number"], "numbers"), before={"previous": F.col("number")})
+    return told.where("number > previous + 1").select((F.col("previous") + 1).alias("first"), (F.col("number") - 1).alias("last"))
 
 
 def pages(answers: DataFrame, meta: str = "vol string, page int, headings array<string>") -> DataFrame:
