@@ -80,6 +80,7 @@ def padded(codes: np.ndarray) -> np.ndarray:
 
 def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights of the windows at ``starts``: both (windows, WINDOW * steps)."""
+    codes = codes.astype(np.int32, copy=False)
     at = starts[:, None] + np.arange(WINDOW)[None, :]
     ids, weights = [], []
     for a, b, c in STEPS:
@@ -147,8 +148,12 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 2.0) -
     ridge[-1] = 1e-4
     for _ in range(25):
         active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(ridge), xa.T @ (ca * y[active]))
+        square, side = np.diag(ridge), np.zeros(x.shape[1])
+        for rows in np.array_split(np.flatnonzero(active), 1 + active.sum() // 1024):  # no copy of all rows at once
+            xa, ca = x[rows], cost[rows]
+            square += (xa * ca[:, None]).T @ xa
+            side += xa.T @ (ca * y[rows])
+        new = np.linalg.solve(square, side)
         if np.allclose(new, w, rtol=1e-4, atol=1e-6):
             break
         w = new
@@ -170,11 +175,17 @@ class Model:
         return np.broadcast_to(1 / (1 + np.exp(-np.clip(z, -30, 30))), (len(texts),))
 
 
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """The number of the ORDER characters from each place on."""
+    c = codes.astype(np.int32)
+    return c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]
+
+
 def _enriched(codes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Log ratio, for each contiguous run of ORDER characters, of the share of toxic and of clean texts that hold it."""
     held = np.zeros((2, 32**ORDER), np.float64)
     for c, y in zip(codes, toxic):
-        held[int(y), np.unique(c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:])] += 1
+        held[int(y), np.unique(_runs(c))] += 1
     shares = [(held[k] + 0.5) / (max(1, (toxic == k).sum()) + 1) for k in (0, 1)]
     return (np.log(shares[1] / shares[0]) * np.minimum(1, held[1] / 3)).astype(np.float32)
 
@@ -189,9 +200,9 @@ def train(texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, landmarks:
     rng = np.random.default_rng(seed)
     own = [t for t, f in zip(texts, fit) if f]
     y = toxic[fit]
-    codes = [padded(classes(t)) for t in own]
+    codes = [padded(classes(t)).astype(np.uint8) for t in own]  # a fourth of what the texts would hold as numbers
     ratio = _enriched(codes, y)
-    where = [int(np.argmax(np.convolve(ratio[c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]][: max(1, len(c) - WINDOW - REACH)], np.ones(4), "same"))) for c in codes]
+    where = [int(np.argmax(np.convolve(ratio[_runs(c)][: max(1, len(c) - WINDOW - REACH)], np.ones(4), "same"))) for c in codes]
     starts = [max(0, k - 3) if t else int(rng.integers(0, max(1, len(c) - WINDOW - REACH))) for k, t, c in zip(where, y, codes)]
 
     # Landmarks: windows around the most telling runs of toxic texts, each run once, and windows of clean texts.
@@ -199,7 +210,7 @@ def train(texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, landmarks:
     told: dict[int, tuple[int, int]] = {}
     for i in positive:
         c = codes[i]
-        runs = c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]
+        runs = _runs(c)
         for k in np.argsort(-ratio[runs])[:6]:
             told.setdefault(int(runs[k]), (int(i), int(min(max(0, k - 3), max(0, len(c) - WINDOW - REACH - 1)))))
     chosen = [told[r] for r in sorted(told, key=lambda r: (-ratio[r], r))[: landmarks * 2 // 3]]
@@ -224,8 +235,8 @@ def train(texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, landmarks:
 
     def mapped(pairs: list[tuple[int, int]]) -> np.ndarray:
         out = []
-        for k in range(0, len(pairs), 500):
-            i, w = window_features(pairs[k : k + 500])
+        for k in range(0, len(pairs), 100):
+            i, w = window_features(pairs[k : k + 100])
             rows = np.zeros((len(i), base.shape[1]), np.float32)
             np.add.at(rows, (np.arange(len(i))[:, None], slot[i]), w)
             out.append(rows @ base.T @ whiten)
@@ -242,7 +253,8 @@ def train(texts: list[str], toxic: np.ndarray, calibrate: np.ndarray, landmarks:
         cost = np.where(target > 0, len(seen_negative) / max(1, len(witness)), 1.0) * 2.0
         w = _svm(x, target, cost)
         values = np.zeros(32**ORDER, np.float32)
-        values[known] = ((whiten @ w[:-1]) @ base)[:-1]
+        of_landmarks = whiten @ w[:-1]
+        values[known] = np.concatenate([of_landmarks @ base[:, at : at + 2048] for at in range(0, base.shape[1], 2048)])[:-1]
         bias = float(w[-1])
         cube = values.reshape(32, 32, 32, 32)
         cube[PAD], cube[:, PAD], cube[:, :, PAD], cube[:, :, :, PAD] = 0, 0, 0, 0
