@@ -11,6 +11,8 @@ Defined cases
 -------------
 * A null payload is written as an empty one. An empty payload has a digest and
   a length of zero like any other.
+* A record's id is made of its page's id and the row's number in the scan, so records of repeated
+  or null page ids have ids of their own, and a revisit refers to one record: of those with the smallest page id the one with the smallest number.
 * Rows whose id is null keep a null id; they never are the original of a group
   unless every id of the group is null, and then all of them are responses.
 * Rows that share the smallest id of a group (repeated rows) are all responses.
@@ -38,7 +40,7 @@ from docspark.plans.staging import new_path, stage, unstage
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 ID_PREFIX = "urn:x-page:"
-RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+RECORDS = "page_id long, record long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, refers_to_record long, payload binary"
 
 
 def digest(payload: Column) -> Column:
@@ -49,33 +51,29 @@ def digest(payload: Column) -> Column:
 
 
 def originals(headers: DataFrame, min_bytes: int = 0, salts: int = 16) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the records that revisit an earlier payload.
+    """(record, refers_to, refers_to_record) of the records that revisit an earlier payload.
 
-    ``headers``: page_id, payload_digest, payload_bytes. Only headers are
+    ``headers``: page_id, record, payload_digest, payload_bytes. Only headers are
     shuffled by digest. Digests that occur once drop out in the aggregate; the
     rest meet their rows again dealt over ``salts`` tasks a digest.
     """
-    long_enough = headers.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
-    firsts = (
-        long_enough.groupBy("payload_digest")
-        .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("__n"))
-        .where("__n > 1 and refers_to is not null")
-        .drop("__n")
-    )
+    long_enough = headers.where(F.col("payload_bytes") >= min_bytes).select("page_id", "record", "payload_digest")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record")))
+    firsts = long_enough.groupBy("payload_digest").agg(first.alias("__f"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and __f is not null")
+    firsts = firsts.select("payload_digest", F.col("__f.page_id").alias("refers_to"), F.col("__f.record").alias("refers_to_record"))
     met = salted(long_enough, firsts, ["payload_digest"], salts)
-    return met.where("page_id is null or page_id <> refers_to").distinct()
+    return met.where("page_id is null or page_id <> refers_to").select("record", "refers_to", "refers_to_record")
 
 
 def records_of(pages: DataFrame, revisits: DataFrame) -> DataFrame:
-    """One record row a page row: a response with its payload or a revisit without one."""
-    r = revisits.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to")
-    return pages.join(r, pages["page_id"].eqNullSafe(r["__id"]) & (pages["payload_digest"] == r["__digest"]), "left").drop("__id", "__digest")
+    """One record row a page row: a response with its payload or a revisit without one. A row meets its revisit by its own number."""
+    return pages.join(revisits, "record", "left")
 
 
 def _record(date: str) -> Column:
     """The record as a string, without the two line ends that close it."""
     revisit = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda page, row: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
     url = F.col("url")
     for code in (9, 10, 13, 32):
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
@@ -85,11 +83,11 @@ def _record(date: str) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Record-ID", urn("page_id", "record")),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", urn("refers_to", "refers_to_record")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
         F.lit(CRLF),
@@ -111,7 +109,7 @@ def file_classes(headers: DataFrame, file_bytes: int = 1 << 28, most_bytes: int
 
 
 def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write records (page_id, url, payload, payload_digest, payload_bytes, refers_to) as gzip WARC files, adding to those under ``path``."""
+    """Write records (page_id, record, url, payload, payload_digest, payload_bytes, refers_to, refers_to_record) as gzip WARC files, adding to those under ``path``."""
     (
         records.select(_record(date).alias("value"))
         .write.mode("append")
@@ -128,6 +126,14 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def _id(urn: bytes | None) -> tuple[int | None, int | None]:
+    """Page id and row number of a record id."""
+    if urn is None:
+        return None, None
+    page, _, row = urn.strip(b"<>").removeprefix(ID_PREFIX.encode()).partition(b":")
+    return None if page == b"null" else int(page), int(row) if row else None
+
+
 def _walk(archive: BinaryIO) -> Iterator[tuple]:
     """Records of one archive, by Content-Length, one record held at a time."""
     while line := archive.readline():
@@ -144,13 +150,14 @@ def _walk(archive: BinaryIO) -> Iterator[tuple]:
         kind = f[b"warc-type"].decode()
         if kind not in ("response", "revisit"):
             continue
-        number = lambda v: None if v is None or (n := v.strip(b"<>").rpartition(b":")[2]) == b"null" else int(n)
+        page, row = _id(f[b"warc-record-id"])
+        first, first_row = _id(f.get(b"warc-refers-to"))
         payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
         said = f[b"warc-payload-digest"].decode().rpartition(":")[2]
         if payload is not None and said != base64.b32encode(hashlib.sha1(payload).digest()).decode():
             raise ValueError(f"payload of {f[b'warc-record-id'].decode()} does not match its digest")
         url = f.get(b"warc-target-uri")
-        yield (number(f[b"warc-record-id"]), url and url.decode(), kind, said, None if payload is None else len(payload), number(f.get(b"warc-refers-to")), payload)
+        yield (page, row, url and url.decode(), kind, said, None if payload is None else len(payload), first, first_row, payload)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -172,7 +179,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def _frame(part: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(part, columns=names, dtype=object)
-        return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+        return out.astype(dict.fromkeys(["page_id", "record", "payload_bytes", "refers_to", "refers_to_record"], "Int64"))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(parse, RECORDS)
@@ -181,30 +188,25 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def resolve_revisits(records: DataFrame, salts: int = 16) -> DataFrame:
     """Fill a revisit's payload_bytes from the response that it refers to.
 
-    The distinct targets of the revisits meet the responses; the few rows that
+    The distinct targets of the revisits meet the responses by record; the few rows that
     come out meet the revisits dealt over ``salts`` tasks a target.
     """
     heads = records.drop("payload")
     revisits, responses = heads.where("record_type = 'revisit'"), heads.where("record_type = 'response'")
-    targets = revisits.select("refers_to", "payload_digest").distinct()
-    known = (
-        responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
-        .join(targets, ["refers_to", "payload_digest"], "left_semi")
-        .groupBy("refers_to", "payload_digest")
-        .agg(F.max("payload_bytes").alias("__bytes"))
-    )
-    met = salted(revisits, known, ["refers_to", "payload_digest"], salts, "left")
-    met = met.withColumn("payload_bytes", F.col("__bytes")).drop("__bytes")
+    at = ["refers_to", "refers_to_record"]
+    targets = revisits.select(*at).distinct()
+    known = responses.select(F.col("page_id").alias("refers_to"), F.col("record").alias("refers_to_record"), F.col("payload_bytes").alias("__bytes")).join(targets, at, "left_semi")
+    met = salted(revisits, known, at, salts, "left").withColumn("payload_bytes", F.col("__bytes")).drop("__bytes")
     return responses.unionByName(met.select(*responses.columns))
 
 
 def deduplicate(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write one record a row of ``pages`` (page_id, url, payload) with equal payloads reduced to revisits."""
-    full = pages.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"))
+    """Write one record a row of ``pages`` (page_id, url, payload; a scan, whose rows keep their numbers when it is read again) with equal payloads reduced to revisits."""
+    full = pages.select("page_id", "url", F.monotonically_increasing_id().alias("record"), F.coalesce("payload", F.lit(b"")).alias("payload"))
     full = full.withColumns({"payload_digest": digest(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
     # Headers are staged, so payloads are read twice in all: once for their digests, once to be written (again for those over 1 MB, if any).
-    headers = stage(full.select("page_id", "payload_digest", "payload_bytes"), "warc-headers")
-    # Staged so that its size is known: a short list is broadcast under Spark's threshold, a long one is joined by id, which no row shares with many.
+    headers = stage(full.select("page_id", "record", "payload_digest", "payload_bytes"), "warc-headers")
+    # Staged so that its size is known: a short list is broadcast under Spark's threshold, a long one is joined by row number.
     revisits = stage(originals(headers, min_bytes), "revisits")
     records = records_of(full, revisits)
     classes = file_classes(headers)

@@ -33,3 +33,20 @@ def test_run(spark, tables):
     for x in rows:
         sizes[x["shard"]] = sizes.get(x["shard"], 0) + len(x["text"]) + 1
     assert set(sizes) == set(range(16)) and all(texts[x["doc_id"]] == x["text"] for x in rows)
+
+
+def test_odd_documents_clashing_names_and_empty_tables(spark, tables, odd_docs, no_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through every stage; nothing clean is lost but copies."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in (4, 5, 7)] + [(None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, "a passage that is nowhere in these documents at all"), (1, None), (2, "")], "item_id long, text string")
+    out = corpus_pipeline.run(spark, tables(documents=odd_docs, labels=labels, benchmark=bench))
+    assert out.columns == [c for c in odd_docs.columns if c != "shard"] + ["shard"]
+    kept = {r["doc_id"] for r in out.collect()}
+    # 5 and 6 are copies, and of an empty text nothing is taken by the mix.
+    assert {4, 5, 7} <= kept <= {None, 4, 5, 7}
+
+
+def test_empty_documents(spark, tables, no_docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert corpus_pipeline.run(spark, tables(documents=no_docs, labels=labels, benchmark=bench)).count() == 0

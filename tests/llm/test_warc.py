@@ -51,11 +51,25 @@ def test_payloads_and_urls_come_back(spark):
     assert bytes(back[1]["payload"]) == b"\x00\xff\r\n\r\n" and back[1]["url"] == "http://a%20b"
 
 
+def test_record_ids_are_unique_and_say_which_record(spark):
+    rows = [(9, "u", b"x"), (4, "u", b"x"), (4, "v", b"x"), (None, "u", b"x"), (None, "w", b"y"), (None, "w", b"y"), (9, "z", b"q")]
+    pages = spark.createDataFrame([(i, u, bytearray(b)) for i, u, b in rows], "page_id long, url string, payload binary").repartition(3)
+    path = new_path(spark, "t")
+    warc.deduplicate(pages, path)
+    back = warc.read_archives(spark, path).collect()
+    assert len({r["record"] for r in back}) == 7
+    revisits = [r for r in back if r["record_type"] == "revisit"]
+    first = min(r["record"] for r in back if r["page_id"] == 4)
+    assert len(revisits) == 2 and {(r["refers_to"], r["refers_to_record"]) for r in revisits} == {(4, first)}
+    resolved = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
+    assert len(resolved) == 7 and {r["payload_bytes"] for r in resolved} == {1}
+
+
 def test_hot_payload_and_min_bytes(spark, tables):
     pages = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, 'hot', concat('p', id)) as html")
     got = warc.op1_warc(spark, tables(pages=pages)).groupBy("record_type").count().collect()
     assert {r[0]: r[1] for r in got} == {"revisit": 999, "response": 2001}
-    headers = spark.createDataFrame([(1, "d", 3), (2, "d", 3)], "page_id long, payload_digest string, payload_bytes long")
+    headers = spark.createDataFrame([(1, 8, "d", 3), (2, 9, "d", 3)], "page_id long, record long, payload_digest string, payload_bytes long")
     assert warc.originals(headers, min_bytes=4).count() == 0
 
 
@@ -90,7 +104,7 @@ def test_archives_are_bounded_by_bytes(spark):
     assert warc.file_classes(headers, file_bytes=10**6, most_bytes=500, heavy=10**4)[0][1] == 1
     assert warc.file_classes(headers.limit(0)) == []
     path = new_path(spark, "t")
-    records = pages.withColumns({"payload_digest": warc.digest(pages["payload"]), "payload_bytes": warc.F.octet_length("payload").cast("long"), "refers_to": warc.F.lit(None).cast("long")})
+    records = pages.withColumns({"payload_digest": warc.digest(pages["payload"]), "payload_bytes": warc.F.octet_length("payload").cast("long"), "refers_to": warc.F.lit(None).cast("long"), "refers_to_record": warc.F.lit(None).cast("long"), "record": warc.F.monotonically_increasing_id()})
     for chosen, most in (light, heavy):
         warc.write_archives(records.where(chosen), path, records_per_file=most)
     assert spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).count() == 5
