@@ -177,10 +177,42 @@ def entries(passages_: DataFrame, rules: list[tuple[str, str, str]], openings: D
     each = found.withColumn("word", F.explode(own)).drop("context")
     if openings is not None:
         each = each.unionByName(openings.select("id", "para", "chapter", "word", "definition", F.lit("def").alias("kind")))
-    keyed = each.withColumn("key", T.match_key("word", profile))
+    return _named(each, profile)
+
+
+def _named(found: DataFrame, profile: TextProfile) -> DataFrame:
+    """With their keys, those that have one and say something."""
+    keyed = found.withColumn("key", T.match_key("word", profile))
     return keyed.where((F.length("key") >= 2) & (F.length(T.normalise("definition", profile)) >= 3))
 
 
+def glossary_sources(chapters: DataFrame, units: DataFrame, notes: DataFrame, sections: DataFrame, rules: list[tuple[str, str, str]], opening: str, note_opening: str, profile: TextProfile = UNICODE) -> DataFrame:
+    """(key, word, definition, kind, id, para, chapter) of the four places that define words, each told by ``source``: opening, unit, note, section.
+
+    chapters (id, para, chapter, title, text): a first sentence that matches ``opening`` (one group) defines the title's last word.
+    units (id, para, chapter, core, text): the rules, with the core text as what is being explained.
+    notes (id, para, chapter, lemma, method, text): a note not linked by title that begins as ``note_opening`` defines its lemma's last
+    word, by its first 300 characters (kind note); and the rules, with that word as context.
+    sections (id, para, chapter, heading, text), one row a line: the rules, with the heading as context.
+    """
+    last = lambda c: F.try_element_at(F.filter(F.split(F.col(c), "\\s+"), lambda w: w != ""), F.lit(-1))
+    begun = F.regexp_extract("text", f"^\\s*(?:{opening})", 1)
+    openings = chapters.where(begun != "").select("id", "para", "chapter", last("title").alias("word"), T.trimmed(begun).alias("definition"))
+    words = lambda c: T.content_words(F.coalesce(c, F.lit("")), profile)
+    own = ["id", "para", "chapter", "text"]
+    noted = notes.where(F.coalesce(F.trim("lemma"), F.lit("")) != "")
+    told = noted.where((F.coalesce("method", F.lit("")) != "title") & F.col("text").rlike(f"^\\s*(?:{note_opening})"))
+    parts = {
+        "opening": _named(openings.withColumn("kind", F.lit("def")), profile),
+        "unit": entries(units.select(*own, words(F.col("core")).alias("context")), rules, None, profile),
+        "note": _named(told.select("id", "para", "chapter", last("lemma").alias("word"), F.substring("text", 1, 300).alias("definition"), F.lit("note").alias("kind")), profile).unionByName(
+            entries(notes.select(*own, words(last("lemma")).alias("context")), rules, None, profile)
+        ),
+        "section": entries(sections.select(*own, words(F.regexp_replace("heading", "[«»\"]", " ")).alias("context")), rules, None, profile),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(name)) for name, df in parts.items()])
+
+
 def lookup(entries_: DataFrame, words: DataFrame, kinds: list[str], k: int = 4, profile: TextProfile = UNICODE) -> DataFrame:
     """The k entries of each word (query_id, word, para, chapter): key equal to the stem of its last word or to the whole of it.
 
@@ -206,3 +238,22 @@ def meanings(asked: DataFrame, offered: DataFrame, sources: DataFrame, profile:
     quote = T.normalise("quote", profile)
     ok = F.contains("__norm", quote) & (quote != "") & T.mentions(quote, T.normalise("word", profile))
     return met.withColumn("shown", F.coalesce(ok, F.lit(False))).drop("__norm")
+
+
+def meaning_pool(looked_up: DataFrame, ranked_: DataFrame, entries_most: int = 4, passages_most: int = 8) -> DataFrame:
+    """(query_id, n, text): the numbered texts that a meaning may quote: the first entries (query_id, rank, word, definition), then the best passages (query_id, rank, text)."""
+    first = looked_up.where(F.col("rank") <= entries_most).select("query_id", F.lit(0).alias("__s"), "rank", F.concat_ws(": ", "word", "definition").alias("text"))
+    then = ranked_.where(F.col("rank") <= passages_most).select("query_id", F.lit(1).alias("__s"), "rank", "text")
+    w = Window.partitionBy("query_id").orderBy("__s", "rank", "text")
+    return first.unionByName(then).select("query_id", F.row_number().over(w).alias("n"), "text")
+
+
+def meaning_key(word: str | Column, context: str | Column, profile: TextProfile = UNICODE) -> Column:
+    """What a remembered meaning goes by: the word, and the beginning of where it stands."""
+    return F.concat_ws("|", T.normalise(word, profile), F.substring(T.normalise(F.coalesce(F.col(context) if isinstance(context, str) else context, F.lit("")), profile), 1, 120))
+
+
+def worth_keeping(shown: DataFrame, asked: DataFrame, profile: TextProfile = UNICODE) -> DataFrame:
+    """(key, query_id) of the questions (query_id, word, context) with a meaning to show; one a key, the first: what a memo of meanings keeps."""
+    some = shown.where("shown").select("query_id").distinct().join(asked, "query_id")
+    return some.select(meaning_key("word", "context", profile).alias("key"), "query_id").groupBy("key").agg(F.min("query_id").alias("query_id"))
