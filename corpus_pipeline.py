@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import bag_minhash, decontaminate, mixing, shard, toxicity
-from docspark.plans.staging import stage
+from docspark.plans.staging import stage, unstage
 
 STAGES = [
     ("toxicity", toxicity.reject_toxic),
@@ -25,6 +25,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for n, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        if n:
+            unstage(before)  # a stage before this one wrote it, and nothing reads it again
     return STAGES[-1][1](spark, docs, sf_dir)

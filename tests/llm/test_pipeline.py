@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from docspark.llm import queries
+from docspark.plans.staging import shared_dir
 
 
 def test_stages_and_names():
@@ -46,6 +48,18 @@ def test_odd_documents_clashing_names_and_empty_tables(spark, tables, odd_docs,
     assert {4, 5, 7} <= kept <= {None, 4, 5, 7}
 
 
+def test_only_the_last_staged_corpus_stays(spark, tables):
+    texts = [f"document {i} says " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    staged = Path(shared_dir(spark).removeprefix("file://")) / "docspark-staged"
+    before = set(staged.iterdir()) if staged.exists() else set()
+    assert corpus_pipeline.run(spark, tables(documents=docs, labels=labels, benchmark=bench)).count() >= 12
+    left = {p.name.rsplit("-", 1)[0] for p in set(staged.iterdir()) - before}
+    assert "mixing" in left and not left & {"toxicity", "near-dedup", "decontamination"}
+
+
 def test_empty_documents(spark, tables, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
