@@ -35,9 +35,10 @@ def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def limited_broadcast(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """rows with the hint to send them whole, if they are no more than ``most`` (a few words each); else as they are."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def limited_broadcast(rows: DataFrame, most: int = 200_000, most_bytes: int = 1 << 25) -> DataFrame:
+    """rows with the hint to send them whole, if they are no more than ``most`` and, written out, no more than ``most_bytes``; else as they are."""
+    n, size = rows.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(rows) if n <= most and size <= most_bytes else rows
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_: str = "doc_id", query_id: str = "item_id", profile: TextProfile = UNICODE, weight: str | None = None) -> DataFrame:

@@ -183,6 +183,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored rows that the summaries below stand on; the metrics of items are in ``scored_systems``."""
     return _scored(spark, sf)
 
 

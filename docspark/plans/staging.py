@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor and the driver can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-    base = "file://" + tempfile.mkdtemp(prefix="docspark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId  # the setting itself cannot be changed in a running session
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="docspark-")
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

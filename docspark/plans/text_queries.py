@@ -70,7 +70,7 @@ def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest other name of the same brand, type and size by edit similarity: exact keys first, then the fuzzy comparison inside a block."""
+    """Nearest other name of the same brand and size by edit similarity."""
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     other = p.withColumnsRenamed({"p_partkey": "other", "p_name": "other_name"})
     pairs = p.join(other, ["p_brand", "p_size"]).where("p_partkey <> other")
