@@ -154,7 +154,9 @@ def test_matrix_refuses_too_many_systems(spark):
 
 def test_state(spark):
     assert list(Z.admit([0, 1, 2, 60, 61, 62], deque(), 2, 60)) == [True, True, False, False, True, True]
-    graded = spark.createDataFrame([([4, 4, 5, 3, 0, 4],), ([],)], "g array<int>").select(Z.review(F.col("g")).alias("c")).collect()
+    card = (0, 0, 2.5, 0)
+    for q in [4, 4, 5, 3, 0, 4]:
+        card = Z.next_review(card, q)
     reps, interval, ease, lapses = 0, 0, 2.5, 0
     for q in [4, 4, 5, 3, 0, 4]:
         if q < 3:
@@ -163,8 +165,7 @@ def test_state(spark):
         reps += 1
         interval = 1 if reps == 1 else 3 if reps == 2 else int(interval * ease * {3: 0.8, 4: 1, 5: 1.3}[q] + 0.5)
         ease = max(1.3, ease + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
-    c = graded[0]["c"]
-    assert (c["reps"], c["interval"], round(c["ease"], 9), c["lapses"]) == (reps, interval, round(ease, 9), lapses) and graded[1]["c"]["reps"] == 0
+    assert (card[0], card[1], round(card[2], 9), card[3]) == (reps, interval, round(ease, 9), lapses)
 
 
 def test_cards_transcripts_and_recitation(spark):
