@@ -127,6 +127,7 @@ def lemma_links(lemmas: DataFrame, units: DataFrame, window: int = 3, least: flo
     Word for word matches meet by keys (``substring_join``); others by an index from rare words to windows, and what
     meets is compared in order only where enough of the lemma's words occur.
     """
+    lemmas = stage(lemmas.select("lemma_id", "chapter", "lemma"), "lemmas")
     long = lemmas.where(F.size(F.split(F.trim("lemma"), " ")) >= 2)
     short = lemmas.join(long.select("lemma_id"), "lemma_id", "left_anti")
     placed = stage(windows(units, window), "lemma-windows")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from docspark.functions import text as T
 from docspark.functions.profiles import ARABIC, TextProfile
 from docspark.operators.scan import PLACE, in_order, running
+from docspark.plans.staging import stage
 
 BRACKETS, DIGITS = "\\(([^()]*)\\)", "[٠-٩0-9]+"
 
@@ -79,6 +80,7 @@ def walk(events: DataFrame, profile: TextProfile = ARABIC, lemma_words: int = 12
     # A mark closes its stretch: what comes after it begins a new one.
     stretch = F.col("__fresh") + F.col("__marks") - mark.cast("int")
     p = p.withColumns({"__in_unit": F.col("__units") > F.col("__units_at"), "para": F.col("__paras") - F.col("__paras_at"), "unit": F.col("__units") - F.col("__book_units"), "__stretch": stretch})
+    p = stage(p.drop("__was", "__new_book", "__starts", "__texts", "__paras", "__texts_at", "__paras_at", "__units_at", "__book_units", "__fresh", "__marks"), "walked")
 
     # Units: their own pieces, from the opening one on.
     shown = F.when(kind.isin("core", "mark"), F.concat(F.lit("("), "text", F.lit(")"))).when(kind == "tail", F.concat("text", F.lit("\n"))).otherwise(F.col("text"))

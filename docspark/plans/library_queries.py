@@ -15,6 +15,7 @@ from docspark.operators import segmentation as S
 from docspark.operators import verification as V
 from docspark.operators import walk as W
 from docspark.plans import relational_queries as Q
+from docspark.plans.staging import stage
 from docspark.plans.tables import table
 from docspark.sources import io
 from docspark.streaming import state as Z
@@ -63,10 +64,10 @@ def unit_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marker_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Note marks of the commented conversations with the note of their own page and number, their lemma, and the units of book 0 in whose text the lemma is found."""
+    """Note marks of the commented conversations with the note of their own page and number, their lemma, and the units of their chapter in whose text the lemma is found."""
     w = W.walk(_commented(spark, sf), UNICODE)
     notes = table(spark, sf, "conversations").select((F.col("conv_id") % 3).cast("int").alias("book_id"), (F.col("conv_id") * 4 + F.floor(F.col("turn") / 2)).cast("int").alias("pg"), (F.col("turn") % 4).cast("int").alias("n"), F.md5("text").alias("note"))
-    marks = L.marker_notes(w.markers, notes.groupBy("book_id", "pg", "n").agg(F.min("note").alias("note")), ("book_id", "pg", "n")).withColumn("mark", F.concat_ws(":", "book_id", "pg", "place"))
+    marks = stage(L.marker_notes(w.markers, notes.groupBy("book_id", "pg", "n").agg(F.min("note").alias("note")), ("book_id", "pg", "n")).withColumn("mark", F.concat_ws(":", "book_id", "pg", "place")), "marks")
     units = w.units.select("chapter", F.col("unit").cast("int").alias("idx"), T.normalise("text", UNICODE).alias("norm"))
     links = L.lemma_links(marks.select(F.col("mark").alias("lemma_id"), "chapter", "lemma"), units, score_none=False).where("method in ('exact', 'exact_span')").groupBy("lemma_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("idx").alias("first"))
     met = marks.join(links.withColumnRenamed("lemma_id", "mark"), "mark", "left")
