@@ -8,6 +8,7 @@ angle found; approximate search stops after the nearest ``probes`` cells.
 
 Vectors travel once, when the index is written; a search joins (cell, query) with the index by cell. A large cell is dealt over
 parts, each of which returns its k best, so what is shuffled is k rows a query, cell and part.
+Tasks compare and send in pieces of bounded size, so their memory grows neither with the vectors nor with the cells.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.retrieval import QUERY_BLOCK, ROW_BLOCK, ranked
+from docspark.operators.retrieval import HELD_SCORES, QUERY_BLOCK, ROW_BLOCK, first_of_each, ranked
 from docspark.plans.staging import stage
 
 #: Vectors of a cell that one task compares with the cell's queries.
 PART_ROWS = 1 << 14
+#: Routes (a query's vector and a cell) that a task sends at a time.
+ROUTE_ROWS = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -44,7 +47,7 @@ def fit_centroids(vectors: DataFrame, cells: int, id_: str, vector: str, sample:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = np.concatenate([(x[at : at + ROW_BLOCK] @ c.T).argmax(1) for at in range(0, len(x), ROW_BLOCK)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         empty = np.linalg.norm(sums, axis=1) == 0
@@ -73,12 +76,12 @@ def build_index(vectors: DataFrame, id_: str = "vec_id", vector: str = "embeddin
 
     def assigned(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _unit(np.stack(batch[vector].to_numpy()).astype(np.float64))
-            angle = _angles(x, shared.value)
-            cell = angle.argmin(1)
-            yield pd.DataFrame({id_: batch[id_], vector: list(x), "cell": cell, "angle": angle[np.arange(len(x)), cell]})
+            for at in range(0, len(batch), ROW_BLOCK):
+                own = batch.iloc[at : at + ROW_BLOCK]
+                x = _unit(np.stack(own[vector].to_numpy()).astype(np.float64))
+                angle = _angles(x, shared.value)
+                cell = angle.argmin(1)
+                yield pd.DataFrame({id_: own[id_], vector: list(x), "cell": cell, "angle": angle[np.arange(len(x)), cell]})
 
     rows = held.mapInPandas(assigned, f"{id_} {kind}, {vector} array<double>, cell int, angle double")
     rows = stage(rows, "vector-cells")
@@ -94,8 +97,11 @@ def _by_cell(numbers: np.ndarray) -> Column:
     return F.get(F.array(*[F.lit(int(x)) for x in numbers]) if len(numbers) else F.array(F.lit(0)), F.col("cell"))
 
 
-def _probe(index: VectorIndex, asked: DataFrame, k: int, query_id: str) -> DataFrame:
-    """(query_id, id, score): the k best of each query in each part of the cells that it asks. ``asked``: query_id, vector (unit), cell."""
+def _probe(index: VectorIndex, asked: DataFrame, k: int, query_id: str, blocks: int) -> DataFrame:
+    """(query_id, id, score): the k best of each query in each part of the cells that it asks. ``asked``: query_id, __v (unit), cell.
+
+    A task holds one part of a cell and one of ``blocks`` shares of the queries; a part is sent once for each share.
+    """
     kinds = dict(asked.dtypes) | {index.id_: dict(index.rows.dtypes)[index.id_]}
     id_, vector = index.id_, index.vector
 
@@ -103,15 +109,16 @@ def _probe(index: VectorIndex, asked: DataFrame, k: int, query_id: str) -> DataF
         if not len(q) or not len(x):
             return pd.DataFrame({query_id: [], id_: [], "score": []})
         vectors, ids, out = np.stack(x[vector].to_numpy()), x[id_].to_numpy(), []
-        for at in range(0, len(q), ROW_BLOCK):
-            names = q[query_id].to_numpy()[at : at + ROW_BLOCK]
-            scores = np.round(np.stack(q["__v"].to_numpy()[at : at + ROW_BLOCK]) @ vectors.T, 6)
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            out.append(pd.DataFrame({query_id: np.repeat(names, order.shape[1]), id_: ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+        step = max(1, HELD_SCORES // len(ids))
+        for at in range(0, len(q), step):
+            names = q[query_id].to_numpy()[at : at + step]
+            scores = np.round(np.stack(q["__v"].to_numpy()[at : at + step]) @ vectors.T, 6)
+            # Only what reaches the k-th score is put in order.
+            row, place = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None]) if len(ids) > k else np.nonzero(np.ones(scores.shape, bool))
+            row, place = first_of_each(row, ids[place], scores[row, place], k, place)
+            out.append(pd.DataFrame({query_id: names[row], id_: ids[place], "score": scores[row, place]}))
         return pd.concat(out)
 
-    # A task holds one part of a cell and at most about QUERY_BLOCK queries; with more queries a part is sent once for each block.
-    blocks = max(1, -(-asked.select(query_id).distinct().count() // QUERY_BLOCK))
     left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), _by_cell(index.parts) - 1))).withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
     right = index.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInPandas(best, f"{query_id} {kinds[query_id]}, {index.id_} {kinds[index.id_]}, score double")
@@ -121,35 +128,46 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, query_id: str = "que
     """(query_id, id, score, rank): cosine top-k of each query, as ``retrieval.dense_topk`` gives it, or of its ``probes`` nearest cells only."""
     spark, shared = queries.sparkSession, queries.sparkSession.sparkContext.broadcast((index.centroids, index.radii))
     kind = dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {kind}, __v array<double>, cell int, place int, bound double"
 
-    def routed(batches):
-        centroids, radii = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), ROW_BLOCK):
-                own = batch.iloc[at : at + ROW_BLOCK]
-                x = _unit(np.stack(own[vector].to_numpy()).astype(np.float64))
-                angle = _angles(x, centroids)
-                angle[:, radii < 0] = np.inf
-                order = np.argsort(angle, axis=1)
-                some = np.isfinite(np.take_along_axis(angle, order, 1))
-                q, place = np.nonzero(some)
-                cell = order[q, place]
-                yield pd.DataFrame({query_id: own[query_id].to_numpy()[q], "__v": [x[i] for i in q], "cell": cell, "place": place, "bound": angle[q, cell] - radii[cell]})
+    def routed(near: bool):
+        """Each query with the ``probes`` cells nearest to it, or with the others whose bound is within its ``__reach``."""
+
+        def run(batches):
+            centroids, radii = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), ROW_BLOCK):
+                    own = batch.iloc[at : at + ROW_BLOCK]
+                    x = _unit(np.stack(own[vector].to_numpy()).astype(np.float64))
+                    angle = _angles(x, centroids)
+                    angle[:, radii < 0] = np.inf
+                    wanted = np.isfinite(angle)
+                    first = np.zeros_like(wanted)
+                    np.put_along_axis(first, np.argsort(angle, axis=1)[:, :probes], True, 1)
+                    if near:
+                        wanted &= first
+                    else:
+                        reach = own["__reach"].fillna(np.inf).to_numpy(np.float64)
+                        wanted &= ~first & (angle - radii <= reach[:, None])
+                    q, cell = np.nonzero(wanted)
+                    for part in range(0, len(q), ROUTE_ROWS):
+                        of = q[part : part + ROUTE_ROWS]
+                        yield pd.DataFrame({query_id: own[query_id].to_numpy()[of], "__v": list(x[of]), "cell": cell[part : part + ROUTE_ROWS]})
+
+        return run
 
     wanted = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
     if not len(index.centroids):
         return ranked(spark.createDataFrame([], f"{query_id} {kind}, {index.id_} {dict(index.rows.dtypes)[index.id_]}, score double"), query_id, index.id_, k)
-    # A query's cells by its id and the bound; its vector goes along only with the cells that are asked.
-    routes = wanted.mapInPandas(routed, schema)
-    first = stage(_probe(index, routes.where(F.col("place") < probes), k, query_id), "nearest-cells")
+    schema = f"{query_id} {kind}, __v array<double>, cell int"
+    blocks = max(1, -(-wanted.select(query_id).distinct().count() // QUERY_BLOCK))
+    first = stage(_probe(index, wanted.mapInPandas(routed(True), schema), k, query_id, blocks), "nearest-cells")
     if not exact:
         return ranked(first, query_id, index.id_, k)
     top = first.withColumn("__n", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), index.id_)))
     # Without k found so far any cell may matter. Scores are rounded, and so may tie beyond the sixth digit.
     reach = top.where(F.col("__n") == k).select(query_id, F.acos(F.greatest(F.lit(-1.0), F.col("score") - 1e-6)).alias("__reach"))
-    rest = routes.where(F.col("place") >= probes).join(reach, query_id, "left").where(F.col("__reach").isNull() | (F.col("bound") <= F.col("__reach"))).select(query_id, "__v", "cell")
-    return ranked(first.unionByName(_probe(index, rest, k, query_id)), query_id, index.id_, k)
+    rest = wanted.join(reach, query_id, "left").mapInPandas(routed(False), schema)
+    return ranked(first.unionByName(_probe(index, rest, k, query_id, blocks)), query_id, index.id_, k)
 
 
 def recall(found: DataFrame, truth: DataFrame, query_id: str, id_: str) -> float:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from docspark.operators import retrieval as R
@@ -43,6 +45,28 @@ def test_recall_of_few_cells_and_rows_in_the_index(vectors):
     assert V.recall(V.nearest(index, asked, 10, probes=38, exact=False), truth, "query_id", "vec_id") == 1.0
 
 
+def peak_mb(batch, task):
+    """Most memory that a task holds over one batch, and the rows of its largest frame."""
+    tracemalloc.start()
+    most = max((len(frame) for frame in task(iter([batch]))), default=0)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return peak, most
+
+
+def test_memory_of_a_task_does_not_grow_with_the_cells(vectors, monkeypatch):
+    tasks, real = [], type(vectors).mapInPandas
+    monkeypatch.setattr(type(vectors), "mapInPandas", lambda df, f, schema: (tasks.append(f), real(df, f, schema))[1])
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    V.nearest(V.build_index(vectors, cells=400), asked, 10)
+    x = np.random.default_rng(5).normal(size=(4000, 16))
+    batch = pd.DataFrame({"vec_id": range(4000), "query_id": range(4000), "embedding": list(x), "__reach": np.nan})
+    assert len(tasks) >= 2
+    for task in tasks:
+        peak, most = peak_mb(batch, task)
+        assert peak < 16 and most <= 4096
+
+
 def test_no_vectors(vectors):
     asked = vectors.where("vec_id = 20").withColumnRenamed("vec_id", "query_id")
     assert V.nearest(V.build_index(vectors.limit(0)), asked, 3).count() == 0
