@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.operators.retrieval import HELD_SCORES, QUERY_BLOCK, ROW_BLOCK, first_of_each, ranked
+from docspark.operators.retrieval import HELD_SCORES, QUERY_BLOCK, ROW_BLOCK, first_of_each, ranked, reaching
 from docspark.plans.staging import stage
 
 #: Vectors of a cell that one task compares with the cell's queries.
@@ -114,7 +114,7 @@ def _probe(index: VectorIndex, asked: DataFrame, k: int, query_id: str, blocks:
             names = q[query_id].to_numpy()[at : at + step]
             scores = np.round(np.stack(q["__v"].to_numpy()[at : at + step]) @ vectors.T, 6)
             # Only what reaches the k-th score is put in order.
-            row, place = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None]) if len(ids) > k else np.nonzero(np.ones(scores.shape, bool))
+            row, place = reaching(scores, k, np.full(len(names), -np.inf))
             row, place = first_of_each(row, ids[place], scores[row, place], k, place)
             out.append(pd.DataFrame({query_id: names[row], id_: ids[place], "score": scores[row, place]}))
         return pd.concat(out)

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from docspark.operators import retrieval as R
@@ -67,6 +68,41 @@ def test_memory_of_a_task_does_not_grow_with_the_cells(vectors, monkeypatch):
         assert peak < 16 and most <= 4096
 
 
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_memory_of_a_dense_search(vectors):
+    rng = np.random.default_rng(5)
+    asked, x = rng.normal(size=(4096, 8)), rng.normal(size=(1500, 8))
+    x[[3, 700]], x[9] = x[1], np.nan
+    asked[5] = np.nan
+    task = R._best(Shared((np.arange(4096), asked)), 9, "vec_id", "embedding")
+    batch = pd.DataFrame({"vec_id": np.arange(1500)[::-1], "embedding": list(x)})
+    assert peak_mb(batch, task)[0] < 48
+    found = next(task(iter([batch])))
+    scores = np.round(asked @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)[:, ::-1]
+    for q in range(0, 4096, 9):
+        assert found[1][found[0] == q].tolist() == np.lexsort((np.arange(1500), -scores[q]))[:9].tolist()
+
+
+def test_memory_of_a_keyword_search():
+    docs, terms, queries = 600, 60, 100
+    known = [f"t{k:02d}" for k in range(terms)]
+    words = pa.array([known * 10] * docs, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(docs)), pa.array([1.0] * docs), words], ["doc_id", "__weight", "__t"])
+    peak, most = peak_mb(batch, R._term_counts(Shared(known), "doc_id"))
+    assert peak < 10 and most < docs
+    counted = pa.Table.from_batches(R._term_counts(Shared(known), "doc_id")(iter([batch])))
+    assert counted["n"].to_pylist() == [600] * docs and counted["tfs"].to_pylist() == [[10] * terms] * docs
+    post = {"names": list(range(queries)), "first": np.arange(terms + 1) * queries, "query": np.tile(np.arange(queries), terms), "qtf": np.ones(terms * queries), "idf": np.ones(terms), "mean": 600.0}
+    task = R._best_by_terms(Shared(post), 7, "doc_id", 6)
+    assert peak_mb(counted.to_pandas(), task)[0] < 32
+    found = next(task(iter([counted.to_pandas()])))
+    assert len(found) == 7 * queries and found[1].tolist() == list(range(7)) * queries
+
+
 def test_no_vectors(vectors):
     asked = vectors.where("vec_id = 20").withColumnRenamed("vec_id", "query_id")
     assert V.nearest(V.build_index(vectors.limit(0)), asked, 3).count() == 0
