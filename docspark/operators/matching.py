@@ -24,6 +24,8 @@ from docspark.plans.staging import stage
 # ------------------------------------------------------------------ substrings
 #: Inner words in a key, letters of a seam between two words, letters of a one-word key.
 INNER, SEAM, LETTERS = 4, 3, 8
+#: Keys of a group (``on``) in one row; a group with more has several rows, each of which meets all its texts.
+GROUP_KEYS = 4096
 
 
 def _needle_key(w: Column) -> tuple[Column, Column]:
@@ -57,7 +59,8 @@ def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
 
     Both columns are normalised (words parted by single blanks). ``id_`` names a text row uniquely together with ``on``. An empty needle is nowhere.
     A needle's key is its second to fifth word, the seam of its two words, or the first letters of its only word;
-    texts offer the kinds of keys that occur, and what meets is compared whole.
+    texts offer the kinds of keys that occur, and what meets is compared whole. With ``on`` a text meets the keys of its
+    group in arrays, so of what it offers only keys that a needle of its group has become rows.
     """
     on = on or []
     w = T.word_list(needle)
@@ -68,6 +71,12 @@ def substring_join(needles: DataFrame, texts: DataFrame, needle: str, text: str,
     own = texts.select(*on, *id_, F.col(text).alias("__text"))
     words = own.select(*on, *id_, T.word_list("__text").alias("__w"))
     offered = F.array_compact(F.array_distinct(F.concat(*[_offers(F.col("__w"), k) for k in kinds]))) if kinds else F.array().cast("array<bigint>")
+    if on:
+        own_keys = keys.select(*on, "__key").distinct()
+        rows = own_keys.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / GROUP_KEYS).alias("__rows"))
+        held = own_keys.join(rows, on).groupBy(*on, F.pmod("__key", "__rows").alias("__row")).agg(F.collect_list("__key").alias("__own"))
+        words = words.join(held.select(*on, "__own"), on)
+        offered = F.array_intersect(offered, "__own")
     met = words.select(*on, *id_, F.explode(offered).alias("__key")).join(limited_broadcast(keys.select(*on, "__key", "__h"), 20_000), [*on, "__key"])
     pairs = met.select(*on, *id_, "__h").distinct().join(keys.select(*on, "__h", "__needle"), [*on, "__h"])
     return pairs.join(own, [*on, *id_]).where(F.contains("__text", F.col("__needle"))).select(*on, *id_, F.col("__needle").alias(needle))

@@ -1,8 +1,9 @@
 """Running sums and last values along one order of all rows, with no group in one task.
 
 The rows are range-sorted into blocks and staged. What a block adds is summarised in one
-row, the summaries of the blocks before are combined, and every row meets the
-summary of its own block: a chapter, book or user may hold any share of the rows.
+row, the summaries of the blocks before are combined and staged (one row a block), and every row meets the
+summary of its own block: a chapter, book or user may hold any share of the rows. So running columns of running columns
+are windows in a row over one exchange; each adds one pass for its summaries, which reads the columns that they need.
 Restarts at a group's first row are differences of running sums, or a last value taken there.
 """
 
@@ -33,7 +34,7 @@ def running(rows: DataFrame, sums: dict[str, Column] | None = None, last: dict[s
     earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     blocks = own.groupBy(BLOCK).agg(*held)
     blocks = blocks.select(BLOCK, *[F.sum(f"__s_{k}").over(earlier).alias(f"__b_{k}") for k in sums], *[F.last(f"__v_{k}", True).over(earlier).alias(f"__b_{k}") for k in values])
-    met = own.join(F.broadcast(blocks), BLOCK)
+    met = own.join(F.broadcast(stage(blocks, "block-sums")), BLOCK)
     inside = Window.partitionBy(BLOCK).orderBy(PLACE)
     upto, past = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.unboundedPreceding, -1)
     out = {k: F.coalesce(F.sum(f"__s_{k}").over(upto), F.lit(0)) + F.coalesce(f"__b_{k}", F.lit(0)) for k in sums}

@@ -61,21 +61,22 @@ def walk(events: DataFrame, profile: TextProfile = ARABIC, lemma_words: int = 12
     kind = F.col("kind")
     solid = F.col("text").rlike("\\S")
     core, mark = kind == "core", kind == "mark"
-    said = core | (kind.isin("seg", "tail") & solid)
+    spoken_words = F.when(kind.isin("seg", "tail", "core"), T.word_list(T.normalise("text", profile))).otherwise(F.array().cast("array<string>"))
+    # What reads a whole text is told once and staged before the order is laid, which reads its rows twice, so that neither it nor the running columns cut texts again.
+    cut = cut.withColumns({"__said": core | (kind.isin("seg", "tail") & solid), "__size": F.size(spoken_words)})
     opens_para = (F.col("k") == 0) & kind.isin("seg", "tail")
     title = F.regexp_replace("text", "^[\\[\\]() ]+|[\\[\\]() ]+$", "")
-    p = running(in_order(cut, ["book_id", "pg", "seq", "k"], "walk"), before={"__was": F.struct("book_id", "chapter")})
+    p = running(in_order(stage(cut, "pieces"), ["book_id", "pg", "seq", "k"], "walk"), before={"__was": F.struct("book_id", "chapter")})
     new_book = F.col("__was").isNull() | ~F.col("__was.book_id").eqNullSafe(F.col("book_id"))
-    p = p.withColumns({"__starts": new_book | ~F.col("__was.chapter").eqNullSafe(F.col("chapter")), "__new_book": new_book, "__said": said, "__para": opens_para})
+    p = p.withColumns({"__starts": new_book | ~F.col("__was.chapter").eqNullSafe(F.col("chapter")), "__new_book": new_book, "__para": opens_para})
     p = running(p, sums={"__texts": F.col("__said"), "__paras": F.col("__para")})
     p = running(p, last={"__texts_at": F.when(F.col("__starts"), F.col("__texts") - F.col("__said").cast("int")), "__paras_at": F.when(F.col("__new_book"), F.col("__paras") - F.col("__para").cast("int"))})
     p = p.withColumn("__opens", core | (F.col("__said") & (F.col("__texts") - 1 == F.col("__texts_at"))))
-    words = F.when(kind.isin("seg", "tail", "core"), T.word_list(T.normalise("text", profile))).otherwise(F.array().cast("array<string>"))
     state = {
         "__title": F.when(kind == "title", F.struct(title.alias("t"))).when(F.col("__said"), F.struct(F.lit(None).cast("string").alias("t"))),
         "__core": F.when(F.col("__opens"), F.struct(F.when(core, T.trimmed(F.col("text"))).otherwise("").alias("c"), F.col("pg").alias("pg"))),
     }
-    p = running(p, sums={"__units": F.col("__opens"), "__fresh": F.col("__starts") | (kind == "title") | core, "__marks": mark, "__words": F.size(words)}, last=state)
+    p = running(p, sums={"__units": F.col("__opens"), "__fresh": F.col("__starts") | (kind == "title") | core, "__marks": mark, "__words": F.col("__size")}, last=state)
     p = running(p, last={"__units_at": F.when(F.col("__starts"), F.col("__units") - F.col("__opens").cast("int")), "__book_units": F.when(F.col("__new_book"), F.col("__units") - F.col("__opens").cast("int"))})
     # A mark closes its stretch: what comes after it begins a new one.
     stretch = F.col("__fresh") + F.col("__marks") - mark.cast("int")
@@ -106,7 +107,7 @@ def walk(events: DataFrame, profile: TextProfile = ARABIC, lemma_words: int = 12
     n = F.translate(T.trimmed(F.col("text")), "٠١٢٣٤٥٦٧٨٩", "0123456789").cast("int")
     unit = F.when(F.col("__in_unit"), F.col("unit"))
     marks = p.where(mark).select("book_id", "chapter", "para", "pg", n.alias("n"), F.col(PLACE).alias("place"), "__stretch", "__words", unit.alias("unit"), F.when(F.col("__in_unit"), F.col("__core.pg")).otherwise(F.col("pg")).alias("unit_pg"), F.col("__title.t").alias("__title"), F.when(F.col("__in_unit"), F.col("__core.c")).alias("__core"))
-    spoken = p.withColumn("__w", words).where(F.size("__w") > 0).select("__stretch", F.col("__words").alias("__upto"), "__w", F.col(PLACE).alias("__p"))
+    spoken = p.where(F.col("__size") > 0).withColumn("__w", spoken_words).select("__stretch", F.col("__words").alias("__upto"), "__w", F.col(PLACE).alias("__p"))
     near = marks.select("__stretch", "place", "__words").join(spoken, "__stretch").where(F.col("__upto") > F.col("__words") - lemma_words)
     tail = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - lemma_words + 1), lemma_words)
     lemmas = near.groupBy("place").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__w"))), lambda x: x["__w"])).alias("__w")).select("place", tail(F.col("__w")).alias("__w"))

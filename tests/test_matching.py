@@ -187,3 +187,18 @@ def test_recite_query(spark, tmp_path):
     said = [(1, 0, "user", "the quick brown fox jumps"), (1, 1, "assistant", "x"), (1, 2, "user", "the quick fox jumps"), (2, 0, "user", "alone")]
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert rows(relational_queries.recite_align(spark, str(tmp_path))) == [(1, 0, 4, 0, 1, 0)]
+
+
+def test_substrings_meet_the_keys_of_their_group(spark, monkeypatch):
+    """A text offers some twenty keys a word; only those of its group's needles become rows."""
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(["ab", "abc", "bca", "cab", "b", "ca"]) for _ in range(n))
+    texts = [(k % 3, k, said(12)) for k in range(60)] + [(None, 99, "ab abc")]
+    needles = {(k % 4, said(1 + k % 5)[k % 2 :]) for k in range(80)} | {(None, "ab"), (0, "")}
+    t, n = spark.createDataFrame(texts, "c int, id int, text string"), spark.createDataFrame(sorted(needles, key=str), "c int, needle string")
+    want = sorted(((c, i, x) for c, i, text in texts for d, x in needles if c is not None and c == d and x and x in text), key=str)
+    for most in (4096, 3):
+        monkeypatch.setattr(M, "GROUP_KEYS", most)
+        met = M.substring_join(n, t, "needle", "text", ["id"], ["c"])
+        assert rows(met.select("c", "id", "needle")) == want
+    assert "array_intersect" in met._jdf.queryExecution().optimizedPlan().toString()
