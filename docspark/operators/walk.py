@@ -62,11 +62,11 @@ def walk(events: DataFrame, profile: TextProfile = ARABIC, lemma_words: int = 12
     solid = F.col("text").rlike("\\S")
     core, mark = kind == "core", kind == "mark"
     spoken_words = F.when(kind.isin("seg", "tail", "core"), T.word_list(T.normalise("text", profile))).otherwise(F.array().cast("array<string>"))
-    # What reads a whole text is told once and staged before the order is laid, which reads its rows twice, so that neither it nor the running columns cut texts again.
+    # What reads a whole text is told before the order is laid, so that the running columns need not read texts again.
     cut = cut.withColumns({"__said": core | (kind.isin("seg", "tail") & solid), "__size": F.size(spoken_words)})
     opens_para = (F.col("k") == 0) & kind.isin("seg", "tail")
     title = F.regexp_replace("text", "^[\\[\\]() ]+|[\\[\\]() ]+$", "")
-    p = running(in_order(stage(cut, "pieces"), ["book_id", "pg", "seq", "k"], "walk"), before={"__was": F.struct("book_id", "chapter")})
+    p = running(in_order(cut, ["book_id", "pg", "seq", "k"], "walk"), before={"__was": F.struct("book_id", "chapter")})
     new_book = F.col("__was").isNull() | ~F.col("__was.book_id").eqNullSafe(F.col("book_id"))
     p = p.withColumns({"__starts": new_book | ~F.col("__was.chapter").eqNullSafe(F.col("chapter")), "__new_book": new_book, "__para": opens_para})
     p = running(p, sums={"__texts": F.col("__said"), "__paras": F.col("__para")})
