@@ -18,7 +18,7 @@ same value as summing over the landmarks.
 
 Training takes a bounded sample: of the labelled rows outside the held-out
 fold, texts of at most ``max_chars`` characters in the order of md5(doc_id), at most
-``toxic_rows`` and ``clean_rows`` of them. Scoring covers every whole text.
+``toxic_rows`` and ``clean_rows`` of them. Query and pipeline train in a task. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no window and get the score of the
 bias alone; without labelled texts of both classes the score is the share of
@@ -28,8 +28,9 @@ as often as they occur; further columns and clashing names are ignored.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -281,22 +282,45 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 4500, max_chars: int = 12_000) -> Model:
-    """Train on a bounded sample of the labelled rows outside fold 2; fold 3 calibrates."""
+def _sampled(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, max_chars: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The staged candidates, and of these the sample of each class."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("__toxic")).where(fold(F.col("doc_id")) != 2)
     bounds = {1: toxic_rows, 0: clean_rows}
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    # Twice as many ids as texts, as long texts drop out; that bounds the broadcast. The second limit bounds what repeated ids bring to the driver.
+    # Twice as many ids as texts, as long texts drop out; that bounds the broadcast. The second limit bounds what repeated ids bring to the training.
     sample = reduce(DataFrame.unionByName, (usable.where(F.col("__toxic") == y).orderBy(order, "doc_id").limit(2 * n) for y, n in bounds.items()))
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= max_chars)
     found = found.select("text", "__toxic", (fold(F.col("doc_id")) == 3).alias("__calibrate"), order.alias("__id"), F.md5(F.col("text")).alias("__order"))
     found = stage(found, "training")
-    rows = pd.concat([found.where(F.col("__toxic") == y).orderBy("__id", "__order").limit(n).toPandas() for y, n in bounds.items()])
-    unstage(found)
-    rows = rows.sort_values(["__order", "__toxic"])
+    return found, [found.where(F.col("__toxic") == y).orderBy("__id", "__order").limit(n) for y, n in bounds.items()]
+
+
+def _trained(rows: pd.DataFrame) -> Model:
+    rows = rows.sort_values(["__order", "__toxic", "__id"])
     return train(rows["text"].tolist(), rows["__toxic"].to_numpy(), rows["__calibrate"].to_numpy(bool))
 
 
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 4500, max_chars: int = 12_000) -> Model:
+    """Train, in the calling process, on a bounded sample of the labelled rows outside fold 2; fold 3 calibrates."""
+    found, parts = _sampled(docs, labels, toxic_rows, clean_rows, max_chars)
+    rows = pd.concat([part.toPandas() for part in parts])
+    unstage(found)
+    return _trained(rows)
+
+
+def fit_in_task(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 4500, max_chars: int = 12_000) -> Model:
+    """The model of ``fit``, trained in a task: the driver gets the model (4 MB), not the texts and the matrices of the training."""
+    found, parts = _sampled(docs, labels, toxic_rows, clean_rows, max_chars)
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if held := [b for b in batches if len(b)]:
+            yield pd.DataFrame({"model": [pickle.dumps(_trained(pd.concat(held)))]})
+
+    told = reduce(DataFrame.unionByName, parts).coalesce(1).mapInPandas(trained, "model binary").collect()
+    unstage(found)
+    return pickle.loads(told[0]["model"]) if told else train([], np.array([]), np.array([], bool))
+
+
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(model)  # 32 ** ORDER floats: 4 MB, whatever the input
 
@@ -309,7 +333,7 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with score; the model is fitted first, on labels outside the held-out fold."""
-    return docs.withColumn("score", score(F.col("text"), fit(docs, labels), docs.sparkSession))
+    return docs.withColumn("score", score(F.col("text"), fit_in_task(docs, labels), docs.sparkSession))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,4 +344,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored THRESHOLD or more go."""
-    return docs.where(score(F.col("text"), fit(docs, table(spark, sf_dir, "labels")), spark) < THRESHOLD)
+    return docs.where(score(F.col("text"), fit_in_task(docs, table(spark, sf_dir, "labels")), spark) < THRESHOLD)

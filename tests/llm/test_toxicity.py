@@ -100,3 +100,20 @@ def test_query_and_stage(spark, odd_docs, no_docs, tables):
     kept = {r["doc_id"] for r in tox.reject_toxic(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
     assert len(kept & toxic) < 0.1 * len(toxic)
     assert tox.score_documents(no_docs, labels.limit(0)).count() == 0
+
+
+def test_query_and_stage_train_outside_the_driver(spark, tables, monkeypatch):
+    rows = corpus(60, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    own, task = tox.fit(docs, labels, 5, 20), tox.fit_in_task(docs, labels, 5, 20)
+    assert own.values.any() and np.allclose(own.values, task.values, atol=1e-4)  # a task may sum with fewer threads
+    assert np.allclose((own.bias, own.scale, own.shift), (task.bias, task.scale, task.shift), atol=1e-3)
+
+    def never(*_):
+        raise AssertionError("the driver trains")
+
+    monkeypatch.setattr(tox, "train", never)
+    d = tables(documents=docs, labels=labels)
+    assert tox.op3_toxicity(spark, d).count() == 61
+    assert tox.reject_toxic(spark, spark.read.parquet(f"{d}/documents.parquet"), d).count() < 61
