@@ -9,7 +9,6 @@ from __future__ import annotations
 import difflib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
 from math import floor, log
 
 import pandas as pd
@@ -100,8 +99,10 @@ def word_forms(word: str, right: bool, least: float) -> set[str]:
     reach = [m for m in range(floor(n * least), int(n / least) + 2) if m and abs(m - n) <= _allowed(max(m, n), least)]
     if n <= SHORT:
         most = max(_allowed(max(m, n), least) for m in reach if max(m, n) <= SHORT)
-        for k in range(most + 1):
-            out |= {"d" + "".join(word[i] for i in range(n) if i not in gone) for gone in map(set, combinations(range(n), k))}
+        left = {word}
+        for _ in range(most + 1):
+            out |= {"d" + w for w in left}
+            left = {w[:i] + w[i + 1 :] for w in left for i in range(len(w))}
     for m in reach:
         longer = max(m, n)
         if SHORT < longer <= LONG:
@@ -116,19 +117,39 @@ def word_forms(word: str, right: bool, least: float) -> set[str]:
     return out
 
 
-def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.75) -> DataFrame:
-    """(a, b) of the distinct words with similarity (1 - edits / longer length) of ``least`` or more; at least 0.7, as keys of fewer letters part nothing."""
-    if least < 0.7:
-        raise ValueError("the index needs a similarity of at least 0.7")
+def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
+    """(c, key) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
+
+    @F.pandas_udf("array<string>")
+    def forms(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: list(word_forms(w, right, least)))
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = df.select(c).where(F.col(c) != "").distinct().repartition(tasks, F.xxhash64(c))  # by c alone it would be the exchange of distinct, and merged again
+    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__key"))
+
+
+def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
+    """(c, key) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
 
-    def keys(df: DataFrame, c: str, side: bool) -> DataFrame:
-        @F.pandas_udf("array<string>")
-        def forms(words: pd.Series) -> pd.Series:
-            return words.map(lambda w: sorted(word_forms(w, side, least)))
+    @F.pandas_udf("array<string>")
+    def forms(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: list(word_forms(w, right, least)))
 
-        return df.select(c).where(F.col(c) != "").distinct().select(c, F.explode(forms(c)).alias("__form"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = df.select(c).where(F.col(c) != "").distinct().repartition(tasks, F.xxhash64(c))  # by c alone it would be the exchange of distinct, and merged again
+    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__key"))
 
-    met = keys(left, a, False).join(keys(right, b, True), "__form").select(a, b).distinct()
+
+def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.75) -> DataFrame:
+    """(a, b) of the distinct words with similarity (1 - edits / longer length) of ``least`` or more; at least 0.7, as keys of fewer letters part nothing.
+
+    Words meet by hashes of their forms. The left ones are staged, so whether they are sent whole goes by their size as keys, not as words.
+    """
+    if least < 0.7:
+        raise ValueError("the index needs a similarity of at least 0.7")
+    asked = stage(_word_keys(left, a, False, least), "word-keys")
+    met = asked.join(_word_keys(right, b, True, least), "__key").select(a, b).distinct()
     return met.where(T.similarity(a, b) >= least)
 
 
