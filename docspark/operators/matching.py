@@ -118,7 +118,7 @@ def word_forms(word: str, right: bool, least: float) -> set[str]:
 
 
 def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
-    """(c, key) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
+    """(c, form) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
 
     @F.pandas_udf("array<string>")
     def forms(words: pd.Series) -> pd.Series:
@@ -126,11 +126,11 @@ def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = df.select(c).where(F.col(c) != "").distinct().repartition(tasks, F.xxhash64(c))  # by c alone it would be the exchange of distinct, and merged again
-    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__key"))
+    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__form"))
 
 
 def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
-    """(c, key) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
+    """(c, form) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
 
     @F.pandas_udf("array<string>")
     def forms(words: pd.Series) -> pd.Series:
@@ -138,7 +138,7 @@ def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = df.select(c).where(F.col(c) != "").distinct().repartition(tasks, F.xxhash64(c))  # by c alone it would be the exchange of distinct, and merged again
-    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__key"))
+    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__form"))
 
 
 def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.75) -> DataFrame:
@@ -149,7 +149,7 @@ def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     if least < 0.7:
         raise ValueError("the index needs a similarity of at least 0.7")
     asked = stage(_word_keys(left, a, False, least), "word-keys")
-    met = asked.join(_word_keys(right, b, True, least), "__key").select(a, b).distinct()
+    met = asked.join(_word_keys(right, b, True, least), "__form").select(a, b).distinct()
     return met.where(T.similarity(a, b) >= least)
 
 
