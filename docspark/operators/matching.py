@@ -129,18 +129,6 @@ def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
     return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__form"))
 
 
-def _word_keys(df: DataFrame, c: str, right: bool, least: float) -> DataFrame:
-    """(c, form) of each word of c with the hashes of its forms. Words are small and their forms dear, so they are dealt over all shuffle partitions."""
-
-    @F.pandas_udf("array<string>")
-    def forms(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: list(word_forms(w, right, least)))
-
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = df.select(c).where(F.col(c) != "").distinct().repartition(tasks, F.xxhash64(c))  # by c alone it would be the exchange of distinct, and merged again
-    return words.select(c, F.explode(forms(c)).alias("__form")).select(c, F.xxhash64("__form").alias("__form"))
-
-
 def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.75) -> DataFrame:
     """(a, b) of the distinct words with similarity (1 - edits / longer length) of ``least`` or more; at least 0.7, as keys of fewer letters part nothing.
 

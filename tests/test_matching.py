@@ -71,13 +71,6 @@ def test_forms_of_words_are_made_in_all_tasks(spark):
     assert made == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def test_forms_of_words_are_made_in_all_tasks(spark):
-    """A few words are one small partition to Spark, and their forms are what takes time."""
-    words = spark.createDataFrame([(f"word{k * k}",) for k in range(200)], "w string")
-    made = M._word_keys(words, "w", True, 0.75).groupBy(F.spark_partition_id()).count().count()
-    assert made == int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ------------------------------------------------------------------- alignment
 def test_longest_increasing():
     rng = random.Random(4)
