@@ -190,6 +190,14 @@ def test_edition_diff_query(spark, tmp_path):
     assert got == [(1, 2, 0, "replace", "two", "2"), (1, 2, 1, "insert", "", "four"), (2, 5, 0, "replace", "2 three four", "two five"), (7, 8, 0, "insert", "", "more")]
 
 
+def test_edition_diff_returns_every_change(spark, tmp_path):
+    words = [f"word{k}" for k in range(400)]
+    other = ["changed" if k % 10 == 5 else w for k, w in enumerate(words)]
+    spark.createDataFrame([(1, "Head\n" + " ".join(words), "s"), (2, "Head\n" + " ".join(other), "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(relational_queries.edition_diff(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, seq, "replace", f"word{10 * seq + 5}", "changed") for seq in range(40)]
+
+
 def test_recite_query(spark, tmp_path):
     said = [(1, 0, "user", "the quick brown fox jumps"), (1, 1, "assistant", "x"), (1, 2, "user", "the quick fox jumps"), (2, 0, "user", "alone")]
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
