@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from math import floor, log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
@@ -141,6 +141,51 @@ def similar_words(left: DataFrame, right: DataFrame, a: str, b: str, least: floa
     return met.where(T.similarity(a, b) >= least)
 
 
+# ---------------------------------------------------------------- nearest text
+#: Texts of one group that are compared with all of the group under one key of a join.
+ASKED = 64
+
+
+def _two_least(rows: DataFrame, by: list[str], id_: str) -> DataFrame:
+    """(by, __first, __second): the smallest id of each group and the next, null if there is none. Tasks send two ids a group."""
+    w = Window.partitionBy(*by).orderBy(id_)
+    least = rows.select(*by, id_, F.dense_rank().over(w).alias("__n")).where("__n <= 2")
+    return least.groupBy(*by).agg(F.min(id_).alias("__first"), F.min(F.when(F.col("__n") == 2, F.col(id_))).alias("__second"))
+
+
+def nearest_text(rows: DataFrame, id_: str, text: str, on: list[str]) -> DataFrame:
+    """(id_, other, score) of each id: the other id with equal ``on`` whose text is likest, of equally like ones the smallest.
+
+    Scores are similarities rounded to six digits; with a null text they are null and come last. Rows become the distinct texts of their
+    group, with the two smallest ids of each. A text of two ids or more is answered by these, as no other text scores 1 (below a million
+    letters). So only a text of a single id is compared, with each distinct text of its group once; the texts to compare
+    are dealt by ASKED, and a group meets each deal of its own. Rows of few bytes may be many: no join sends a side whole.
+    """
+    own = rows.select(id_, text, *on).dropna(subset=[id_, *on])
+    texts = stage(_two_least(own, [*on, text], id_), "texts")
+    other = F.when(F.col(id_) == F.col("__first"), F.col("__second")).otherwise(F.col("__first")).alias("other")
+    named, score = F.col(text).isNotNull(), F.lit(None).cast("double").alias("score")
+    equal = own.join(texts.where(named & F.col("__second").isNotNull()).hint("merge"), [*on, text]).select(id_, F.lit(1.0).alias("score"), other)
+
+    lone = texts.where(named & F.col("__second").isNull()).select(*on, F.col(text).alias("__text"), F.col("__first").alias(id_))
+    deals = stage(lone.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("__deals")), "deals")
+    asked = lone.join(deals.hint("merge"), on).withColumn("__deal", F.pmod(F.xxhash64("__text"), F.col("__deals")))
+    # Few bytes are many comparisons: joins would gather them in few tasks.
+    asked = asked.drop("__deals").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "__deal")
+    group = texts.join(deals.hint("merge"), on).select(*on, text, "__first", "__second", F.explode(F.sequence(F.lit(0), F.col("__deals") - 1)).alias("__deal"))
+    pairs = asked.join(group.hint("merge"), [*on, "__deal"]).where(~F.col("__text").eqNullSafe(F.col(text)))
+    scored = pairs.select(id_, F.when(named, F.round(T.similarity("__text", text), 6)).alias("score"), other).where("other is not null")
+    like = scored.groupBy(id_, "score").agg(F.min("other").alias("other"))  # an id has few scores, and these are plain numbers to keep
+
+    unnamed = texts.where(~named).select(*on)
+    ids = texts.join(unnamed.hint("merge"), on, "left_semi").select(*on, F.explode(F.array("__first", "__second")).alias(id_)).dropna()
+    rest = own.where(~named).join(_two_least(ids, on, id_).hint("merge"), on).select(id_, score, other).where("other is not null")
+
+    found = equal.unionByName(like).unionByName(rest)
+    best = found.groupBy(id_).agg(F.min(F.struct(F.col("score").isNull(), -F.col("score"), "other", "score")).alias("__best"))
+    return best.select(id_, "__best.other", "__best.score")
+
+
 # ------------------------------------------------------------------- alignment
 def shared_places(x: list, y: list) -> list[tuple[int, int]]:
     """(place in x, place in y) of what two sequences share: the matching runs, and gaps between runs that are equally long in both."""

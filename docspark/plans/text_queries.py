@@ -9,7 +9,7 @@ from docspark.functions import entities
 from docspark.functions import text as T
 from docspark.functions.profiles import UNICODE
 from docspark.operators import retrieval as R
-from docspark.operators.matching import substring_join
+from docspark.operators.matching import nearest_text, substring_join
 from docspark.plans.tables import table
 
 
@@ -71,12 +71,7 @@ def deterministic_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def part_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest other name of the same brand and size by edit similarity."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    other = p.withColumnsRenamed({"p_partkey": "other", "p_name": "other_name"})
-    pairs = p.join(other, ["p_brand", "p_size"]).where("p_partkey <> other")
-    scored = pairs.withColumn("score", F.round(T.similarity("p_name", "other_name"), 6))
-    w = Window.partitionBy("p_partkey").orderBy(F.desc("score"), "other")
-    return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("p_partkey", "other", "score")
+    return nearest_text(table(spark, sf, "part"), "p_partkey", "p_name", ["p_brand", "p_size"])
 
 
 def event_props(spark: SparkSession, sf: str) -> DataFrame:

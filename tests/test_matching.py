@@ -13,7 +13,7 @@ from docspark.functions import sequences as Q
 from docspark.operators import linking as L
 from docspark.operators import matching as M
 from docspark.operators import retrieval as R
-from docspark.plans import relational_queries
+from docspark.plans import relational_queries, text_queries
 
 
 def rows(df):
@@ -182,6 +182,45 @@ def test_best_by_terms_equals_full_scores(spark, monkeypatch):
     assert R.bm25_topk(docs.limit(0), asked, 3).count() == 0 == R.bm25_topk(docs, asked.limit(0), 3).count()
 
 
+# ---------------------------------------------------------------- nearest text
+PART = "p_partkey long, p_name string, p_brand string, p_size int"
+
+
+def test_part_similarity_equals_its_sql(spark, tmp_path, monkeypatch):
+    """Also with keys that stand twice, null and empty names, groups of one, and groups in several deals."""
+    rng = random.Random(6)
+    name = lambda: rng.choice([None, "", "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))), rng.choice(["hot rod", "hot bolt"])])
+    key = lambda k: None if k % 97 == 0 else k // 2 if k % 13 == 0 else k
+    odd = [(key(k), name(), rng.choice(["x", "y", "z", None]), rng.choice([1, 2, 2, 2, None])) for k in range(500)]
+    odd += [(900, "alone", "w", 1), (901, "", "v", 1), (902, None, "v", 1), (903, None, "u", 1), (904, None, "u", 1), (905, "a", "t", 1), (905, "a", "t", 1), (906, "r", "s", 1), (906, "rr", "s", 1)]
+    spark.createDataFrame(odd, PART).repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as from '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.execute(text_queries.ORACLE_SQL["part_similarity"]).fetchall(), key=str)
+    for asked in (256, 3):
+        monkeypatch.setattr(M, "ASKED", asked, raising=False)
+        assert rows(text_queries.part_similarity(spark, str(tmp_path)).select("p_partkey", "other", "score")) == want
+
+
+def test_part_similarity_makes_no_pairs_of_equal_names(spark, tmp_path):
+    n, names = 3000, ["hot rod", "hot bolt", "old gear", "red anvil"]
+    spark.createDataFrame([(k, names[k % 4] if k else "hot gear", "x", 1) for k in range(n)], PART).write.parquet(f"{tmp_path}/part.parquet")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = text_queries.part_similarity(spark, str(tmp_path))
+        got = {r["p_partkey"]: (r["other"], r["score"]) for r in df.collect()}
+        plans, joined = [df._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            p = plans.pop()
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+            joined += p.metrics().apply("numOutputRows").value() if "Join" in p.nodeName() else 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == {0: (2, 0.625)} | {k: (k % 4 or 4, 1.0) if k > 4 else (k + 4, 1.0) for k in range(1, n)}
+    assert joined < 3 * n
+
+
 # -------------------------------------------------------------------- editions
 def test_edition_diff_query(spark, tmp_path):
     docs = [(1, "Head\none two three", "s"), (2, "Head\none 2 three four", "s"), (3, "Head\nONE two", "t"), (5, "Head\none two five", "s"), (6, None, "s"), (7, "Other", None), (8, "Other\nmore", None)]
